@@ -11,6 +11,7 @@ METRICS = ("run_id STRING, window_start STRING, window_end STRING, ts TIMESTAMP,
            "service STRING, metric STRING, value DOUBLE")
 LOGS = ("run_id STRING, ts STRING, service STRING, level STRING, message STRING, "
         "line STRING, labels MAP<STRING,STRING>")
+LOG_ARRAY = f"ARRAY<STRUCT<{LOGS}>>"
 LABELS = "run_id STRING, service STRING, fault_type STRING, start_ts STRING, end_ts STRING"
 ALERTS = ("run_id STRING, service STRING, window_start TIMESTAMP, window_end TIMESTAMP, "
           "ts TIMESTAMP, signal STRING, score DOUBLE, details STRING")
