@@ -104,7 +104,7 @@ def rate(samples: DataFrame, keys: list[str], window_us: int = MINUTE, step_us:
     tail = (end - F.col("_t1")) / 1e6
     head = F.when(head >= mean_gap * 1.1, mean_gap / 2).otherwise(head)
     tail = F.when(tail >= mean_gap * 1.1, mean_gap / 2).otherwise(tail)
-    zero = span * F.col("_v0") / inc
+    zero = F.try_divide(span * F.col("_v0"), inc)
     head = F.when((inc > 0) & (F.col("_v0") >= 0) & (zero < head), zero).otherwise(head)
     per_second = inc * ((span + head + tail) / span) / F.lit(window_us / 1e6)
     return ticks.select(*keys, _tick_time(step_us, origin_us), per_second.alias("rate"))
