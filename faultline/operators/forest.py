@@ -147,7 +147,7 @@ def fit_isolation_forest(df: DataFrame, columns: list[str], keys: list[str], tre
     sample = min(max_samples, n)
     drawn = subsamples(df, columns, keys, trees, sample, n, seed)
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values("_r")
         return grow_tree(np.stack(ordered["x"].to_numpy()), int(key[0]), seed)
 
