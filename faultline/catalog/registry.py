@@ -6,7 +6,6 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.catalog.views import VIEWS_SQL, Tables
@@ -20,13 +19,13 @@ def tidy(df: DataFrame) -> DataFrame:
     """Report form: doubles to six decimals, times without a zone (they are UTC)."""
     cols = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = f"round(CAST({c} AS DOUBLE), 6) + 0D AS {c}"
         elif isinstance(f.dataType, T.TimestampType):
-            c = c.cast("timestamp_ntz")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            c = f"CAST({c} AS TIMESTAMP_NTZ) AS {c}"
+        cols.append(c)
+    return df.selectExpr(*cols)
 
 
 def with_views(body: str) -> str:

@@ -144,8 +144,19 @@ def rule_text(column: str, threshold: float) -> str:
     return f"{column}>={threshold}"
 
 
+def finite_or_zero_sql(name: str) -> str:
+    """`finite_or_zero` as text: a wide table needs one parse instead of many column calls."""
+    return f"CASE WHEN `{name}` IS NULL OR isnan(`{name}`) OR abs(`{name}`) = double('Infinity') THEN 0D ELSE CAST(`{name}` AS DOUBLE) END"
+
+
+def replace_columns(df: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Replace or add columns given as SQL text, in one projection."""
+    kept = [f"`{c}`" if c not in texts else f"{texts[c]} AS `{c}`" for c in df.columns]
+    return df.selectExpr(*kept, *[f"{e} AS `{c}`" for c, e in texts.items() if c not in df.columns])
+
+
 def clean_features(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: finite_or_zero(F.col(c)) for c in columns})
+    return replace_columns(df, {c: finite_or_zero_sql(c) for c in columns})
 
 
 def numeric_features(df: DataFrame, exclude: list[str] | None = None) -> list[str]:

@@ -22,8 +22,9 @@ EXACT_PAIRS = 20_000_000  # below this many vector pairs the remaining parts are
 SPLIT = 4  # parts per side from one level to the next
 
 
-def _box(x: Column, dims: int) -> Column:
-    return F.array(*[F.struct(F.min(x[i]).alias("l"), F.max(x[i]).alias("h")) for i in range(dims)])
+def _box(dims: int) -> Column:
+    """Bounding box of the vectors `x` of a group."""
+    return F.expr("array(" + ", ".join(f"named_struct('l', min(x[{i}]), 'h', max(x[{i}]))" for i in range(dims)) + ")")
 
 
 def _as_box(x: Column) -> Column:
@@ -48,17 +49,32 @@ def _dist2(x: Column, y: Column) -> Column:
     return _norm2(F.zip_with(x, y, lambda p, q: p - q))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id reachable. Smallest neighbour, then one jump, until nothing changes."""
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("comp")))
+SMALL_LABELS = 500_000  # cells; up to here the label table (16 bytes a row) goes to every task
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """(id, comp): the smallest id reachable.
+
+    Every node has an edge to itself, so one join and one minimum spread the
+    labels a step further. After a few steps each label is replaced by its own
+    label, which doubles the distance covered; the table is then written.
+    """
+    own = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                       .distinct().unionByName(own))
+    small = both.filter("a = b").count() <= SMALL_LABELS
+    labels = both.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("comp"))
+
+    def spread(at: DataFrame) -> DataFrame:
+        return F.broadcast(at) if small else at
+
     while True:
-        seen = (both.join(labels.withColumnRenamed("id", "b"), "b")
-                .groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("_near")))
-        pulled = (labels.join(seen, "id", "left")
-                  .select("id", F.col("comp").alias("_old"), F.least("comp", F.coalesce("_near", "comp")).alias("comp")))
-        jump = pulled.select(F.col("id").alias("comp"), F.col("comp").alias("_next"))
-        moved = cut_lineage(pulled.join(jump, "comp").select("id", "_old", F.least("comp", "_next").alias("comp")))
+        step = labels.withColumn("_old", F.col("comp"))
+        for _ in range(rounds):
+            step = (both.join(spread(step.withColumnRenamed("id", "b")), "b").groupBy(F.col("a").alias("id"))
+                    .agg(F.min("comp").alias("comp"), F.max(F.when(F.col("a") == F.col("b"), F.col("_old"))).alias("_old")))
+        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("_next"))
+        moved = cut_lineage(step.join(spread(jump), "comp").select("id", "_old", F.least("comp", "_next").alias("comp")))
         labels = moved.select("id", "comp")
         if moved.filter(F.col("comp") != F.col("_old")).isEmpty():
             return labels
@@ -67,11 +83,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _neighbour_cells(cells: DataFrame, group: list[str], dims: int, eps: float, side: float) -> DataFrame:
     """Pairs of cells whose boxes are within eps, found through a coarse grid on the most varied dimensions."""
     width = eps + side
-    lows = [F.floor(F.col("box")[i]["l"] / width) for i in range(dims)]
-    spread = cells.agg(*[F.approx_count_distinct(c).alias(str(i)) for i, c in enumerate(lows)]).first()
+    lows = [f"floor(box[{i}].l / {width!r}D)" for i in range(dims)]
+    spread = cells.agg(*[F.expr(f"approx_count_distinct({c}, 0.1D)") for c in lows]).first()
     chosen = sorted(range(dims), key=lambda i: -spread[i])[:3]
     names = [f"_g{i}" for i in chosen]
-    home = cells.withColumns({n: lows[i] for n, i in zip(names, chosen)})
+    home = cells.withColumns({n: F.expr(lows[i]) for n, i in zip(names, chosen)})
     around = home
     for n in names:
         around = around.withColumn(n, F.explode(F.sequence(F.col(n) - 1, F.col(n) + 1)))
@@ -90,7 +106,7 @@ def _directed(pairs: DataFrame) -> DataFrame:
 def _linked_cells(core: DataFrame, candidates: DataFrame, dims: int, eps: float, side: float) -> DataFrame:
     """Pairs of core cells that hold two core vectors within eps of each other."""
     eps2 = eps * eps
-    boxes = core.groupBy("cid").agg(_box(F.col("x"), dims).alias("box"), F.count(F.lit(1)).alias("m"))
+    boxes = core.groupBy("cid").agg(_box(dims).alias("box"), F.count(F.lit(1)).alias("m"))
     a = boxes.select(F.col("cid").alias("a"), F.col("box").alias("box_a"), F.col("m").alias("m_a"))
     b = boxes.select(F.col("cid").alias("b"), F.col("box").alias("box_b"), F.col("m").alias("m_b"))
     gap, far = _gap2(F.col("box_a"), F.col("box_b")), _far2(F.col("box_a"), F.col("box_b"))
@@ -119,7 +135,7 @@ def _linked_cells(core: DataFrame, candidates: DataFrame, dims: int, eps: float,
         exact = work <= EXACT_PAIRS or level > 20
         child = -1 if exact else level
         parts = core.groupBy("cid", key(parent).alias("up"), key(child).alias("key")).agg(
-            _box(F.col("x"), dims).alias("box"), F.count(F.lit(1)).alias("m"))
+            _box(dims).alias("box"), F.count(F.lit(1)).alias("m"))
         pa = parts.select(F.col("cid").alias("a"), F.col("up").alias("key_a"), F.col("key").alias("sub_a"), F.col("box").alias("box_a"), F.col("m").alias("m_a"))
         pb = parts.select(F.col("cid").alias("b"), F.col("up").alias("key_b"), F.col("key").alias("sub_b"), F.col("box").alias("box_b"), F.col("m").alias("m_b"))
         state = cut_lineage(rest.select("a", "b", "key_a", "key_b").join(pa, ["a", "key_a"]).join(pb, ["b", "key_b"])
@@ -138,12 +154,12 @@ def dbscan(points: DataFrame, group: list[str], coords: list[str], order: list[s
     """
     dims = len(coords)
     eps2, side = eps * eps, eps / dims ** 0.5
-    pts = points.withColumn("_x", F.array(*[F.col(c) + F.lit(0.0) for c in coords]))
+    pts = points.withColumn("_x", F.expr("array(" + ", ".join(f"`{c}` + 0D" for c in coords) + ")"))
     uniq = cut_lineage(pts.groupBy(*group, F.col("_x").alias("x")).agg(
         F.count(F.lit(1)).alias("w"), F.min(F.struct(*order)).alias("first"))
         .withColumns({"uid": F.monotonically_increasing_id(),
                       "cell": F.transform("x", lambda v: F.floor(v / side))}))
-    cells = cut_lineage(uniq.groupBy(*group, "cell").agg(F.sum("w").alias("n"), _box(F.col("x"), dims).alias("box"))
+    cells = cut_lineage(uniq.groupBy(*group, "cell").agg(F.sum("w").alias("n"), _box(dims).alias("box"))
                         .withColumn("cid", F.monotonically_increasing_id()))
     pairs = cut_lineage(_neighbour_cells(cells, group, dims, eps, side))
     u = cut_lineage(uniq.join(cells.select(*group, "cell", "cid", F.col("n").alias("own")), [*group, "cell"]).drop("cell"))
@@ -163,8 +179,7 @@ def dbscan(points: DataFrame, group: list[str], coords: list[str], order: list[s
     core = u.filter("core")
 
     # clusters: components of core cells
-    core_cells = core.groupBy(*group, "cid").agg(F.min("first").alias("first"), _box(F.col("x"), dims).alias("box"))
-    core_cells = cut_lineage(core_cells)
+    core_cells = core.groupBy(*group, "cid").agg(F.min("first").alias("first"), _box(dims).alias("box"))
     links = _linked_cells(core.select("cid", "x"), pairs, dims, eps, side)
     comp = connected_components(core_cells.select(F.col("cid").alias("id")), links)
     named = core_cells.join(comp.withColumnRenamed("id", "cid"), "cid")

@@ -37,15 +37,12 @@ def threshold_grid() -> list[float]:
 def tune_threshold(df: DataFrame, y: str = "y", score: str = "score", thresholds: list[float] | None = None) -> DataFrame:
     """Precision, recall and F1 at each threshold, in one pass over the rows."""
     taus = thresholds or threshold_grid()
-    t = F.col(y) == 1
-    aggs = [F.count_if(t).alias("_pos")]
+    aggs = [F.expr(f"count_if(`{y}` = 1) AS _pos")]
     for i, tau in enumerate(taus):
-        hit = F.col(score) >= F.lit(tau)
-        aggs += [F.count_if(hit & t).alias(f"_tp{i}"), F.count_if(hit & ~t).alias(f"_fp{i}")]
-    one = df.agg(*aggs)
-    rows = one.select("_pos", F.inline(F.array(*[
-        F.struct(F.lit(tau).alias("threshold"), F.col(f"_tp{i}").alias("tp"), F.col(f"_fp{i}").alias("fp"))
-        for i, tau in enumerate(taus)])))
+        aggs += [F.expr(f"count_if(`{score}` >= {tau!r}D AND `{y}` = 1) AS _tp{i}"),
+                 F.expr(f"count_if(`{score}` >= {tau!r}D AND `{y}` <> 1) AS _fp{i}")]
+    cells = ", ".join(f"struct({tau!r}D AS threshold, _tp{i} AS tp, _fp{i} AS fp)" for i, tau in enumerate(taus))
+    rows = df.agg(*aggs).selectExpr("_pos", f"inline(array({cells}))")
     return rows.select("threshold", *[
         v.alias(k) for k, v in _prf(F.col("tp"), F.col("fp"), F.col("_pos") - F.col("tp")).items()])
 

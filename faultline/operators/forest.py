@@ -59,7 +59,7 @@ def grow_tree(x: np.ndarray, tree: int, seed: int) -> pd.DataFrame:
 
 def subsamples(df: DataFrame, columns: list[str], keys: list[str], trees: int, sample: int, n: int, seed: int) -> DataFrame:
     """(tree, h, x): `sample` distinct rows per tree, by lowest hash among slightly more candidates."""
-    rows = df.select(*keys, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    rows = df.select(*keys, F.expr("array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in columns) + ") AS x"))
     scale = float(1 << 53)
 
     def uniform(*parts: Column) -> Column:
@@ -119,7 +119,7 @@ class IsolationForest:
                 out.append(-np.exp2(-m["path"][trees, at].mean(axis=1) / norm))
             return pd.Series(np.concatenate(out) if out else [], dtype=float)
 
-        return score(F.struct(*[F.col(c).cast("double") for c in self.columns]))
+        return score(F.expr("struct(" + ", ".join(f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in self.columns) + ")"))
 
     def transform(self, df: DataFrame, flag_at: float = 0.0, strict: bool = True) -> DataFrame:
         """anomaly_score = offset - score; flagged above the cut (`strict`) or from it on."""

@@ -68,39 +68,41 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("weight"))
 
 
+SMALL_GRAPH = 100_000  # services; up to here the rank table (16 bytes a row) goes to every task
+
+
 def pagerank(edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100,
              iterations: int | None = None, cut_every: int = 10) -> DataFrame:
     """Weighted PageRank. `iterations` fixes the number of steps instead of testing for convergence.
 
-    The rank table has one row per service. Without dangling nodes several steps
-    go into one plan before it is written; with them each step needs the
-    dangling mass, one number, from the step before.
+    Every node has a link of weight zero to itself, so one join and one sum
+    give the next ranks of all nodes and their change. Without dangling nodes
+    several steps go into one plan before it is written; with them each step
+    needs one number, the dangling mass, from the step before.
     """
     edges = merge_edges(edges)
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
-    links = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share")))
-    nodes = (links.select(F.col("src").alias("service"), F.lit(1).alias("_o"))
-             .unionByName(links.select(F.col("dst").alias("service"), F.lit(0).alias("_o")))
-             .groupBy("service").agg((F.max("_o") == 0).alias("dangling")))
-    nodes = cut_lineage(nodes)
-    n, n_dangling = nodes.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
+    moves = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share"), F.lit(False).alias("own"))
+    ends = moves.select(F.inline(F.array(F.struct(F.col("src").alias("v"), F.lit(1).alias("o")),
+                                         F.struct(F.col("dst").alias("v"), F.lit(0).alias("o")))))
+    nodes = ends.groupBy("v").agg((F.max("o") == 0).alias("dangling"))
+    links = cut_lineage(moves.withColumn("dangling", F.lit(False)).unionByName(nodes.select(
+        F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"), "dangling")))
+    n, n_dangling = links.agg(F.count_if("own"), F.count_if(F.col("own") & F.col("dangling"))).first()
     if not n:
-        return nodes.select("service", F.lit(0.0).alias("rank"))
-    ranks = nodes.withColumns({"rank": F.lit(1.0 / n), "_err": F.lit(0.0)})
+        return links.select(F.col("src").alias("service"), F.lit(0.0).alias("rank"))
+    ranks = links.filter("own").select(F.col("src").alias("service"), "dangling", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("_err"))
     stride = 1 if n_dangling else cut_every
     limit = iterations if iterations is not None else max_iter
-    done = 0
-    mass = n_dangling / n
+    done, mass = 0, n_dangling / n
     while done < limit:
         for _ in range(min(stride, limit - done)):
-            # a source may hold many links: the rank side is the small one
-            moved = (links.join(ranks.select(F.col("service").alias("src"), "rank"), "src")
-                     .groupBy(F.col("dst").alias("service")).agg(F.sum(F.col("rank") * F.col("share")).alias("_in")))
-            ranks = (ranks.join(moved, "service", "left")
-                     .withColumn("_new", F.lit(alpha) * (F.coalesce("_in", F.lit(0.0)) + F.lit(mass / n))
-                                 + F.lit((1 - alpha) / n))
-                     .select("service", "dangling", F.col("_new").alias("rank"),
-                             F.abs(F.col("_new") - F.col("rank")).alias("_err")))
+            now = ranks.select(F.col("service").alias("src"), "rank")
+            now = F.broadcast(now) if n <= SMALL_GRAPH else now
+            own = F.max(F.when(F.col("own"), F.col("rank")))
+            new = F.lit(alpha) * (F.sum(F.col("rank") * F.col("share")) + F.lit(mass / n)) + F.lit((1 - alpha) / n)
+            ranks = (links.join(now, "src").groupBy(F.col("dst").alias("service"))
+                     .agg(F.bool_or("dangling").alias("dangling"), new.alias("rank"), F.abs(new - own).alias("_err")))
             done += 1
         ranks = cut_lineage(ranks)
         if iterations is not None and not n_dangling:

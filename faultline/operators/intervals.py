@@ -128,8 +128,7 @@ def nearest_row(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str
     ok_a = F.coalesce(gap_a <= tolerance_us, F.lit(False))
     pick = (F.when(ok_b & (~ok_a | (gap_b <= gap_a)), F.col("_b")).when(ok_a, F.col("_a")))
     out = out.withColumn("_hit", pick)
-    return out.select("_left.*", from_micros("_hit.t").alias(matched),
-                      *[F.col(f"_hit.p.{c}").alias(c) for c in payload])
+    return out.selectExpr("_left.*", f"timestamp_micros(_hit.t) AS `{matched}`", *[f"_hit.p.`{c}` AS `{c}`" for c in payload])
 
 
 def attach_embeddings(alerts: DataFrame, features: DataFrame, columns: list[str],
@@ -137,8 +136,7 @@ def attach_embeddings(alerts: DataFrame, features: DataFrame, columns: list[str]
     """Text weights of the feature row nearest to each alert; zeros where none is close."""
     out = nearest_row(alerts, features, RUN_SERVICE, "ts", "window_end", columns,
                       tolerance_us, prefer="window_start")
-    return (out.withColumn("has_embed", F.col("embed_window_end").isNotNull())
-            .withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in columns}))
+    return out.withColumn("has_embed", F.col("embed_window_end").isNotNull()).na.fill(0.0, columns)
 
 
 def fault_active_grid(labels: DataFrame, step_us: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions.scalars import replace_columns
 from faultline.operators.evaluation import minmax_normalize
 from faultline.operators.scaling import fit_scaler, scaled
 
@@ -28,7 +29,10 @@ class Scaler:
         return Scaler(columns, [row[f"_mu_{c}"] or 0.0 for c in columns], [row[f"_sd_{c}"] or 0.0 for c in columns])
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: scaled(F.col(c), F.lit(m), F.lit(s)) for c, m, s in zip(self.columns, self.mean, self.deviation)})
+        return replace_columns(df, self.expressions())
+
+    def expressions(self) -> dict[str, str]:
+        return {c: scaled(f"CAST(`{c}` AS DOUBLE)", f"{m!r}D", f"{s!r}D") for c, m, s in zip(self.columns, self.mean, self.deviation)}
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(self.columns, self.mean, self.deviation)],
@@ -49,8 +53,8 @@ class IncidentModel:
     def transform(self, df: DataFrame, method: str = "probability") -> DataFrame:
         """Adds `probability` and `flag`. Scores that are no probabilities are spread to 0..1 or taken as they are."""
         names = {c: f"_x_{i}" for i, c in enumerate(self.scaler.columns)}
-        rows = df.withColumns({v: scaled(F.col(c).cast("double"), F.lit(m), F.lit(s)) for (c, v), m, s in
-                               zip(names.items(), self.scaler.mean, self.scaler.deviation)})
+        texts = self.scaler.expressions()
+        rows = df.selectExpr("*", *[f"{texts[c]} AS {v}" for c, v in names.items()])
         rows = VectorAssembler(inputCols=list(names.values()), outputCol="_features").transform(rows)
         out = self.regression.transform(rows)
         if method == "probability":
@@ -80,7 +84,7 @@ def fit_incident_model(df: DataFrame, columns: list[str], label: str = "y_future
     if pos in (0, n):
         raise ValueError("training needs both classes")
     scaler = Scaler.fit(df, columns)
-    rows = scaler.transform(df.select(label, *[F.col(x).cast("double").alias(x) for x in columns]))
+    rows = scaler.transform(df.select(label, *columns))
     weight = F.when(F.col(label) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
     rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(rows.withColumn("_weight", weight))
     lr = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_weight", regParam=1.0 / (c * n), maxIter=max_iter,

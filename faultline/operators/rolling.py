@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.scalars import from_micros, micros
@@ -13,7 +13,7 @@ from faultline.schemas import METRIC_NAMES
 
 # The rolling windows and their column suffixes.
 WINDOWS = {"1min": MINUTE, "5min": 5 * MINUTE, "15min": 15 * MINUTE}
-STATS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+STATS = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
 
 
 def pivot_metrics(metrics: DataFrame) -> DataFrame:
@@ -30,12 +30,10 @@ def stack_windows(wide: DataFrame, keys: list[str], end: str, names: dict[str, l
 
     `names` maps each window label to its columns in `wide`.
     """
-    labels = list(windows)
-    tall = wide.withColumn("_w", F.explode(F.array(*[F.lit(i) for i in range(len(labels))])))
-    width = F.element_at(F.array(*[F.lit(windows[w]) for w in labels]), F.col("_w") + 1)
-    cols = [F.when(F.col("_w") == i, F.col(c)).alias(c) for i, w in enumerate(labels) for c in names[w]]
-    return tall.select(*keys, from_micros(micros(end) - width).alias("window_start"),
-                       F.col(end).alias("window_end"), *cols)
+    widths = ", ".join(f"{us}L" for us in windows.values())
+    tall = wide.selectExpr("*", f"posexplode(array({widths})) AS (_w, _us)")
+    cols = [f"CASE WHEN _w = {i} THEN `{c}` END AS `{c}`" for i, w in enumerate(windows) for c in names[w]]
+    return tall.selectExpr(*keys, f"timestamp_micros(unix_micros({end}) - _us) AS window_start", f"{end} AS window_end", *cols)
 
 
 def rolling_stats(samples: DataFrame, columns: list[str] = METRIC_NAMES,
@@ -49,15 +47,11 @@ def rolling_stats(samples: DataFrame, columns: list[str] = METRIC_NAMES,
     reach = max(windows.values())
     rows = with_time_blocks(samples.select(*keys, "ts", *columns), micros("ts"), 4 * reach, reach)
     rows = rows.withColumn("_t", micros("ts"))
-    part = Window.partitionBy(*keys, "_block").orderBy("_t")
+    part = f"PARTITION BY {', '.join(keys)}, _block ORDER BY _t"
     names = {w: [f"{c}_{s}_{w}" for c in columns for s in STATS] for w in windows}
-    frames: dict[str, Column] = {}
-    for w, us in windows.items():
-        over = part.rangeBetween(-(us - 1), 0)
-        for c in columns:
-            for s, fn in STATS.items():
-                frames[f"{c}_{s}_{w}"] = fn(c).over(over)
-    wide = home_rows(rows.withColumns(frames))
+    frames = [f"{fn}({c}) OVER ({part} RANGE BETWEEN {us - 1}L PRECEDING AND CURRENT ROW) AS {c}_{s}_{w}"
+              for w, us in windows.items() for c in columns for s, fn in STATS.items()]
+    wide = home_rows(rows.selectExpr("*", *frames))
     if layout == "wide":
         return wide.select(*keys, F.col("ts").alias("window_end"), *[c for w in windows for c in names[w]])
     return stack_windows(wide, keys, "ts", names, windows)
@@ -75,22 +69,15 @@ def rolling_sums(rows: DataFrame, measures: list[str], windows: dict[str, int],
     totals = rows.groupBy(*keys, micros("ts").alias("_at")).agg(
         *[F.sum(F.col(m).cast("long")).alias(m) for m in measures])
     blocked = with_time_blocks(totals, F.col("_at"), 4 * reach, reach)
-    labels = list(windows)
-    steps = blocked.withColumn("_k", F.explode(F.array(*[F.lit(i) for i in range(len(labels) + 1)])))
-    shift = F.element_at(F.array(F.lit(0).cast("long"), *[F.lit(windows[w]).cast("long") for w in labels]), F.col("_k") + 1)
-    deltas = {}
-    for i, w in enumerate(labels, start=1):
-        for m, out in zip(measures, names[w]):
-            deltas[out] = (F.when(F.col("_k") == 0, F.col(m)).when(F.col("_k") == i, -F.col(m))
-                           .otherwise(F.lit(0)).cast("long"))
-    events = steps.select(*keys, "_block", (F.col("_at") + shift).alias("_t"),
-                          ((F.col("_k") == 0) & (F.col("_block") == F.col("_home"))).alias("_out"),
-                          *[v.alias(n) for n, v in deltas.items()])
-    running = (Window.partitionBy(*keys, "_block").orderBy("_t")
-               .rangeBetween(Window.unboundedPreceding, 0))
-    wide = (events.withColumns({n: F.sum(n).over(running) for n in deltas})
-            .filter("_out").withColumn("ts", from_micros("_t")))
-    return wide.select(*keys, "ts", *deltas)
+    shifts = ", ".join(f"{us}L" for us in [0, *windows.values()])
+    steps = blocked.selectExpr("*", f"posexplode(array({shifts})) AS (_k, _us)")
+    deltas = {out: f"CASE _k WHEN 0 THEN {m} WHEN {i} THEN -{m} ELSE 0L END"
+              for i, w in enumerate(windows, start=1) for m, out in zip(measures, names[w])}
+    events = steps.selectExpr(*keys, "_block", "_at + _us AS _t", "_k = 0 AND _block = _home AS _out",
+                              *[f"{e} AS {n}" for n, e in deltas.items()])
+    running = f"PARTITION BY {', '.join(keys)}, _block ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    wide = events.selectExpr(*keys, "_t", "_out", *[f"sum({n}) OVER ({running}) AS {n}" for n in deltas]).filter("_out")
+    return wide.select(*keys, from_micros("_t").alias("ts"), *deltas)
 
 
 LOG_MEASURES = ["count", "error_count", "warn_count", "error_keywords"]

@@ -48,8 +48,7 @@ def tfidf_wide(docs: DataFrame, keys: list[str], text: str = "text", size: int =
     """One row per document with any known term, columns tfidf_0 .. tfidf_<size-1>."""
     long = tfidf(docs, keys, text, size)
     return long.groupBy(*keys).agg(*[
-        F.coalesce(F.sum(F.when(F.col("idx") == i, F.col("weight"))), F.lit(0.0)).alias(f"tfidf_{i}")
-        for i in range(size)])
+        F.expr(f"coalesce(sum(CASE WHEN idx = {i} THEN weight END), 0D) AS tfidf_{i}") for i in range(size)])
 
 
 def log_documents(logs: DataFrame, bucket_us: int = MINUTE, label: str = "start") -> DataFrame:

@@ -27,7 +27,7 @@ class Detector:
 
     def transform(self, df: DataFrame, flag_at: float = 0.0, strict: bool = True) -> DataFrame:
         names = {c: f"_x_{i}" for i, c in enumerate(self.scaler.columns)}
-        rows = S.clean_features(df, self.scaler.columns).withColumns({v: F.col(c) for c, v in names.items()})
+        rows = df.selectExpr("*", *[f"{S.finite_or_zero_sql(c)} AS {v}" for c, v in names.items()])
         inner = Scaler(list(names.values()), self.scaler.mean, self.scaler.deviation).transform(rows)
         forest = IsolationForest(list(names.values()), self.forest.sample, self.forest.offset, self.forest.nodes)
         return forest.transform(inner, flag_at, strict).drop(*names.values())

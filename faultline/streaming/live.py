@@ -44,7 +44,7 @@ def log_counts(logs: DataFrame, width: str = "1 minute", slide: str = "10 second
 def metric_features(metrics: DataFrame, width: str = "1 minute", slide: str | None = None, delay: str = "1 minute") -> DataFrame:
     """Mean, deviation, minimum and maximum of each metric per window; metrics arrive one per row."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    aggs = [fn(F.when(F.col("metric") == m, F.col("value"))).alias(f"{m}_{s}") for m in METRIC_NAMES for s, fn in STATS.items()]
+    aggs = [F.expr(f"{fn}(CASE WHEN metric = '{m}' THEN value END) AS {m}_{s}") for m in METRIC_NAMES for s, fn in STATS.items()]
     return (metrics.withWatermark("ts", delay).groupBy(w, *RUN_SERVICE).agg(*aggs)
             .select(*RUN_SERVICE, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                     *[f"{m}_{s}" for m in METRIC_NAMES for s in STATS]))
