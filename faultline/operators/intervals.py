@@ -91,7 +91,7 @@ def detection_delay(scored: DataFrame, labels: DataFrame, flag: str = "y_pred",
              .groupBy("label_seq").agg(F.min("window_start").alias("first_detect_ts")))
     delay = (micros("first_detect_ts") - micros("start_ts")) / 1e6
     if clip_zero:
-        delay = F.greatest(delay, F.lit(0.0))
+        delay = F.when(delay < 0, F.lit(0.0)).otherwise(delay)
     return (labels.join(first, "label_seq", "left")
             .select("label_seq", *RUN_SERVICE, "fault_type", F.col("start_ts").alias("fault_start"),
                     F.col("end_ts").alias("fault_end"), "first_detect_ts", delay.alias("mttd_seconds")))
