@@ -60,9 +60,9 @@ def dedup_alerts(t):
 
 
 @query("bucket_documents", """
-SELECT run_id, service, date_trunc('hour', ts) AS window_end, string_agg(text, ' ' ORDER BY ts) AS text FROM v_log_flags GROUP BY ALL""")
+SELECT run_id, service, date_trunc('hour', ts) AS window_end, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY ts, event_id) AS text FROM v_log_flags GROUP BY ALL""")
 def bucket_documents(t):
-    return text.bucket_documents(flagged_logs(t), HOUR)
+    return text.bucket_documents(flagged_logs(t), HOUR, "event_id")
 
 
 def daily_incidents(t):

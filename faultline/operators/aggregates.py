@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.scalars import from_micros, micros
 from faultline.operators.ordering import exact_quantiles
+from faultline.session import sized_side
 
 
 def last_run(labels: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def null_census(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def elapsed_from_start(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Seconds since the first row of the key: one aggregate joined back, no window over a whole key."""
-    first = df.groupBy(*keys).agg(F.min(micros(ts)).alias("_t0"))
+    first = sized_side(df.groupBy(*keys).agg(F.min(micros(ts)).alias("_t0")))
     return df.join(first, keys).withColumn("elapsed_seconds", (micros(ts) - F.col("_t0")) / 1e6).drop("_t0")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.scalars import bin_of, micros
-from faultline.session import cut_lineage
+from faultline.session import cut_lineage, sized_side
 
 
 def cooccurrence_edges(incidents: DataFrame, window_us: int = 120_000_000, exclude_noise: bool = False) -> DataFrame:
@@ -117,7 +117,7 @@ def max_normalize(df: DataFrame, value: str, out: str, keys: list[str] | None =
     """v / (max + 1e-12), the maximum taken per key or over the whole table."""
     if not keys:
         return df.withColumn(out, F.col(value) / (df.agg(F.max(value)).scalar() + 1e-12))
-    top = df.groupBy(*keys).agg(F.max(value).alias("_max"))
+    top = sized_side(df.groupBy(*keys).agg(F.max(value).alias("_max")))
     return df.join(top, keys).withColumn(out, F.col(value) / (F.col("_max") + 1e-12)).drop("_max")
 
 

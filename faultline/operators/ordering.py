@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.session import cut_lineage
+from faultline.session import cut_lineage, sized_side
 
 
 def _sort_columns(order: list[str | Column]) -> list[Column]:
@@ -84,7 +84,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, points: dict[s
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*groups, value)
               .agg(F.count(F.lit(1)).alias("_n")))
     placed = prefix_sums(counts, [*groups, value], {"_before": "_n"})
-    bases = placed.groupBy(*groups).agg(F.min("_before").alias("_base"), F.sum("_n").alias("_total"))
+    bases = sized_side(placed.groupBy(*groups).agg(F.min("_before").alias("_base"), F.sum("_n").alias("_total")))
     joined = placed.join(bases, groups).withColumn("_at", F.col("_before") - F.col("_base"))
 
     def holds(place: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from faultline.functions.scalars import bin_of, clamp_min, from_micros, micros
 from faultline.operators.blocks import home_rows, with_time_blocks
 from faultline.operators.intervals import MINUTE
+from faultline.session import sized_side
 
 
 def _first_tick(ts: Column, step_us: int, origin_us: int) -> Column:
@@ -60,7 +61,7 @@ def evaluate_on_grid(samples: DataFrame, ranges: DataFrame, keys: list[str], ste
     Each run's grid starts at its own start time, so a sample's ticks follow
     from it by arithmetic; samples meet ranges on run_id only.
     """
-    r = ranges.select("run_id", micros("start_ts").alias("_s"), micros("end_ts").alias("_e"))
+    r = sized_side(ranges.select("run_id", micros("start_ts").alias("_s"), micros("end_ts").alias("_e")))
     s = samples.select(*keys, micros("ts").alias("_t"), "value").join(r, "run_id")
     s = (s.withColumn("_k", F.greatest(-bin_of(-(F.col("_t") - F.col("_s")), step_us), F.lit(0)))
          .withColumn("_end", F.least(-bin_of(-(F.col("_t") + lookback_us - F.col("_s")), step_us) - 1,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.scalars import finite_or_zero_sql, micros, replace_columns
+from faultline.session import sized_side
 
 
 def fit_scaler(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -20,14 +21,14 @@ def scaled(value: str, mean: str, deviation: str) -> str:
 
 
 def standard_scale(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    params = fit_scaler(df, columns, keys)
+    params = sized_side(fit_scaler(df, columns, keys))
     out = [f"`{c}`" if c not in columns else f"{scaled(f'`{c}`', f'`_mu_{c}`', f'`_sd_{c}`')} AS `{c}`" for c in df.columns]
     return df.join(params, keys).selectExpr(*out)
 
 
 def clustering_columns(alerts: DataFrame, tfidf: list[str], time_weight: float = 0.05) -> tuple[DataFrame, list[str]]:
     """Columns to cluster on: weighted seconds since the run's first alert, score, text weights."""
-    first = alerts.groupBy("run_id").agg(F.min(micros("ts")).alias("_t0"))
+    first = sized_side(alerts.groupBy("run_id").agg(F.min(micros("ts")).alias("_t0")))
     out = replace_columns(alerts.join(first, "run_id"), {
         "_c_time": f"(unix_micros(ts) - _t0) / 1e6 * {float(time_weight)!r}D",
         "_c_score": finite_or_zero_sql("score"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from faultline.functions.scalars import from_micros, micros
 from faultline.operators.intervals import MINUTE, RUN_SERVICE
+from faultline.operators.ordering import positions
+from faultline.session import cut_lineage, sized_side
 
 # Fixed value: a token is two or more word characters of any script.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -28,11 +30,12 @@ def tfidf(docs: DataFrame, keys: list[str], text: str = "text", size: int = 50)
     """Long form (keys, idx, term, weight): tf * (ln((1+N)/(1+df)) + 1), rows scaled to length 1.
 
     Tokens outside the vocabulary are dropped before the shuffle, so only
-    (document, kept term) counts move.
+    (document, kept term) counts move; they are written once, so the texts are
+    read twice: for the vocabulary and for the counts.
     """
     vocab = F.broadcast(vocabulary(docs, text, size))  # at most `size` rows
-    counts = (docs.select(*keys, F.explode(tokens(F.col(text))).alias("term")).join(vocab, "term")
-              .groupBy(*keys, "idx", "term").agg(F.count(F.lit(1)).alias("tf")))
+    counts = cut_lineage(docs.select(*keys, F.explode(tokens(F.col(text))).alias("term")).join(vocab, "term")
+                         .groupBy(*keys, "idx", "term").agg(F.count(F.lit(1)).alias("tf")))
     spread = F.broadcast(counts.groupBy("idx").agg(F.count(F.lit(1)).alias("df")))  # at most `size` rows
     total = docs.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()
     raw = (counts.join(spread, "idx")
@@ -63,10 +66,17 @@ def log_documents(logs: DataFrame, bucket_us: int = MINUTE, label: str = "start"
                        from_micros(end).alias("window_end"), "ts", "text")
 
 
-def bucket_documents(logs: DataFrame, bucket_us: int = MINUTE, tie: str | None = None) -> DataFrame:
-    """Text of each bucket joined by a space in time order: the report form of a document."""
+def bucket_documents(logs: DataFrame, bucket_us: int = MINUTE, tie: str = "text", lines_per_part: int = 10_000) -> DataFrame:
+    """Text of each bucket joined by a space in time order: the report form of a document.
+
+    A document of more than `lines_per_part` lines comes as several numbered
+    parts, so no task ever holds more than that many lines of one bucket.
+    """
     start = from_micros(micros("ts") - F.pmod(micros("ts"), F.lit(bucket_us)))
-    order = ["ts"] + ([tie] if tie else [])
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "text")))
-    return (logs.groupBy(*RUN_SERVICE, start.alias("window_end"))
-            .agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text")))
+    doc = [*RUN_SERVICE, "window_end"]
+    placed = positions(logs.select(*RUN_SERVICE, start.alias("window_end"), "ts", tie, *(["text"] if tie != "text" else [])),
+                       [*RUN_SERVICE, "ts", tie])
+    first = sized_side(placed.groupBy(*doc).agg(F.min("pos").alias("_first")))
+    parts = placed.join(first, doc).withColumn("part", F.expr(f"(pos - _first) div {lines_per_part}"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return parts.groupBy(*doc, "part").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))

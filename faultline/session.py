@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 << 20  # largest side sent to every executor
 
 
 def build_session(app: str = "faultline", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,5 +58,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized_side(df: DataFrame) -> DataFrame:
+    """An aggregate about to be joined to a far larger table: counted first, broadcast only if small.
+
+    It is written once, so the count is of the rows that are joined. A side
+    beyond the bound stays a shuffled join, which adaptive execution splits
+    where a key is hot. Meant for sides of numbers and short names.
+    """
+    table = cut_lineage(df)
+    row_bytes = 64 * len(df.columns)
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

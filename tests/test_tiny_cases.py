@@ -343,3 +343,18 @@ def test_rca_document(spark, tmp_path, at):
     assert (doc.incident_id, doc.n_alerts) == ("r_inc0", 2)
     assert [c.service for c in doc.candidates] == ["b", "a"]
     assert math.isclose(doc.candidates[0].score, 3 + 0.4 * 0.1, abs_tol=1e-9) and math.isclose(doc.candidates[1].score, 1 + 0.3 + 0.4, abs_tol=1e-9)
+
+
+def test_documents_split_into_parts(spark, at):
+    logs = spark.createDataFrame([("r", "s", at(i), f"w{i}") for i in range(7)] + [("r", "t", at(1), "x")],
+                                 "run_id STRING, service STRING, ts TIMESTAMP, text STRING")
+    got = text.bucket_documents(logs, MIN, lines_per_part=3).orderBy("service", "part")
+    assert rows(got, "service", "part", "text") == [("s", 0, "w0 w1 w2"), ("s", 1, "w3 w4 w5"), ("s", 2, "w6"), ("t", 0, "x")]
+
+
+def test_sides_beyond_the_bound_are_shuffled(spark, monkeypatch):
+    from faultline import session
+    df = spark.range(10).selectExpr("id % 2 AS k", "id AS v")
+    assert "ResolvedHint" in session.sized_side(df)._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 10)
+    assert "ResolvedHint" not in session.sized_side(df)._jdf.queryExecution().analyzed().toString()
