@@ -41,7 +41,10 @@ def end_to_end_features(t):
     return feature_table(t)
 
 
-@query("end_to_end_train_detector")
+@query("end_to_end_train_detector", f"""
+SELECT count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM v_faults f WHERE f.run_id = w.run_id AND f.service = w.service AND f.start_ts <= w.window_start
+  AND w.window_start <= f.end_ts)) AS n_train_normal, count(*) AS n_total, 0.05::DOUBLE AS contamination, 110 AS n_features,
+  '{','.join([*_M, *_L, *[f'tfidf_{i}' for i in range(50)]])}' AS feature_columns FROM v_metric_features w""")
 def end_to_end_train_detector(t):
     """The training summary of a detector fitted on all feature columns."""
     return detect.train_detector(feature_table(t), t.faults, bin_us=4 * HOUR).summary(t.spark)

@@ -12,6 +12,8 @@ from faultline.catalog.registry import query
 from faultline.catalog.views import HOUR
 from faultline.operators import aggregates as A
 from faultline.operators import alerts, graph, ordering, range_vectors
+from faultline.session import scratch_path
+from faultline.sources import sinks
 
 ORDER = ["window_start", "window_end", "run_id", "service"]
 _KEY = "run_id, service, window_start, window_end"
@@ -86,6 +88,19 @@ def rca_topk(t):
     return graph.rank_causes(daily_incidents(t), flat_centrality(t), top_k=2)
 
 
+@query("write_rca_json", "WITH " + RANKED_SQL.format(incidents=INCIDENTS_SQL, graph=_CENTRALITY, k=3).replace(
+    "SELECT incident_id, run_id, row_number()", f"SELECT incident_id, run_id, (SELECT count(*) FROM {INCIDENTS_SQL} i WHERE i.incident_id = f.incident_id) AS n_alerts, row_number()"))
+def write_rca_json(t):
+    """One document per incident, read back with the candidates' places in their lists."""
+    incidents = daily_incidents(t)
+    path = scratch_path(t.spark, "rca")
+    sinks.write_rca_json(graph.rank_causes(incidents, flat_centrality(t), 3), graph.incident_summary(incidents), path)
+    fields = "service STRING, score DOUBLE, magnitude DOUBLE, centrality DOUBLE, earliness DOUBLE"
+    docs = t.spark.read.schema(f"incident_id STRING, run_id STRING, n_alerts LONG, candidates ARRAY<STRUCT<{fields}>>").json(path)
+    rows = docs.select("incident_id", "run_id", "n_alerts", F.posexplode("candidates").alias("pos", "c"))
+    return rows.select("incident_id", "run_id", "n_alerts", (F.col("pos") + 1).alias("rank"), "c.*")
+
+
 @query("recent_incidents", f"""
 SELECT incident_id, min(ts) AS first_seen FROM {INCIDENTS_SQL} GROUP BY ALL ORDER BY 2 DESC, 1 DESC LIMIT 20""")
 def recent_incidents(t):

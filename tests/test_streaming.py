@@ -66,3 +66,18 @@ def test_batch_and_stream_counters_agree(spark):
     stream = live.request_counters(live.read_stream(spark, folder, "events"), ["event_type"], "value", [10.0])
     got = live.run_update(stream, "t", ["event_type"]).select("event_type", "requests")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_models_score_streams_like_tables(spark):
+    from faultline.operators.regression import fit_incident_model
+    from faultline.plans import detect
+    data = spark.range(400).selectExpr("id", "cast(hash(id) % 1000 as double) a", "cast(hash(id + 7) % 1000 as double) b",
+                                       "cast(hash(id) % 1000 > 300 as int) y_future")
+    path = scratch_path(spark, "feed")
+    data.repartition(3, "id").write.parquet(path)
+    table = spark.read.parquet(path)
+    scaler, forest = detect.fit_detector(table, ["a", "b"], ["id"], trees=20)
+    detector, predictor = detect.Detector(scaler, forest, 0, 0, 0.05), fit_incident_model(table, ["a", "b"])
+    for model, col in ((detector, "anomaly_score"), (predictor, "probability")):
+        got = live.run_append(model.transform(live.read_stream(spark, path, files_per_batch=1)).select("id", col), "t")
+        assert got.count() == 400 and got.exceptAll(model.transform(table).select("id", col)).count() == 0
