@@ -60,7 +60,9 @@ def main() -> int:
     sf = args[0] if args else "0.01"
     queries, oracles = load()
     keys = args[1:] or list(queries)
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session("check", "local[8]", **{
+        "spark.sql.shuffle.partitions": os.environ.get("CHECK_PARTITIONS", "8"), "spark.driver.memory": "8g",
+        "spark.ui.showConsoleProgress": "false", "spark.python.sql.dataFrameDebugging.enabled": "true"})
     spark.sparkContext.setLogLevel("ERROR")
     folder = f"/root/testdata/sf{sf}"
     failed = 0
