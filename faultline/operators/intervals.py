@@ -102,17 +102,15 @@ def nearest_row(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str
                 matched: str = "embed_window_end", block_us: int | None = None) -> DataFrame:
     """Nearest right row of the same keys within the tolerance; a tie goes to the earlier one.
 
-    Rows of the right side that share a time are reduced to the one with the
-    largest `prefer` value. One union, then the last value seen from each side;
-    both frames only grow, so the work per block is linear.
+    Of right rows that share a time the one with the largest `prefer` value is
+    taken. One union, then the last value seen from each side; both frames only
+    grow, so the work per block is linear.
     """
     block_us = block_us or max(60 * tolerance_us, MINUTE)
     rhs = right.select(*keys, micros(right_ts).alias("_t"), F.struct(*payload).alias("_payload"),
-                       *([F.col(prefer).alias("_prefer")] if prefer else []))
-    if prefer:
-        rhs = rhs.groupBy(*keys, "_t").agg(F.max_by("_payload", "_prefer").alias("_payload"))
-    rhs = rhs.withColumns({"_side": F.lit(0), "_left": F.lit(None).cast(left.schema)})
-    lhs = left.select(*keys, micros(left_ts).alias("_t"), F.lit(None).cast(rhs.schema["_payload"].dataType).alias("_payload"),
+                       (F.col(prefer) if prefer else F.lit(0)).alias("_prefer"),
+                       F.lit(0).alias("_side"), F.lit(None).cast(left.schema).alias("_left"))
+    lhs = left.select(*keys, micros(left_ts).alias("_t"), *[F.lit(None).cast(rhs.schema[c].dataType).alias(c) for c in ("_payload", "_prefer")],
                       F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
     rhs = with_time_blocks(rhs, F.col("_t"), block_us, tolerance_us, tolerance_us)
     lhs = with_time_blocks(lhs, F.col("_t"), block_us)
@@ -120,8 +118,8 @@ def nearest_row(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str
     seen = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("t"), F.col("_payload").alias("p")))
     part = Window.partitionBy(*keys, "_block")
     grow = (Window.unboundedPreceding, 0)
-    back = F.last(seen, ignorenulls=True).over(part.orderBy("_t", "_side").rowsBetween(*grow))
-    ahead = F.last(seen, ignorenulls=True).over(part.orderBy(F.desc("_t"), "_side").rowsBetween(*grow))
+    back = F.last(seen, ignorenulls=True).over(part.orderBy("_t", "_side", "_prefer").rowsBetween(*grow))
+    ahead = F.last(seen, ignorenulls=True).over(part.orderBy(F.desc("_t"), "_side", "_prefer").rowsBetween(*grow))
     out = both.withColumns({"_b": back, "_a": ahead}).filter(F.col("_side") == 1)
     gap_b, gap_a = F.col("_t") - F.col("_b.t"), F.col("_a.t") - F.col("_t")
     ok_b = F.coalesce(gap_b <= tolerance_us, F.lit(False))

@@ -17,11 +17,14 @@ STATS = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
 
 
 def pivot_metrics(metrics: DataFrame) -> DataFrame:
-    """One row per run, time and service; a column per metric; rows without any value vanish."""
+    """One row per run, time and service; a column per metric; rows without any value vanish.
+
+    The metric names are known, so conditional means need one shuffle where a
+    pivot would take two.
+    """
+    means = [F.expr(f"avg(CASE WHEN metric = '{m}' THEN value END) AS {m}") for m in METRIC_NAMES]
     return (metrics.na.drop(subset=["ts", "service", "metric"])
-            .groupBy("run_id", "ts", "service").pivot("metric", METRIC_NAMES)
-            .agg(F.avg("value"))
-            .na.drop("all", subset=METRIC_NAMES))
+            .groupBy("run_id", "ts", "service").agg(*means).na.drop("all", subset=METRIC_NAMES))
 
 
 def stack_windows(wide: DataFrame, keys: list[str], end: str, names: dict[str, list[str]],
