@@ -99,7 +99,7 @@ def log_field_fallback(t):
 @query("relabel_logs", """
 SELECT service, '/x-' || service AS container, CAST(event_id AS VARCHAR) AS container_id, level, message, ts FROM v_logs""")
 def relabel_logs(t):
-    labels = F.create_map(F.lit("__meta_docker_container_label_aiops_service"), F.col("service"),
+    labels = F.create_map(F.lit("__meta_docker_container_label_shop_service"), F.col("service"),
                           F.lit("__meta_docker_container_name"), F.concat(F.lit("/x-"), "service"),
                           F.lit("__meta_docker_container_id"), F.col("event_id").cast("string"))
     line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "level", "message"))
@@ -170,8 +170,8 @@ def select_tfidf_cols(t):
 
 @query("align_vector", """
 SELECT event_id, CASE event_type WHEN 'view' THEN round(cents, 6) WHEN 'click' THEN 0.0 WHEN 'purchase' THEN 3.0 END AS f1,
-  CASE event_type WHEN 'view' THEN 0.0 WHEN 'click' THEN 0.0 WHEN 'purchase' THEN 4.0 END AS f2,
-  CASE event_type WHEN 'view' THEN 10.0 WHEN 'click' THEN 7.0 WHEN 'purchase' THEN 5.0 END AS f3,
+  CAST(CASE event_type WHEN 'view' THEN 0.0 WHEN 'click' THEN 0.0 WHEN 'purchase' THEN 4.0 END AS DOUBLE) AS f2,
+  CAST(CASE event_type WHEN 'view' THEN 10.0 WHEN 'click' THEN 7.0 WHEN 'purchase' THEN 5.0 END AS DOUBLE) AS f3,
   CASE event_type WHEN 'signup' THEN 'bad_feature_length' WHEN 'error' THEN 'feature_names_mismatch' END AS reject FROM v_events""")
 def align_vector(t):
     kind = F.col("event_type")

@@ -28,7 +28,7 @@ def model_rows(t):
 
 @query("standard_scale", """
 WITH p AS (SELECT run_id, avg(amount) AS m1, stddev_pop(amount) AS s1, avg(user_id) AS m2, stddev_pop(user_id) AS s2 FROM v_events GROUP BY ALL)
-SELECT event_id, round((amount - m1) / s1, 6) AS a, round((user_id - m2) / s2, 6) AS b, 0.0 AS c FROM v_events JOIN p USING (run_id)""")
+SELECT event_id, round((amount - m1) / s1, 6) AS a, round((user_id - m2) / s2, 6) AS b, 0.0::DOUBLE AS c FROM v_events JOIN p USING (run_id)""")
 def standard_scale(t):
     rows = t.events.select("event_id", "run_id", F.col("amount").alias("a"), F.col("user_id").cast("double").alias("b"), F.lit(7.0).alias("c"))
     return scaling.standard_scale(rows, ["a", "b", "c"], ["run_id"]).drop("run_id")

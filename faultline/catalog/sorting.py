@@ -52,7 +52,7 @@ def ordered_log_limit(t):
 @query("topk_error_messages", """
 WITH x AS (SELECT service, line AS message, unnest(generate_series(CAST(ceil(epoch_us(ts) / 3.6e9) AS BIGINT), CAST(ceil(epoch_us(ts) / 3.6e9) AS BIGINT) + 14)) AS k FROM v_logs WHERE level = 'ERROR'),
 c AS (SELECT service, message, k, count(*) AS n FROM x GROUP BY ALL)
-SELECT make_timestamp(k * 3600000000) AS eval_ts, service, message, n AS count_over_time, row_number() OVER (PARTITION BY k ORDER BY n DESC, service, message) AS rank
+SELECT make_timestamp(k * 3600000000) AS eval_ts, service, message, n AS count_over_time, CAST(row_number() OVER (PARTITION BY k ORDER BY n DESC, service, message) AS INT) AS rank
 FROM c QUALIFY rank <= 10""")
 def topk_error_messages(t):
     errors = t.logs.filter("level = 'ERROR'").select("service", F.col("line").alias("message"), "ts")
@@ -64,7 +64,7 @@ def topk_error_messages(t):
 
 @query("topk_by_group", f"""
 SELECT run_id, service, metric, count, round(mean, 6) AS mean, round(min, 6) AS min, round(max, 6) AS max,
-  row_number() OVER (PARTITION BY metric ORDER BY mean DESC, run_id, service) AS rank FROM ({SUMMARY_SQL}) QUALIFY rank <= 5""")
+  CAST(row_number() OVER (PARTITION BY metric ORDER BY mean DESC, run_id, service) AS INT) AS rank FROM ({SUMMARY_SQL}) QUALIFY rank <= 5""")
 def topk_by_group(t):
     return A.top_by_metric(A.metric_summary(t.metrics, SUMMARY), 5, ("run_id", "service"))
 
@@ -74,7 +74,7 @@ m AS (SELECT incident_id, min(run_id) AS run_id, service, avg(score) AS magnitud
 e AS (SELECT *, 1 / (1 + (first - min(first) OVER (PARTITION BY incident_id)) / 1e6) AS raw FROM m),
 c AS (SELECT e.*, coalesce(g.centrality, 0) AS centrality, raw / (max(raw) OVER (PARTITION BY incident_id) + 1e-12) AS earliness FROM e LEFT JOIN {graph} g USING (service)),
 f AS (SELECT *, magnitude + 0.6 * centrality + 0.4 * earliness AS score FROM c)
-SELECT incident_id, run_id, row_number() OVER (PARTITION BY incident_id ORDER BY score DESC, service) AS rank, service, round(score, 6) AS score,
+SELECT incident_id, run_id, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY score DESC, service) AS INT) AS rank, service, round(score, 6) AS score,
   round(magnitude, 6) AS magnitude, round(centrality, 6) AS centrality, round(earliness, 6) AS earliness FROM f QUALIFY rank <= {k}"""
 _CENTRALITY = "(SELECT service, count(*) / 65536 AS centrality FROM v_events WHERE service <> 'auth' GROUP BY ALL)"
 
@@ -89,7 +89,7 @@ def rca_topk(t):
 
 
 @query("write_rca_json", "WITH " + RANKED_SQL.format(incidents=INCIDENTS_SQL, graph=_CENTRALITY, k=3).replace(
-    "SELECT incident_id, run_id, row_number()", f"SELECT incident_id, run_id, (SELECT count(*) FROM {INCIDENTS_SQL} i WHERE i.incident_id = f.incident_id) AS n_alerts, row_number()"))
+    "SELECT incident_id, run_id, CAST(row_number()", f"SELECT incident_id, run_id, (SELECT count(*) FROM {INCIDENTS_SQL} i WHERE i.incident_id = f.incident_id) AS n_alerts, CAST(row_number()"))
 def write_rca_json(t):
     """One document per incident, read back with the candidates' places in their lists."""
     incidents = daily_incidents(t)

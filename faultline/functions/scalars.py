@@ -53,9 +53,8 @@ def to_rfc3339(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
-def epoch_seconds_to_ts(seconds: Column | str) -> Column:
-    return F.timestamp_micros(F.round(F.col(seconds) * 1_000_000).cast("long")) \
-        if isinstance(seconds, str) else F.timestamp_micros(F.round(seconds * 1_000_000).cast("long"))
+def epoch_seconds_to_ts(seconds: Column) -> Column:
+    return F.timestamp_micros(F.round(seconds * 1_000_000).cast("long"))
 
 
 def epoch_nanos_to_ts(nanos: Column) -> Column:

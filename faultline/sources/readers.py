@@ -85,13 +85,16 @@ def flatten_log_response(payloads: DataFrame, column: str = "payload") -> DataFr
 
 
 def relabel_logs(raw: DataFrame) -> DataFrame:
-    """Discovery labels to service / container / container_id; level and time from the JSON line."""
-    meta = {"service": "__meta_docker_container_label_aiops_service",
-            "container": "__meta_docker_container_name",
-            "container_id": "__meta_docker_container_id"}
+    """Discovery labels to service / container / container_id; level and time from the JSON line.
+
+    The service is the container's own label whose name ends in `_service`.
+    """
+    names = F.map_keys("labels")
+    own = F.array_min(F.filter(names, lambda k: k.startswith("__meta_docker_container_label_") & k.endswith("_service")))
     line = F.col("line")
     return raw.select(
-        *[F.try_element_at("labels", F.lit(src)).alias(dst) for dst, src in meta.items()],
+        F.try_element_at("labels", own).alias("service"),
+        *[F.try_element_at("labels", F.lit(f"__meta_docker_container_{x}")).alias(y) for x, y in (("name", "container"), ("id", "container_id"))],
         S.log_field(line, "level").alias("level"), S.log_field(line, "message").alias("message"),
         F.coalesce(S.parse_ts_utc(F.get_json_object(line, "$.timestamp")), F.col("ts")).alias("ts"), "line")
 
