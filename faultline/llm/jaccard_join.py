@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.llm import bloom
 from faultline.llm.components import connected
 from faultline.llm.words import between_spaces, mix, pieces, stored, windows, within, words_of
 
@@ -24,7 +25,6 @@ ORDER_BITS = 40  # n-grams are ordered and joined by this many bits of their has
 CHUNK = 1 << 21  # n-grams counted together before a task passes them on
 FREQUENT = 1 << 20  # entries of the table of frequent n-grams sent to the tasks
 HOT = 4096  # an n-gram in that many documents is grouped by a shuffled join instead of a bucket
-BLOOM_BITS = 1 << 26
 GROUP = 512  # sets compared with one centre in one task
 SEEN = 1 << 20
 
@@ -262,8 +262,8 @@ def open_pairs(entries: DataFrame, labels: DataFrame, share: int) -> DataFrame:
 def verified(docs: DataFrame, text: str, size: int, share: int, pairs: DataFrame) -> DataFrame:
     """The pairs (sig, centre) that link, each verified once on the whole n-gram sets.
 
-    Sets are made again from the texts; a Bloom filter of the wanted ones (fixed size, a hit
-    too many only costs) keeps the rest in the scan. Each set is sent once per centre it
+    Sets are made again from the texts; a Bloom filter of the wanted ones keeps the rest
+    in the scan. Each set is sent once per centre it
     meets, in groups of `GROUP`, with a copy of the centre in each.
     """
     spark = docs.sparkSession
@@ -272,11 +272,7 @@ def verified(docs: DataFrame, text: str, size: int, share: int, pairs: DataFrame
     asks = wanted.join(sized, "centre").select("sig", "centre", F.pmod("sig", F.ceil(F.col("_m") / GROUP)).alias("salt"))
     salts = sized.select(F.col("centre").alias("sig"), "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_m") / GROUP) - 1)).alias("salt"))
     asks = stored(asks.unionByName(salts), "asks")
-    parts = asks.select("sig").distinct().mapInArrow(bloom_bits, "word long, bits long")
-    words = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    filled = np.zeros(BLOOM_BITS // 64, np.uint64)
-    filled[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    sent = spark.sparkContext.broadcast(filled)
+    sent = spark.sparkContext.broadcast(bloom.fill(asks.select("sig").distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, seen = between_spaces(), sent.value, set()
@@ -285,7 +281,7 @@ def verified(docs: DataFrame, text: str, size: int, share: int, pairs: DataFrame
                 sets = shingle_sets(batch.column(0).slice(a, b - a), table, size)
                 found = []
                 sigs = np.array([signature(s) for s in sets], np.int64)
-                for i in np.flatnonzero(in_bloom(sigs, held)):
+                for i in np.flatnonzero(bloom.holds(sigs, held)):
                     if int(sigs[i]) not in seen:
                         seen.add(int(sigs[i]))
                         found.append((int(sigs[i]), sets[i].tobytes()))
@@ -314,27 +310,6 @@ def verified(docs: DataFrame, text: str, size: int, share: int, pairs: DataFrame
     return groups.applyInArrow(compare, "a long, b long").distinct()
 
 
-def bloom_places(sigs: np.ndarray) -> list[np.ndarray]:
-    x = sigs.astype(np.int64).view(np.uint64)
-    return [(mix(x + np.full(1, k, np.uint64)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for k in (1, 2, 3)]
-
-
-def bloom_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        places = np.concatenate(bloom_places(batch.column(0).to_numpy()))
-        word, place = np.unique(places >> 6, return_inverse=True)
-        filled = np.zeros(len(word), np.uint64)
-        np.bitwise_or.at(filled, place, np.uint64(1) << (places & 63).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(filled.view(np.int64))], ["word", "bits"])
-
-
-def in_bloom(sigs: np.ndarray, filled: np.ndarray) -> np.ndarray:
-    good = np.ones(len(sigs), bool)
-    for place in bloom_places(sigs):
-        good &= (filled[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-    return good
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, share: int = 80,
                     frequent: int = FREQUENT) -> DataFrame:
     """id, n (set size), sig (set), component (smallest id reachable by links) of every row of `docs`.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontamination, jaccard_join, language, sharding
+from faultline.llm import decontamination, jaccard_join, language, sharding, substring_dedup
 from faultline.llm.words import crc_rest
 from faultline.session import prepare
 
@@ -49,3 +49,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "parsed.n_words", "parsed.n_removed", F.sha2("parsed.kept", 256).alias("kept_sha256"))
