@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm.words import FACTOR, map_texts, mix, pieces, stored
+from faultline.llm.words import FACTOR, map_texts, mix, pieces, powers, stored
 
 ORDERS = (1, 2, 3, 4, 5)
 PROBES = 3
@@ -34,29 +34,44 @@ def letter_table() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def gram_hashes(texts: list, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of every n-gram of the lower-cased words, with one blank at either end of a word."""
-    rows, out = [], []
+class Grams(NamedTuple):
+    """A batch of texts as distinct words and their n-grams."""
+    row: np.ndarray  # text of each word
+    word: np.ndarray  # distinct word of each word
+    of: np.ndarray  # distinct word of each n-gram
+    gram: np.ndarray
+
+
+def word_grams(texts: list, letters: np.ndarray) -> Grams:
+    """The n-grams of the lower-cased words, with one blank at either end; each distinct word is cut up once."""
     joined = [f" {(t or '').lower()} " for t in texts]
     code = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(texts)), [len(t) for t in joined])
-    blank = ~letters[code]
-    keep = ~(blank & np.concatenate([[False], blank[:-1]]) & np.concatenate([[False], row[1:] == row[:-1]]))
-    code, row, blank = np.where(blank, np.uint32(32), code)[keep].astype(np.uint64), row[keep], blank[keep]
-    same = np.concatenate([row[1:] == row[:-1], [False]])
-    value, inside = np.zeros(len(code), np.uint64), np.ones(len(code), bool)
+    inside = letters[code]
+    start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    length = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1 - start
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return Grams(none, none, none, none.astype(np.uint64))
+    at = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(at, length)
+    power = powers(0xD6E8FEB86659FD93, min(1 << 16, int(length.max()) + 1))
+    hashes = np.add.reduceat(mix(code[inside].astype(np.uint64) * FACTOR) * power[place & 0xFFFF], at)
+    _, chosen, word = np.unique(mix(hashes + length.astype(np.uint64)), return_index=True, return_inverse=True)
+    size = length[chosen] + 2
+    first = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(size)), size)
+    code = code[np.arange(len(of)) - first[of] + (start[chosen] - 1)[of]].astype(np.uint64)
+    code[first] = code[first + size - 1] = 32
+    left = size[of] - (np.arange(len(of)) - first[of])  # entries from here to the end of the word
+    value, found_of, found = np.zeros(len(code), np.uint64), [], []
     for n in range(1, max(ORDERS) + 1):
         value = value * np.uint64(0x110000 + 7) + np.roll(code, 1 - n) + np.uint64(n)
-        if n > 1:  # a blank only at the ends
-            inside = inside & np.roll(same, 2 - n)
-            if n > 2:
-                inside = inside & ~np.roll(blank, 2 - n)
-        good = inside & ~blank if n == 1 else inside
         if n in ORDERS:
-            at = np.flatnonzero(good)
-            rows.append(row[at])
-            out.append((mix(value[at] * FACTOR) & ~np.uint64(7)) | np.uint64(n))
-    return np.concatenate(rows), np.concatenate(out)
+            good = np.flatnonzero(left >= n) if n > 1 else np.flatnonzero(code != 32)
+            found_of.append(of[good])
+            found.append((mix(value[good] * FACTOR) & ~np.uint64(7)) | np.uint64(n))
+    return Grams(row[start], word, np.concatenate(found_of), np.concatenate(found))
 
 
 def count_grams(labelled: DataFrame, text: str, lang: str) -> DataFrame:
@@ -77,8 +92,9 @@ def count_grams(labelled: DataFrame, text: str, lang: str) -> DataFrame:
             for a, b in pieces(batch.column(0)):
                 texts, names = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
                 for name in sorted(set(names)):
-                    _, grams = gram_hashes([t for t, x in zip(texts, names) if x == name], letters)
-                    held[name] = [total([*held.get(name, []), np.unique(grams, return_counts=True)])]
+                    own = word_grams([t for t, x in zip(texts, names) if x == name], letters)
+                    times = np.bincount(own.word)[own.of] if len(own.word) else own.of
+                    held[name] = [total([*held.get(name, []), (own.gram, times)])]
                 size = sum(len(p[0][0]) for p in held.values())
                 if size > FLUSH:
                     yield from flush()
@@ -157,15 +173,16 @@ def predict_language(docs: DataFrame, filters: Filters, text: str = "text", out:
         letters, known = letter_table(), Filters(**sent.value)
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            rows, grams = gram_hashes(texts.to_pylist(), letters)
-            n = np.bincount(rows, minlength=len(texts))
+            own = word_grams(texts.to_pylist(), letters)
+            distinct = int(own.word.max(initial=-1)) + 1
+            n = np.bincount(own.row, np.bincount(own.of, minlength=distinct)[own.word], len(texts)).astype(np.int64)
             if not known.langs:
                 return [pa.array(["und"] * len(texts)), pa.array(np.zeros(len(texts))), pa.array(n, pa.int64())]
-            found = languages_of(grams, known)
+            found = languages_of(own.gram, known)
             share = np.zeros((len(known.langs), len(texts)))
             for i in range(len(known.langs)):
                 held = (found[i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-                hits = np.bincount(rows, held.astype(np.float64), len(texts))
+                hits = np.bincount(own.row, np.bincount(own.of, held.astype(np.float64), distinct)[own.word], len(texts))
                 share[i] = (hits - n * known.wrong[i]) / np.maximum(n * (1 - known.wrong[i]), 1e-9)
             best = share.argmax(axis=0)
             score = np.where(n > 0, np.clip(share[best, np.arange(len(texts))], 0, 1), 0.0)

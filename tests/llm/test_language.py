@@ -17,17 +17,23 @@ def test_filters_hold_every_kept_gram_and_correct_false_positives(make):
     docs = make([(1, "aaa bbb " * 40, "x"), (2, "ccc ddd " * 40, "y"), (3, None, "x"), (4, "zzz", None)])
     filters = language.learn_languages(docs)
     assert filters.langs == ["x", "y"] and (filters.wrong < 0.2).all()
-    _, grams = language.gram_hashes(["aaa bbb"], language.letter_table())
+    grams = language.word_grams(["aaa bbb"], language.letter_table()).gram
     assert (language.languages_of(grams, filters)[0] & 1).all()
 
 
 def test_grams_stay_inside_words_and_texts():
     letters = language.letter_table()
-    rows, grams = language.gram_hashes(["ab", "", None, "7", "ab cd", "AB"], letters)
-    one = sorted(grams[rows == 0])
-    assert len(one) == 2 + 3 + 2 + 1 and one == sorted(grams[rows == 5])  # a b; _a ab b_; _ab ab_; _ab_
-    assert not (rows == 1).any() and not (rows == 2).any() and not (rows == 3).any()
-    assert set(one) <= set(grams[rows == 4]) and (rows == 4).sum() == 16
+
+    def grams(text):
+        own = language.word_grams([text], letters)
+        return sorted(g for w in own.word for g in own.gram[own.of == w])
+
+    one = grams("ab")
+    assert len(one) == 2 + 3 + 2 + 1 and one == grams("AB") == grams("1ab.")  # a b; _a ab b_; _ab ab_; _ab_
+    assert grams("") == grams(None) == grams("7") == []
+    assert len(grams("ab cd ab")) == 24 and set(one) <= set(grams("ab cd"))
+    both = language.word_grams(["ab", None, "x ab"], letters)
+    assert both.row.tolist() == [0, 2, 2] and both.word[0] == both.word[2]
 
 
 def test_edges(make):
