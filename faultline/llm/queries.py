@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontamination, jaccard_join, language, sharding, substring_dedup
+from faultline.llm import byte_pairs, decontamination, jaccard_join, language, sharding, substring_dedup
 from faultline.llm.words import crc_rest
 from faultline.session import prepare
 
@@ -55,3 +60,21 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "parsed.n_words", "parsed.n_removed", F.sha2("parsed.kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_pairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    found = byte_pairs.decode(coded.select("doc_id", "ids"), ranks)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest_of_ids("ids").alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def digest_of_ids(ids: str):
+    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
+    @F.pandas_udf("string")
+    def digest(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
+
+    return digest(ids)
