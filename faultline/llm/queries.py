@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_pairs, decontamination, jaccard_join, language, sharding, substring_dedup
+from faultline.llm import byte_pairs, decontamination, jaccard_join, language, sharding, spot_signatures, substring_dedup
 from faultline.llm.words import crc_rest
 from faultline.session import prepare
 
@@ -78,3 +78,11 @@ def digest_of_ids(ids: str):
         return column.map(lambda x: hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
 
     return digest(ids)
+
+
+@query
+def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spot_signatures.compare_edited(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                        spot_signatures.fingerprint(F.col("signatures")).alias("fingerprint"),
+                        spot_signatures.fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"), "near_edited", "near_next")
