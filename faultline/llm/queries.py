@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_pairs, decontamination, jaccard_join, language, sharding, spot_signatures, substring_dedup
+from faultline.llm import byte_pairs, decontamination, html_pages, jaccard_join, language, sharding, spot_signatures, substring_dedup
 from faultline.llm.words import crc_rest
 from faultline.session import prepare
 
@@ -86,3 +86,9 @@ def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                         spot_signatures.fingerprint(F.col("signatures")).alias("fingerprint"),
                         spot_signatures.fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_pages.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
