@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_pairs, decontamination, html_pages, jaccard_join, language, sharding, spot_signatures, substring_dedup
+from faultline.llm import byte_pairs, decontamination, html_pages, jaccard_join, language, maxent_lm, sharding, spot_signatures, substring_dedup
 from faultline.llm.words import crc_rest
 from faultline.session import prepare
 
@@ -92,3 +92,10 @@ def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_pages.extract_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+@query
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_rest("doc_id", 7) == 2)
+    found = maxent_lm.score_texts(docs, docs.filter(~F.col("held_out")))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
