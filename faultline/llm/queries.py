@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_pairs, decontamination, html_pages, jaccard_join, language, maxent_lm, sharding, spot_signatures, substring_dedup
+from faultline.llm import byte_pairs, decontamination, html_pages, jaccard_join, language, licences, maxent_lm, sharding, spot_signatures, substring_dedup
 from faultline.llm.words import crc_rest
 from faultline.session import prepare
 
@@ -99,3 +99,12 @@ def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_rest("doc_id", 7) == 2)
     found = maxent_lm.score_texts(docs, docs.filter(~F.col("held_out")))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.transform("licences.matches", lambda m: m["licence"])
+    best = F.array_max(F.transform("licences.matches", lambda m: m["dice"]))
+    return found.select("doc_id", F.array_join(names, ",").alias("licences"), F.coalesce(best, F.lit(0.0)).alias("best_dice"),
+                        F.size("licences.matches").cast("long").alias("n_licences"))
