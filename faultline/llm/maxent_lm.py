@@ -230,7 +230,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     `known` most frequent tokens go to the tasks; the rest of the tokens are joined with the
     whole count table, so no token is left out. Clashing columns of `docs` are replaced.
     """
-    spark = docs.sparkSession
+    spark, known = docs.sparkSession, max(known, classes * width)
     counts = stored(token_counts(training, text), "token-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
