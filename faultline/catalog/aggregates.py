@@ -60,9 +60,12 @@ def dedup_alerts(t):
 
 
 @query("bucket_documents", """
-SELECT run_id, service, date_trunc('hour', ts) AS window_end, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY ts, event_id) AS text FROM v_log_flags GROUP BY ALL""")
+SELECT run_id, service, window_end, CAST((n - 1) // 3 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY n) AS text
+FROM (SELECT *, date_trunc('hour', ts) AS window_end, row_number() OVER (PARTITION BY run_id, service, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM v_log_flags)
+GROUP BY run_id, service, window_end, (n - 1) // 3""")
 def bucket_documents(t):
-    return text.bucket_documents(flagged_logs(t), HOUR, "event_id")
+    """Parts of three lines, so that many documents have several."""
+    return text.bucket_documents(flagged_logs(t), HOUR, "event_id", lines_per_part=3)
 
 
 def daily_incidents(t):

@@ -99,12 +99,13 @@ def log_field_fallback(t):
 @query("relabel_logs", """
 SELECT service, '/x-' || service AS container, CAST(event_id AS VARCHAR) AS container_id, level, message, ts FROM v_logs""")
 def relabel_logs(t):
-    labels = F.create_map(F.lit("__meta_docker_container_label_shop_service"), F.col("service"),
+    own = "__meta_docker_container_label_shop_service"
+    labels = F.create_map(F.lit(own), F.col("service"), F.lit("__meta_docker_container_label_a_service"), F.lit("other"),
                           F.lit("__meta_docker_container_name"), F.concat(F.lit("/x-"), "service"),
                           F.lit("__meta_docker_container_id"), F.col("event_id").cast("string"))
     line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "level", "message"))
     raw = t.logs.select(labels.alias("labels"), line.alias("line"), F.lit(None).cast("timestamp").alias("ts"))
-    return readers.relabel_logs(raw).drop("line")
+    return readers.relabel_logs(raw, own).drop("line")
 
 
 @query("log_text_level", "SELECT event_id, coalesce(message, line, '') AS text, upper(coalesce(level, 'unknown')) AS level FROM v_logs")

@@ -92,12 +92,12 @@ def hourly_tfidf(t):
     return text.tfidf_wide(docs, ["run_id", "service", "window_start", "window_end"])
 
 
-_TF = [f"tfidf_{i}" for i in range(5)]
+_TF = [f"tfidf_{i}" for i in range(50)]
 
 
 @query("attach_tfidf", TFIDF_DOCS + f"""
 SELECT f.run_id, f.service, f.window_start, f.window_end,
-  {', '.join(f"round(coalesce(max(weight) FILTER (WHERE idx = {i}), 0), 6) AS tfidf_{i}" for i in range(5))}
+  {', '.join(f"round(coalesce(max(weight) FILTER (WHERE idx = {i}), 0), 6) AS tfidf_{i}" for i in range(50))}
 FROM v_hour_log_features f LEFT JOIN tfidf d ON d.run_id = f.run_id AND d.service = f.service AND d.bucket = f.window_end
   AND d.bucket - INTERVAL 1 HOUR = f.window_start GROUP BY ALL""")
 def attach_tfidf(t):
@@ -155,8 +155,7 @@ SELECT e.run_id AS incident_id, e.service, round(magnitude, 6) AS magnitude, rou
 def join_components(t):
     rows = t.events.filter("event_type = 'error'").select(F.col("run_id").alias("incident_id"), "run_id", "service", "ts", F.col("amount").alias("score"))
     scores = t.events.filter("service <> 'auth'").groupBy("service").agg((F.count(F.lit(1)) / 4096).alias("centrality"))
-    ranked = graph.rank_causes(rows, scores, top_k=1_000)
-    return ranked.select("incident_id", "service", "magnitude", "centrality", "earliness")
+    return graph.score_causes(rows, scores).select("incident_id", "service", "magnitude", "centrality", "earliness")
 
 
 @query("fault_active_grid", """
@@ -170,14 +169,21 @@ def fault_active_grid(t):
 
 
 @query("coverage_check", """
-SELECT s AS service FROM (SELECT DISTINCT unnest(['simulator-' || service, 'simulator-cache', 'simulator-' || event_type]) AS s FROM v_events)
-WHERE NOT EXISTS (SELECT 1 FROM v_events WHERE contains('/repo-simulator-' || service || '-1', s))""")
+WITH wanted AS (SELECT DISTINCT unnest(['simulator-' || service, 'simulator-cache']) AS service FROM v_events),
+seen AS (SELECT DISTINCT 'logs' AS signal, '/repo-simulator-' || service || '-1' AS name FROM v_events
+  UNION SELECT DISTINCT 'metrics', 'simulator-' || service FROM v_events WHERE service <> 'auth' UNION SELECT 'traces', 'simulator-user'),
+hit AS (SELECT signal, service, coalesce(bool_or(contains(name, service)), false) AS found
+  FROM (VALUES ('logs'), ('metrics'), ('traces')) s(signal) CROSS JOIN wanted LEFT JOIN seen USING (signal) GROUP BY ALL)
+SELECT signal, string_agg(service, ',' ORDER BY service) FILTER (WHERE NOT found) AS missing,
+  CASE WHEN signal = 'traces' THEN bool_or(found) ELSE bool_and(found) END AS ok FROM hit GROUP BY signal""")
 def coverage_check(t):
-    """Expected names against container names; names are distinct before they meet."""
-    expected = t.events.select(F.explode(F.array(
-        F.concat(F.lit("simulator-"), "service"), F.lit("simulator-cache"), F.concat(F.lit("simulator-"), "event_type"))).alias("service")).distinct()
-    observed = t.events.select(F.regexp_extract(F.concat(F.lit("/repo-simulator-"), "service", F.lit("-1")), "(simulator-[a-z]+)", 1).alias("service"))
-    return intervals.missing_services(expected, observed)
+    """Metrics and logs need all services, traces any; a service is seen where an observed name contains it."""
+    name = F.concat(F.lit("simulator-"), "service")
+    expected = t.events.select(F.explode(F.array(name, F.lit("simulator-cache"))).alias("service"))
+    observed = (t.events.select(F.lit("logs").alias("signal"), F.concat(F.lit("/repo-"), name, F.lit("-1")).alias("name"))
+                .unionByName(t.events.filter("service <> 'auth'").select(F.lit("metrics").alias("signal"), name.alias("name")))
+                .unionByName(t.events.filter("service = 'user'").select(F.lit("traces").alias("signal"), name.alias("name"))))
+    return intervals.coverage(expected, observed, {"metrics": "all", "logs": "all", "traces": "any"})
 
 
 @query("vector_match_divide", """

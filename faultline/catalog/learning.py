@@ -10,20 +10,29 @@ from faultline.catalog.joins import windows
 from faultline.catalog.ranges import BUILT_SQL, FEATURE_ROWS_SQL, RAISED_SQL, RULES, feature_rows
 from faultline.catalog.registry import query
 from faultline.catalog.sorting import RANKED_SQL
-from faultline.catalog.views import HOUR
+from faultline.catalog.views import HOUR, HOURS, LOG_FEATURES, METRIC_FEATURES, WINDOWS
 from faultline.operators import alerts, clustering, graph, intervals, ordering, scaling, text
 from faultline.operators.forest import IsolationForest, fit_isolation_forest
 from faultline.operators.regression import IncidentModel, fit_incident_model
-from faultline.plans import detect, predict
+from faultline.plans import detect, features, predict
 from faultline.session import cut_lineage, scratch_path
 
-MODEL_COLUMNS = ["rps_mean_1h", "eps_mean_1h", "error_ratio_mean_1h", "p95_latency_mean_1h", "error_ratio_max_5h",
-                 "p95_latency_max_15h", "logs_error_count_1h", "logs_error_keywords_1h"]
+MODEL_COLUMNS = [*[c for w in HOURS for c in METRIC_FEATURES[w]], *[c for w in HOURS for c in LOG_FEATURES[w]], *[f"tfidf_{i}" for i in range(50)]]
 KEYS = ["run_id", "service", "window_start", "window_end"]
 
 
+def hourly_logs(t):
+    """Log times moved to their hour, so that metric and log windows end together."""
+    return t.logs.withColumn("ts", F.date_trunc("hour", "ts")).drop("event_id")
+
+
+def feature_table(t):
+    return features.build_features(t.metrics, hourly_logs(t), WINDOWS, HOUR)
+
+
 def model_rows(t):
-    return feature_rows(t).select(*KEYS, *[F.col(c).cast("double").alias(c) for c in MODEL_COLUMNS])
+    """Every feature column, as the models take them."""
+    return feature_table(t).select(*KEYS, *[F.col(c).cast("double").alias(c) for c in MODEL_COLUMNS])
 
 
 @query("standard_scale", """
@@ -167,7 +176,7 @@ def evaluation_summary(t):
 
 
 def _forest(t, rows):
-    return fit_isolation_forest(rows, MODEL_COLUMNS, KEYS, trees=100)
+    return fit_isolation_forest(rows, MODEL_COLUMNS, KEYS, trees=200)
 
 
 @query("fit_isolation_forest")

@@ -143,22 +143,24 @@ x AS (SELECT service, amount, unnest(generate_series(CAST(ceil(epoch_us(ts) / 6e
 a AS (SELECT service, k, max(amount) AS hi, avg(amount) AS mid FROM x GROUP BY ALL),
 c AS (SELECT 'high_probability' AS rule, 'warning' AS severity, service, k, hi > 60 AS cond, 3 AS need FROM a
   UNION ALL SELECT 'high_p95_latency', 'warning', service, k, mid > 40, 3 FROM a
+  UNION ALL SELECT 'high_error_ratio', 'warning', service, k, mid > 45, 3 FROM a
   UNION ALL SELECT 'incident_flag', 'critical', service, k, hi > 80, 2 FROM a),
 h AS (SELECT *, count(*) FILTER (WHERE cond) OVER (PARTITION BY rule, service ORDER BY k RANGE BETWEEN CASE rule WHEN 'incident_flag' THEN 2 ELSE 3 END PRECEDING AND CURRENT ROW) AS held FROM c)
 SELECT rule, severity, service, make_timestamp(k * 600000000) AS eval_ts, cond,
   CASE WHEN NOT cond THEN 'inactive' WHEN held = need + 1 THEN 'firing' ELSE 'pending' END AS state FROM h"""
-SIM_RULES = {"high_probability": 60.0, "high_p95_latency": 40.0, "incident_flag": 80.0}
+SIM_RULES = {"high_probability": 60.0, "high_p95_latency": 40.0, "high_error_ratio": 45.0, "incident_flag": None}
 
 
 @query("alert_for_duration", "WITH " + ALERT_TICKS_SQL)
 def alert_for_duration(t):
-    """Three of the rules on one gauge, evaluated every ten minutes (ten seconds at full speed)."""
+    """All rules on one gauge, evaluated every ten minutes (ten seconds at full speed); the flag is 1 above 80, else 0."""
     gauge = t.events.select("service", "ts", F.col("amount").alias("value"))
+    flag = gauge.withColumn("value", (F.col("value") > 80).cast("double"))
     out = None
     for rule in range_vectors.ALERT_RULES:
-        if rule[0] in SIM_RULES:
-            part = range_vectors.evaluate_rule(gauge, ["service"], rule, HOUR, 600_000_000, 60_000_000, SIM_RULES[rule[0]])
-            out = part if out is None else out.unionByName(part)
+        limit = SIM_RULES[rule[0]]
+        part = range_vectors.evaluate_rule(flag if limit is None else gauge, ["service"], rule, HOUR, 600_000_000, 60_000_000, limit)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -217,12 +219,15 @@ def build_alerts(t):
 
 @query("union_metrics", """
 SELECT 'rps' AS metric, run_id, service, ts, CAST(count(*) AS DOUBLE) AS value FROM v_hist GROUP BY ALL
+UNION ALL SELECT 'eps', run_id, service, ts, CAST(count(*) FILTER (WHERE value > 90) AS DOUBLE) FROM v_hist GROUP BY ALL
+UNION ALL SELECT 'error_ratio', run_id, service, ts, round(count(*) FILTER (WHERE value > 90) / greatest(count(*), 1e-6), 6) FROM v_hist GROUP BY ALL
 UNION ALL SELECT 'p95_latency', run_id, service, ts, round(max(value), 6) FROM v_hist GROUP BY ALL""")
 def union_metrics(t):
-    keys = ["run_id", "service", "ts"]
-    a = t.hist.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("metric", F.lit("rps"))
-    b = t.hist.groupBy(*keys).agg(F.max("value").alias("value")).withColumn("metric", F.lit("p95_latency"))
-    return a.unionByName(b)
+    """The four metrics of each run, service and hour, from one aggregation."""
+    n, bad = F.count(F.lit(1)).cast("double"), F.count_if(F.col("value") > 90).cast("double")
+    sums = t.hist.groupBy("run_id", "service", "ts").agg(n.alias("rps"), bad.alias("eps"), (bad / S.clamp_min(n, 1e-6)).alias("error_ratio"),
+                                                         F.max("value").alias("p95_latency"))
+    return rolling.union_metrics(sums, ["run_id", "service", "ts"])
 
 
 @query("distinct_windows", f"SELECT DISTINCT {_KEY} FROM v_log_features")

@@ -56,7 +56,7 @@ def _feature_files(t):
 def stream_detect(t):
     path = _feature_files(t)
     rows = t.spark.read.parquet(path)
-    scaler, forest = detect.fit_detector(rows, MODEL_COLUMNS, KEYS, trees=50)
+    scaler, forest = detect.fit_detector(rows, MODEL_COLUMNS, KEYS, trees=200)
     model = detect.Detector(scaler, forest, 0, 0, 0.05)
     out = model.transform(live.read_stream(t.spark, path, files_per_batch=1)).select(*KEYS, "anomaly_score", "anomaly_flag")
     return live.run_append(out, "detect")

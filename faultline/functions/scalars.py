@@ -67,7 +67,7 @@ def ts_to_epoch_nanos(ts: Column | str) -> Column:
 
 def normalize_service(name: Column) -> Column:
     """Container-style names become logical service names."""
-    bare = F.regexp_replace(F.trim(name), "simulator-", "")
+    bare = F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), "simulator-", "")
     return F.coalesce(F.regexp_replace(bare, r"-[0-9]+$", ""), F.lit("unknown"))
 
 

@@ -141,13 +141,19 @@ def incident_services(incidents: DataFrame) -> DataFrame:
     return base.withColumn("earliness", raw / (F.max(raw).over(whole) + 1e-12))
 
 
+def score_causes(incidents: DataFrame, graph_scores: DataFrame, w_magnitude: float = 1.0,
+                 w_centrality: float = 0.6, w_earliness: float = 0.4) -> DataFrame:
+    """All services of every incident with their score; a service outside the graph has centrality 0."""
+    return (incident_services(incidents).join(graph_scores, "service", "left")
+            .withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
+            .withColumn("score", w_magnitude * F.col("magnitude") + w_centrality * F.col("centrality")
+                        + w_earliness * F.col("earliness")))
+
+
 def rank_causes(incidents: DataFrame, graph_scores: DataFrame, top_k: int = 3, w_magnitude: float = 1.0,
                 w_centrality: float = 0.6, w_earliness: float = 0.4) -> DataFrame:
-    """Top services of every incident; a service outside the graph has centrality 0."""
-    scored = (incident_services(incidents).join(graph_scores, "service", "left")
-              .withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
-              .withColumn("score", w_magnitude * F.col("magnitude") + w_centrality * F.col("centrality")
-                          + w_earliness * F.col("earliness")))
+    """Top services of every incident."""
+    scored = score_causes(incidents, graph_scores, w_magnitude, w_centrality, w_earliness)
     best = Window.partitionBy("incident_id").orderBy(F.desc("score"), "service")
     return (scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
             .select("incident_id", "run_id", "rank", "service", "score", "magnitude", "centrality", "earliness"))

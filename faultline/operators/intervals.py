@@ -186,6 +186,23 @@ def run_time_window(labels: DataFrame, pad_us: int = MINUTE // 2) -> DataFrame:
         from_micros(F.max(micros("end_ts")) + pad_us).alias("end_ts"))
 
 
+def coverage(expected: DataFrame, observed: DataFrame, rules: dict[str, str], key: str = "service", name: str = "name") -> DataFrame:
+    """signal, missing (expected values no observed name contains, comma-joined), ok, for every signal of `rules`.
+
+    A signal with the rule `all` needs every expected value, one with `any` needs one. Names and
+    expected values are distinct first; the expected ones, a list of services, travel as one array.
+    """
+    wanted = expected.select(key).distinct().agg(F.array_sort(F.collect_set(key)).alias("_wanted")).scalar()
+    signals = expected.sparkSession.createDataFrame(list(rules.items()), "signal STRING, _rule STRING").withColumn("_wanted", wanted)
+    found = (observed.select("signal", name).distinct().withColumn("_wanted", wanted)
+             .select("signal", name, F.explode("_wanted").alias("_w")).filter(F.contains(name, F.col("_w")))
+             .groupBy("signal").agg(F.collect_set("_w").alias("_found")))
+    rows = signals.join(found, "signal", "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<string>")))
+    lost = F.array_except("_wanted", "_found")
+    return rows.select("signal", F.when(F.size(lost) > 0, F.array_join(lost, ",")).alias("missing"),
+                       F.when(F.col("_rule") == "any", F.size("_found") > 0).otherwise(F.size(lost) == 0).alias("ok"))
+
+
 def missing_services(expected: DataFrame, observed: DataFrame, key: str = "service") -> DataFrame:
     """Expected values that never occur; `observed` is reduced to its distinct values first."""
     return expected.join(observed.select(key).distinct(), key, "left_anti")

@@ -88,5 +88,5 @@ def fit_incident_model(df: DataFrame, columns: list[str], label: str = "y_future
     weight = F.when(F.col(label) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
     rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(rows.withColumn("_weight", weight))
     lr = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_weight", regParam=1.0 / (c * n), maxIter=max_iter,
-                            standardization=False, tol=1e-8, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred")
+                            standardization=False, tol=1e-6, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred")
     return IncidentModel(scaler, lr.fit(rows.select("_features", label, "_weight")), threshold)

@@ -27,6 +27,12 @@ def pivot_metrics(metrics: DataFrame) -> DataFrame:
             .groupBy("run_id", "ts", "service").agg(*means).na.drop("all", subset=METRIC_NAMES))
 
 
+def union_metrics(wide: DataFrame, keys: list[str], metrics: list[str] = METRIC_NAMES) -> DataFrame:
+    """One row per key and metric name: the union of the metrics' results, each tagged with its name."""
+    pairs = ", ".join(f"'{m}', `{m}`" for m in metrics)
+    return wide.selectExpr(*keys, f"stack({len(metrics)}, {pairs}) AS (metric, value)")
+
+
 def stack_windows(wide: DataFrame, keys: list[str], end: str, names: dict[str, list[str]],
                   windows: dict[str, int]) -> DataFrame:
     """One row per window length, holding only that length's columns; the others are null.

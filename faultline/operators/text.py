@@ -66,11 +66,11 @@ def log_documents(logs: DataFrame, bucket_us: int = MINUTE, label: str = "start"
                        from_micros(end).alias("window_end"), "ts", "text")
 
 
-def bucket_documents(logs: DataFrame, bucket_us: int = MINUTE, tie: str = "text", lines_per_part: int = 10_000) -> DataFrame:
-    """Text of each bucket joined by a space in time order: the report form of a document.
+def bucket_documents(logs: DataFrame, bucket_us: int = MINUTE, tie: str = "text", lines_per_part: int = 1_000) -> DataFrame:
+    """Text of each bucket in time order, as numbered parts of `lines_per_part` lines joined by a space.
 
-    A document of more than `lines_per_part` lines comes as several numbered
-    parts, so no task ever holds more than that many lines of one bucket.
+    A document has the same form at every size: part p holds its lines p * lines_per_part and
+    following, so no task ever holds more than that many lines of one bucket.
     """
     start = from_micros(micros("ts") - F.pmod(micros("ts"), F.lit(bucket_us)))
     doc = [*RUN_SERVICE, "window_end"]

@@ -76,8 +76,12 @@ def train_detector(features: DataFrame, labels: DataFrame, contamination: float
 
 def evaluate_detector(features: DataFrame, labels: DataFrame, baseline_col: str = "error_ratio_mean_1min", baseline_thr: float = 0.10,
                       zscore_window: int = 12, zscore_thr: float = 3.0, if_score_thr: float = 0.10, contamination: float = 0.05,
-                      trees: int = 200, bin_us: int = 15 * MINUTE, detector: Detector | None = None) -> dict[str, DataFrame]:
-    """Model comparison on the last fifth, detection delays on everything, and a one-row summary."""
+                      trees: int = 200, bin_us: int = 15 * MINUTE, detector: Detector | None = None, least_normal: int = 10) -> dict[str, DataFrame]:
+    """Model comparison on the last fifth, detection delays on everything, and a one-row summary.
+
+    Without a detector one is fitted on the normal rows of the first three fifths, or on all of
+    them if fewer than `least_normal` are normal; the summary's `trained_on` says which.
+    """
     columns = S.numeric_features(features)
     labelled = S.clean_features(intervals.label_windows(features, labels, bin_us), columns)
     rows = cut_lineage(ordering.temporal_split(cut_lineage(labelled), SPLIT_ORDER, [0.6, 0.2]))
@@ -90,11 +94,12 @@ def evaluate_detector(features: DataFrame, labels: DataFrame, baseline_col: str
         z = rolling.rolling_zscore(test.select(*SPLIT_ORDER, "y_true", baseline_col), baseline_col, SPLIT_ORDER, zscore_window, zscore_thr)
         parts.append(evaluation.score_metrics(cut_lineage(z), "baseline_zscore", "y_true", "y_pred", "z_score"))
 
+    trained_on = "given"
     if detector is None:
         train = rows.filter("split_no = 0")
-        normal = train.filter("y_true = 0")
-        if normal.count() < 10:
-            normal = train
+        normal, trained_on = train.filter("y_true = 0"), "normal"
+        if normal.count() < least_normal:
+            normal, trained_on = train, "all"
         scaler, forest = fit_detector(normal, columns, WINDOW_KEY, contamination, trees)
         detector = Detector(scaler, forest, 0, 0, contamination)
     scored = cut_lineage(detector.transform(rows, if_score_thr, strict=False)
@@ -107,5 +112,5 @@ def evaluate_detector(features: DataFrame, labels: DataFrame, baseline_col: str
     counts = rows.agg(F.count(F.lit(1)).alias("n_windows_total"), F.count_if(F.col("split_no") == 2).alias("n_test_windows"),
                       F.avg(F.when(F.col("split_no") == 2, F.col("y_true").cast("double"))).alias("positive_rate_test"))
     stats = evaluation.mttd_stats(delays).select(F.struct("*").alias("s")).scalar()
-    summary = counts.select("*", stats["mttd_mean_seconds"].alias("mttd_mean_seconds"), stats["mttd_median_seconds"].alias("mttd_median_seconds"))
+    summary = counts.select("*", stats["mttd_mean_seconds"].alias("mttd_mean_seconds"), stats["mttd_median_seconds"].alias("mttd_median_seconds"), F.lit(trained_on).alias("trained_on"))
     return {"metrics": metrics, "mttd": delays, "summary": summary, "scored": scored}

@@ -41,10 +41,17 @@ def read_logs_jsonl(spark: SparkSession, path: str, run_id: str | None = None) -
 
 
 def read_fault_labels(spark: SparkSession, path: str) -> DataFrame:
-    """CSV labels with UTC times. `label_seq` keeps the file order of rows within and across splits."""
+    """CSV labels with UTC times. `label_seq` orders rows by file, split and place in the split.
+
+    It is a struct that compares in file order: files by modification time and path, as they were
+    appended, whatever sizes they have and however Spark packs them into tasks.
+    """
     df = require_columns(spark.read.csv(path, header=True, schema=LABELS, enforceSchema=False), REQUIRED["labels"])
+    meta = F.col("_metadata")
+    place = F.struct(meta["file_modification_time"].alias("changed"), meta["file_path"].alias("file"), meta["file_block_start"].alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
     return df.select("run_id", "service", "fault_type", S.parse_ts_utc("start_ts").alias("start_ts"),
-                     S.parse_ts_utc("end_ts").alias("end_ts"), F.monotonically_increasing_id().alias("label_seq"))
+                     S.parse_ts_utc("end_ts").alias("end_ts"), place.alias("label_seq"))
 
 
 def read_graph_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -56,12 +63,28 @@ def read_graph_json(spark: SparkSession, path: str, multi_line: bool = True) ->
     return merge_edges(docs.select(F.inline("edges")))
 
 
-def flatten_metric_response(payloads: DataFrame, column: str = "payload") -> DataFrame:
+def failed_responses(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """The documents whose status is not success, unreadable ones included."""
+    status = F.from_json(column, "status STRING")["status"]
+    return payloads.filter(F.coalesce(status, F.lit("")) != "success")
+
+
+def _results(payloads: DataFrame, column: str, schema: str, on_failure: str) -> DataFrame:
+    """Results of successful documents; others stop the query, or with `on_failure="skip"` are left to `failed_responses`."""
+    if on_failure not in ("raise", "skip"):
+        raise ValueError("on_failure is raise or skip")
+    parsed = payloads.select(F.from_json(column, schema).alias("p"), F.col(column).alias("_raw"))
+    good = F.coalesce(F.col("p.status"), F.lit("")) == "success"
+    stop = F.raise_error(F.concat(F.lit("the query response failed: "), F.coalesce(F.substring("_raw", 1, 200), F.lit("null"))))
+    result = F.col("p.data.result")
+    return parsed.select(F.inline(F.when(good, result) if on_failure == "skip" else F.when(good, result).otherwise(stop)))
+
+
+def flatten_metric_response(payloads: DataFrame, column: str = "payload", on_failure: str = "raise") -> DataFrame:
     """Range-query documents to rows (labels, service, ts, value); NaN and infinities become null."""
     schema = ("status STRING, data STRUCT<result: ARRAY<STRUCT<metric: MAP<STRING,STRING>, "
               "`values`: ARRAY<ARRAY<STRING>>>>>")
-    series = (payloads.select(F.from_json(column, schema).alias("p")).filter("p.status = 'success'")
-              .select(F.inline("p.data.result")))
+    series = _results(payloads, column, schema, on_failure)
     points = series.select("metric", F.explode("values").alias("v"))
     return points.select(
         F.col("metric").alias("labels"),
@@ -70,11 +93,11 @@ def flatten_metric_response(payloads: DataFrame, column: str = "payload") -> Dat
         S.finite_or_null(F.expr("try_cast(v[1] AS DOUBLE)")).alias("value"))
 
 
-def flatten_log_response(payloads: DataFrame, column: str = "payload") -> DataFrame:
+def flatten_log_response(payloads: DataFrame, column: str = "payload", on_failure: str = "raise") -> DataFrame:
     """Stream documents to rows (ts, line, service, level, message, labels)."""
     schema = ("status STRING, data STRUCT<result: ARRAY<STRUCT<stream: MAP<STRING,STRING>, "
               "`values`: ARRAY<ARRAY<STRING>>>>>")
-    streams = payloads.select(F.from_json(column, schema).alias("p")).select(F.inline("p.data.result"))
+    streams = _results(payloads, column, schema, on_failure)
     rows = streams.select(F.col("stream").alias("labels"), F.explode("values").alias("v"))
     line = F.col("v")[1]
     return rows.select(
@@ -84,17 +107,21 @@ def flatten_log_response(payloads: DataFrame, column: str = "payload") -> DataFr
         S.log_field(line, "message", "msg").alias("message"), "labels")
 
 
-def relabel_logs(raw: DataFrame) -> DataFrame:
+# Discovery labels of a container.
+CONTAINER_NAME = "__meta_docker_container_name"
+CONTAINER_ID = "__meta_docker_container_id"
+
+
+def relabel_logs(raw: DataFrame, service_label: str) -> DataFrame:
     """Discovery labels to service / container / container_id; level and time from the JSON line.
 
-    The service is the container's own label whose name ends in `_service`.
+    `service_label` is the discovery label that holds the service; other labels are not looked at.
     """
-    names = F.map_keys("labels")
-    own = F.array_min(F.filter(names, lambda k: k.startswith("__meta_docker_container_label_") & k.endswith("_service")))
     line = F.col("line")
     return raw.select(
-        F.try_element_at("labels", own).alias("service"),
-        *[F.try_element_at("labels", F.lit(f"__meta_docker_container_{x}")).alias(y) for x, y in (("name", "container"), ("id", "container_id"))],
+        F.try_element_at("labels", F.lit(service_label)).alias("service"),
+        F.try_element_at("labels", F.lit(CONTAINER_NAME)).alias("container"),
+        F.try_element_at("labels", F.lit(CONTAINER_ID)).alias("container_id"),
         S.log_field(line, "level").alias("level"), S.log_field(line, "message").alias("message"),
         F.coalesce(S.parse_ts_utc(F.get_json_object(line, "$.timestamp")), F.col("ts")).alias("ts"), "line")
 

@@ -358,3 +358,53 @@ def test_sides_beyond_the_bound_are_shuffled(spark, monkeypatch):
     assert "ResolvedHint" in session.sized_side(df)._jdf.queryExecution().analyzed().toString()
     monkeypatch.setattr(session, "BROADCAST_BYTES", 10)
     assert "ResolvedHint" not in session.sized_side(df)._jdf.queryExecution().analyzed().toString()
+
+
+def test_failed_responses_stop_or_are_set_apart(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    good = '{"status":"success","data":{"result":[{"metric":{"service":"a"},"values":[[1,"2"]]}]}}'
+    logs = '{"status":"success","data":{"result":[{"stream":{"service":"a"},"values":[["1000","x"]]}]}}'
+    for text, flatten in ((good, readers.flatten_metric_response), (logs, readers.flatten_log_response)):
+        df = spark.createDataFrame([(text,), ('{"status":"error","error":"timeout"}',), ("no json",), (None,)], "payload STRING")
+        with pytest.raises(PySparkException, match="failed"):
+            flatten(df).collect()
+        assert flatten(df, on_failure="skip").count() == 1
+        assert readers.failed_responses(df).count() == 3
+
+
+def test_labels_keep_the_order_of_appended_files(spark, tmp_path, at):
+    def labels(kinds):
+        return spark.createDataFrame([("r", "s", k, at(0), at(60)) for k in kinds], "run_id STRING, service STRING, fault_type STRING, start_ts TIMESTAMP, end_ts TIMESTAMP").coalesce(1)
+
+    path = f"{tmp_path}/labels"
+    for kinds in (["errors"], ["cpu"] * 400, ["memory"]):
+        sinks.append_labels(labels(kinds), path)
+    got = [r.fault_type for r in readers.read_fault_labels(spark, path).orderBy("label_seq").collect()]
+    assert got == ["errors", *["cpu"] * 400, "memory"]
+    window = spark.createDataFrame([("r", "s", at(0), at(30))], "run_id STRING, service STRING, window_start TIMESTAMP, window_end TIMESTAMP")
+    assert intervals.label_windows(window, readers.read_fault_labels(spark, path)).first().fault_type == "errors"
+
+
+def test_only_the_named_label_gives_the_service(spark):
+    labels = {"__meta_docker_container_label_x_service": "mine", "__meta_docker_container_label_a_service": "other"}
+    raw = spark.createDataFrame([(labels, "{}", None)], "labels MAP<STRING,STRING>, line STRING, ts TIMESTAMP")
+    assert readers.relabel_logs(raw, "__meta_docker_container_label_x_service").first().service == "mine"
+
+
+def test_names_lose_every_kind_of_white_space(spark):
+    df = spark.createDataFrame([("\t simulator-user-1\n",)], "n STRING")
+    assert df.select(S.normalize_service(F.col("n"))).first()[0] == "user"
+
+
+def test_coverage_by_containment(spark):
+    expected = spark.createDataFrame([("user",), ("auth",)], "service STRING")
+    observed = spark.createDataFrame([("metrics", "user"), ("logs", "/x-user-1"), ("logs", "/x-auth-1"), ("traces", "auth")], "signal STRING, name STRING")
+    got = {r.signal: (r.missing, r.ok) for r in intervals.coverage(expected, observed, {"metrics": "all", "logs": "all", "traces": "any", "profiles": "any"}).collect()}
+    assert got == {"metrics": ("auth", False), "logs": (None, True), "traces": ("user", True), "profiles": ("auth,user", False)}
+
+
+def test_all_services_of_an_incident_are_scored(spark, at):
+    rows = spark.createDataFrame([("i", "r", f"s{k}", at(k), 1.0) for k in range(1200)], "incident_id STRING, run_id STRING, service STRING, ts TIMESTAMP, score DOUBLE")
+    scores = spark.createDataFrame([("s0", 1.0)], "service STRING, centrality DOUBLE")
+    assert graph.score_causes(rows, scores).count() == 1200
