@@ -10,12 +10,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_pairs, decontamination, html_pages, jaccard_join, language, licences, maxent_lm, sharding, spot_signatures, substring_dedup
+from faultline.llm import byte_pairs, decontamination, html_pages, jaccard_join, language, licences, maxent_lm, oracles, sharding, spot_signatures, substring_dedup
 from faultline.llm.words import crc_rest
 from faultline.session import prepare
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = {
+    "op2_jaccard_join": oracles.JACCARD_JOIN,
+    "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op7_decontamination": oracles.DECONTAMINATION,
+}
 
 
 def query(f):
