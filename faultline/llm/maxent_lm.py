@@ -25,7 +25,7 @@ from faultline.llm.words import FACTOR, Words, between_spaces, mix, pieces, stor
 END = np.uint64(0x0E5D0F7E47000001)  # hash of the end token; no word's in practice
 TAIL = 16  # classes of the words outside the model's vocabulary
 FLUSH = 1 << 20  # distinct tokens a task holds before it passes their counts on
-KNOWN = 1 << 20  # most frequent tokens whose counts are sent to the tasks; the others are joined
+KNOWN = 1 << 18  # most frequent tokens whose counts are sent to the tasks; the others are joined
 BATCH = 2048
 BLOCK = 256  # weight rows averaged together
 
@@ -77,6 +77,14 @@ def token_counts(docs: DataFrame, text: str) -> DataFrame:
     return counted.groupBy("token").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int):
+    """The tokens of the highest counts, all of a count or none, `most` at the most; sorted by token."""
+    sizes = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).toPandas()
+    fits = sizes[sizes["count"].cumsum() <= most]["n"]
+    least = int(fits.min()) if len(fits) else 1 << 62
+    return counts.filter(F.col("n") >= least).select("token", "n").toPandas().sort_values("token")
+
+
 class Model:
     """Weights and the fixed parts: vocabulary, class sizes, biases."""
 
@@ -227,18 +235,17 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     the number of tokens there and V of distinct ones; score sums the model's log10
     probabilities. An unknown token is one event of its tail class. In each of `rounds` rounds one
     of `shares` parts of the training rows (by a hash of the key and text) is trained on. Counts of the
-    `known` most frequent tokens go to the tasks; the rest of the tokens are joined with the
+    most frequent tokens (`known` at the most) go to the tasks; the others are joined with the
     whole count table, so no token is left out. Clashing columns of `docs` are replaced.
     """
-    spark, known = docs.sparkSession, max(known, classes * width)
+    spark = docs.sparkSession
     counts = stored(token_counts(training, text), "token-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
     model, tails = start_model(counts, classes, width, rows)
     share = F.pmod(F.xxhash64(key, text, F.lit("share")), F.lit(shares))
     model = train(training, text, share, model, min(rounds, shares), rate)
-    top = counts.select("token", "n") if distinct <= known else counts.orderBy(F.desc("n"), "token").limit(known).select("token", "n")
-    top = top.toPandas().sort_values("token")
+    top = frequent(counts, known)
     sent = spark.sparkContext.broadcast((model.state(), top["token"].to_numpy().astype(np.int64), top["n"].to_numpy().astype(np.int64), tails))
     made = [f for f in docs.schema.fields if f.name not in (text, "_part", "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     kept = docs.select(*[F.col(f.name) for f in made], F.struct(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).alias("_part"))
@@ -259,11 +266,11 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     parts = stored(kept.mapInArrow(run, schema), "scored-parts")
     rest = parts.select(F.col("_part.row").alias("row"), F.explode("_part.rest").alias("r")).select("row", "r.*").distinct()
     looked = rest.join(counts.select("token", F.col("n").alias("c")), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    size = F.get(F.array(*[F.lit(float(x)) for x in tails]), F.col("tail").cast("int"))
+    size = F.get(F.array(*[F.lit(float(x)) for x in tails]), F.col("tail").cast("int"))  # tail -1: a vocabulary word, whose score is complete
     late = looked.groupBy(F.col("row").alias("_row")).agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("_known"),
         F.sum(F.col("times") * (F.log10(F.col("c") + 1.0) - F.lit(float(unit)))).alias("_base"),
-        F.sum(F.col("times") * (F.log10(F.col("c") + 1.0) - F.log10(size))).alias("_score"))
+        F.sum(F.when(F.col("tail") >= 0, F.col("times") * (F.log10(F.col("c") + 1.0) - F.log10(size))).otherwise(0.0)).alias("_score"))
     joined = parts.join(late, F.col("_part.row") == F.col("_row"), "left")
     return joined.select(*[f.name for f in made], "_part.n_tokens", (F.col("_part.n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
                          F.lit(total).cast("long").alias("train_tokens"), (F.col("_part.base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
@@ -292,7 +299,7 @@ def scored(own: Model, known_token, known_n, tail_sizes, unit: float, row: pa.Ar
     n = len(texts)
     lost = np.flatnonzero(~here)
     pair, chosen, times = np.unique(np.stack([of[lost].astype(np.uint64), hashes[lost]]), axis=1, return_index=True, return_counts=True)
-    rest = pa.StructArray.from_arrays([pa.array(hashes[lost][chosen].view(np.int64)), pa.array(tail[lost][chosen]), pa.array(times.astype(np.int64))], ["token", "tail", "times"])
+    rest = pa.StructArray.from_arrays([pa.array(hashes[lost][chosen].view(np.int64)), pa.array(np.where(place < 0, tail, -1)[lost][chosen]), pa.array(times.astype(np.int64))], ["token", "tail", "times"])
     ends = np.concatenate([[0], np.cumsum(np.bincount(pair[0].astype(np.int64), minlength=n))]).astype(np.int32)
     sums = [np.bincount(of, w, n) for w in (base, logs)]
     return pa.StructArray.from_arrays([row, pa.array(np.diff(first)), pa.array(np.bincount(of, here, n).astype(np.int64)), *map(pa.array, sums),
