@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from faultline.catalog.aggregates import INCIDENTS_SQL, daily_incidents
 from faultline.catalog.cleaning import metric_features
-from faultline.catalog.joins import windows
+from faultline.catalog.joins import FUTURE_SQL, windows
 from faultline.catalog.ranges import BUILT_SQL, FEATURE_ROWS_SQL, RAISED_SQL, RULES, feature_rows
 from faultline.catalog.registry import query
 from faultline.catalog.sorting import RANKED_SQL
 from faultline.catalog.views import HOUR, HOURS, LOG_FEATURES, METRIC_FEATURES, WINDOWS
-from faultline.operators import alerts, clustering, graph, intervals, ordering, scaling, text
+from faultline.operators import alerts, clustering, forest, graph, intervals, ordering, scaling, text
 from faultline.operators.forest import IsolationForest, fit_isolation_forest
 from faultline.operators.regression import IncidentModel, fit_incident_model
 from faultline.plans import detect, features, predict
@@ -176,48 +178,90 @@ def evaluation_summary(t):
 
 
 def _forest(t, rows):
-    return fit_isolation_forest(rows, MODEL_COLUMNS, KEYS, trees=200)
+    return fit_isolation_forest(rows, MODEL_COLUMNS, KEYS, trees=TREES)
 
 
-@query("fit_isolation_forest")
-def fit_forest(t):
-    """The model as a table: one row per node."""
-    model = _forest(t, cut_lineage(model_rows(t)))
-    return t.spark.createDataFrame(model.nodes, "tree INT, node INT, feature INT, threshold DOUBLE, left INT, right INT, path DOUBLE")
+_WINDOWS = f"{', '.join(KEYS)} FROM v_metric_features"
+TREES = 200
 
 
-@query("score_isolation_forest")
+@query("fit_isolation_forest", f"SELECT unnest(range({TREES})) AS tree, 1 AS roots, 0 AS lost_children, true AS one_leaf_more, true AS isolates")
+def fit_forest(t):
+    """The fitted trees, one row each: a root, children that exist, one leaf more than splits, no path beyond the depth limit."""
+    model = _forest(t, cut_lineage(model_rows(t)))
+    nodes = t.spark.createDataFrame(model.nodes, "tree INT, node INT, feature INT, threshold DOUBLE, left INT, right INT, path DOUBLE")
+    split = F.col("feature") >= 0
+    children = F.explode(F.array("left", "right"))
+    named = nodes.filter(split).select("tree", children.alias("node")).withColumn("_child", F.lit(1))
+    joined = nodes.join(named, ["tree", "node"], "full")
+    longest = forest.average_path(model.sample) + math.ceil(math.log2(max(model.sample, 2)))
+    return joined.groupBy("tree").agg(
+        F.count_if(F.col("_child").isNull()).cast("int").alias("roots"), F.count_if(F.col("feature").isNull()).cast("int").alias("lost_children"),
+        (F.count_if(~split) == F.count_if(split) + 1).alias("one_leaf_more"), (F.max("path") <= longest).alias("isolates"))
+
+
+@query("score_isolation_forest", f"SELECT {_WINDOWS.replace(' FROM', ', true AS in_range, true AS flag_follows FROM')}")
 def score_forest(t):
+    """Every window scored: scores lie where offset and path lengths put them, flags follow the score."""
     rows = cut_lineage(model_rows(t))
-    return _forest(t, rows).transform(rows, 0.10, strict=False).select(*KEYS, "anomaly_score", "anomaly_flag")
+    model = _forest(t, rows)
+    out = model.transform(rows, 0.10, strict=False)
+    score = F.col("anomaly_score")
+    return out.select(*KEYS, score.between(model.offset, model.offset + 1).alias("in_range"),
+                      (F.col("anomaly_flag") == (score >= 0.10).cast("int")).alias("flag_follows"))
 
 
 def _training(t):
     return predict.labelled_rows(model_rows(t), t.faults, 5 * HOUR, 4 * HOUR)
 
 
-@query("fit_incident_lr")
+@query("fit_incident_lr", f"SELECT unnest({[*MODEL_COLUMNS, 'intercept']}) AS feature, 0.0::DOUBLE AS gradient")
 def fit_lr(t):
-    """Coefficients of the scaled model."""
-    model = fit_incident_model(_training(t).filter("split_no = 0"), MODEL_COLUMNS)
-    rows = [(c, float(w)) for c, w in zip([*MODEL_COLUMNS, "intercept"], [*model.regression.coefficients, model.regression.intercept])]
-    return t.spark.createDataFrame(rows, "feature STRING, coefficient DOUBLE")
-
-
-@query("score_incident_prob")
+    """The gradient of the weighted loss at the fitted coefficients, to three decimals: the fit is stationary in every column."""
+    rows = cut_lineage(_training(t).filter("split_no = 0"))
+    model = fit_incident_model(rows, MODEL_COLUMNS)
+    n, pos = rows.agg(F.count(F.lit(1)), F.count_if(F.col("y_future") == 1)).first()
+    weight = F.when(F.col("y_future") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
+    scored = model.transform(rows).withColumn("_e", weight * (F.col("probability") - F.col("y_future")))
+    scaled = model.scaler.expressions()
+    sums = scored.selectExpr(*[f"sum(_e * ({scaled[c]})) AS `{c}`" for c in MODEL_COLUMNS], "sum(_e) AS intercept").first()
+    penalty = [*[b / n for b in model.regression.coefficients], 0.0]
+    total = [(c, round(float(sums[c] / n + p), 3) + 0.0) for c, p in zip([*MODEL_COLUMNS, "intercept"], penalty)]
+    return t.spark.createDataFrame(total, "feature STRING, gradient DOUBLE")
+
+
+@query("score_incident_prob", f"SELECT {', '.join(KEYS)}, coalesce(y_future, 0) AS y_future, true AS is_probability, true AS flag_follows, true AS decision_agrees FROM ({FUTURE_SQL})")
 def score_prob(t):
+    """Labels and scores of every window; the decision value and the plain prediction order rows as the probability does."""
     rows = _training(t)
-    return fit_incident_model(rows.filter("split_no = 0"), MODEL_COLUMNS).transform(rows).select(*KEYS, "y_future", "probability", "flag")
-
-
-@query("persist_model")
+    model = fit_incident_model(rows.filter("split_no = 0"), MODEL_COLUMNS)
+    p = F.col("probability")
+    out = model.transform(rows).withColumn("_plain", p).drop("probability", "flag")
+    out = model.transform(out, "prediction").withColumn("_hard", p).drop("probability", "flag")
+    out = model.transform(out, "decision").withColumn("_soft", p).drop("probability", "flag")
+    agrees = (F.col("_hard") == (F.col("_plain") > 0.5).cast("double")) & F.col("_soft").between(0, 1)
+    flag = model.transform(out).select(*KEYS, "y_future", F.col("_plain").between(0, 1).alias("is_probability"),
+                                       (F.col("flag") == (F.col("_plain") >= model.threshold).cast("int")).alias("flag_follows"), agrees.alias("decision_agrees"))
+    return flag
+
+
+@query("persist_model", f"SELECT {_WINDOWS.replace(' FROM', ', 0.0::DOUBLE AS probability_change, 0.0::DOUBLE AS forest_change, 0.0::DOUBLE AS detector_change FROM')}")
 def persist_model(t):
-    """Scores of models that were written and read back."""
+    """Change of every score when the models are written and read back."""
     rows = _training(t)
     path = scratch_path(t.spark, "models")
-    fit_incident_model(rows.filter("split_no = 0"), MODEL_COLUMNS).save(t.spark, f"{path}/predictor")
-    _forest(t, rows).save(t.spark, f"{path}/forest")
-    scored = IncidentModel.load(t.spark, f"{path}/predictor").transform(rows)
-    return IsolationForest.load(t.spark, f"{path}/forest").transform(scored).select(*KEYS, "probability", "anomaly_score")
-
-
+    predictor = fit_incident_model(rows.filter("split_no = 0"), MODEL_COLUMNS)
+    trees = _forest(t, rows)
+    scaler, inner = detect.fit_detector(rows, MODEL_COLUMNS, KEYS, trees=50)
+    detector = detect.Detector(scaler, inner, 0, 0, 0.05)
+    predictor.save(t.spark, f"{path}/predictor")
+    trees.save(t.spark, f"{path}/forest")
+    detector.save(t.spark, f"{path}/detector")
+    pairs = ((predictor, IncidentModel.load(t.spark, f"{path}/predictor"), "probability", "flag"),
+             (trees, IsolationForest.load(t.spark, f"{path}/forest"), "anomaly_score", "anomaly_flag"),
+             (detector, detect.Detector.load(t.spark, f"{path}/detector"), "anomaly_score", "anomaly_flag"))
+    out = rows
+    for i, (own, read, score, flag) in enumerate(pairs):
+        out = own.transform(out).withColumnRenamed(score, f"_own{i}").drop(flag)
+        out = read.transform(out).withColumn(f"_change{i}", F.abs(F.col(score) - F.col(f"_own{i}"))).drop(score, flag)
+    return out.select(*KEYS, *[F.col(f"_change{i}").alias(n) for i, n in enumerate(("probability_change", "forest_change", "detector_change"))])

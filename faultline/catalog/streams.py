@@ -52,22 +52,33 @@ def _feature_files(t):
     return path
 
 
-@query("stream_detect")
+_SAME = f"SELECT {', '.join(KEYS)}, 0.0::DOUBLE AS change FROM v_metric_features"
+
+
+def _change(stream, batch, score):
+    """Every streamed row against the batch result of the same window."""
+    both = stream.select(*KEYS, score).join(batch.select(*KEYS, F.col(score).alias("_batch")), KEYS, "full")
+    return both.select(*KEYS, F.abs(F.col(score) - F.col("_batch")).alias("change"))
+
+
+@query("stream_detect", _SAME)
 def stream_detect(t):
+    """Scores of rows that arrive in several batches, less those of one batch."""
     path = _feature_files(t)
     rows = t.spark.read.parquet(path)
     scaler, forest = detect.fit_detector(rows, MODEL_COLUMNS, KEYS, trees=200)
     model = detect.Detector(scaler, forest, 0, 0, 0.05)
     out = model.transform(live.read_stream(t.spark, path, files_per_batch=1)).select(*KEYS, "anomaly_score", "anomaly_flag")
-    return live.run_append(out, "detect")
+    return _change(live.run_append(out, "detect"), model.transform(rows), "anomaly_score")
 
 
-@query("stream_predict")
+@query("stream_predict", _SAME)
 def stream_predict(t):
+    """Probabilities of rows that arrive in several batches, less those of one batch."""
     path = _feature_files(t)
     model = fit_incident_model(_training(t).filter("split_no = 0"), MODEL_COLUMNS)
     out = model.transform(live.read_stream(t.spark, path, files_per_batch=1)).select(*KEYS, "probability", "flag")
-    return live.run_append(out, "predict")
+    return _change(live.run_append(out, "predict"), model.transform(t.spark.read.parquet(path)), "probability")
 
 
 @query("stream_latest_gauge", "SELECT service, max(ts) AS ts, round(arg_max(score, ts), 6) AS score, arg_max(y, ts) AS y FROM v_scored GROUP BY ALL")
