@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from faultline.catalog.aggregates import INCIDENTS_SQL, daily_incidents
 from faultline.catalog.cleaning import metric_features
-from faultline.catalog.joins import FUTURE_SQL, windows
+from faultline.catalog.joins import FUTURE_SQL, MTTD_SQL, mttd, windows
 from faultline.catalog.ranges import BUILT_SQL, FEATURE_ROWS_SQL, RAISED_SQL, RULES, feature_rows
 from faultline.catalog.registry import query
 from faultline.catalog.sorting import RANKED_SQL
 from faultline.catalog.views import HOUR, HOURS, LOG_FEATURES, METRIC_FEATURES, WINDOWS
-from faultline.operators import alerts, clustering, forest, graph, intervals, ordering, scaling, text
+from faultline.functions import scalars as S
+from faultline.operators import alerts, clustering, evaluation, forest, graph, intervals, ordering, scaling, text
 from faultline.operators.forest import IsolationForest, fit_isolation_forest
 from faultline.operators.regression import IncidentModel, fit_incident_model
 from faultline.plans import detect, features, predict
@@ -163,18 +164,28 @@ def training_summary(t):
     return detect.training_counts(metric_features(t), t.faults, 4 * HOUR)
 
 
-@query("evaluation_summary", """
-WITH hit AS (SELECT w.run_id, w.service, w.window_start, w.window_end, count(f.label_seq) > 0 AS y FROM v_metric_features w LEFT JOIN v_faults f
+@query("evaluation_summary", f"""
+WITH hit AS (SELECT w.run_id, w.service, w.window_start, w.window_end, count(f.label_seq) > 0 AS y, coalesce(any_value(w.error_ratio_mean_1h), 0) >= 0.05 AS p FROM v_metric_features w LEFT JOIN v_faults f
   ON f.run_id = w.run_id AND f.service = w.service AND w.window_start <= f.end_ts AND f.start_ts <= w.window_end GROUP BY ALL),
-r AS (SELECT y, row_number() OVER (ORDER BY window_start, window_end, run_id, service) - 1 AS pos, count(*) OVER () AS n FROM hit)
-SELECT count(*) AS n_windows_total, count(*) FILTER (WHERE test) AS n_test_windows, round(avg(CAST(y AS DOUBLE)) FILTER (WHERE test), 6) AS positive_rate_test
-FROM (SELECT y, pos >= floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) AS test FROM r)""")
+r AS (SELECT y, p, row_number() OVER (ORDER BY window_start, window_end, run_id, service) - 1 AS pos, count(*) OVER () AS n FROM hit)
+SELECT count(*) AS n_windows_total, count(*) FILTER (WHERE test) AS n_test_windows, round(avg(CAST(y AS DOUBLE)) FILTER (WHERE test), 6) AS positive_rate_test,
+  round(coalesce(count(*) FILTER (WHERE test AND y AND p) / nullif(count(*) FILTER (WHERE test AND p), 0), 0), 6) AS threshold_precision,
+  round(coalesce(count(*) FILTER (WHERE test AND y AND p) / nullif(count(*) FILTER (WHERE test AND y), 0), 0), 6) AS threshold_recall,
+  (SELECT count(mttd_seconds) FROM ({MTTD_SQL})) AS n_detected, (SELECT round(avg(mttd_seconds), 6) FROM ({MTTD_SQL})) AS mttd_mean_seconds,
+  (SELECT round(median(mttd_seconds), 6) FROM ({MTTD_SQL})) AS mttd_median_seconds
+FROM (SELECT y, p, pos >= floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) AS test FROM r)""")
 def evaluation_summary(t):
-    rows = cut_lineage(intervals.label_windows(windows(t), t.faults, 4 * HOUR).select(*KEYS, "y_true"))
-    split = ordering.temporal_split(rows, detect.SPLIT_ORDER, [0.6, 0.2])
+    """Windows, the threshold model on the last fifth, and its detection delays over everything, in one row."""
+    rows = cut_lineage(intervals.label_windows(windows(t), t.faults, 4 * HOUR).select(
+        *KEYS, "y_true", (S.finite_or_zero(F.col("error_ratio_mean_1h")) >= 0.05).cast("int").alias("y_pred")))
+    split = cut_lineage(ordering.temporal_split(rows, detect.SPLIT_ORDER, [0.6, 0.2]))
     test = F.col("split_no") == 2
-    return split.agg(F.count(F.lit(1)).alias("n_windows_total"), F.count_if(test).alias("n_test_windows"),
-                     F.avg(F.when(test, F.col("y_true").cast("double"))).alias("positive_rate_test"))
+    counts = split.agg(F.count(F.lit(1)).alias("n_windows_total"), F.count_if(test).alias("n_test_windows"),
+                       F.avg(F.when(test, F.col("y_true").cast("double"))).alias("positive_rate_test"))
+    model = evaluation.precision_recall_f1(split.filter(test), "y_true", "y_pred").select(F.struct("*").alias("s")).scalar()
+    delays = evaluation.mttd_stats(mttd(t)).select(F.struct("*").alias("s")).scalar()
+    return counts.select("*", model["precision"].alias("threshold_precision"), model["recall"].alias("threshold_recall"),
+                         *[delays[c].alias(c) for c in ("n_detected", "mttd_mean_seconds", "mttd_median_seconds")])
 
 
 def _forest(t, rows):

@@ -122,6 +122,14 @@ def count_over_time(t):
     return range_vectors.over_time(t.logs, ["service", "level"], 5 * HOUR, HOUR, None).select("service", "level", "eval_ts", "count_over_time")
 
 
+@query("active_services", """
+WITH x AS (SELECT service, unnest(generate_series(CAST(ceil(epoch_us(ts) / 3.6e9) AS BIGINT), CAST(ceil(epoch_us(ts) / 3.6e9) AS BIGINT) + 4)) AS k FROM v_logs WHERE level = 'ERROR')
+SELECT make_timestamp(k * 3600000000) AS eval_ts, count(DISTINCT service) AS n_series FROM x GROUP BY ALL""")
+def active_services(t):
+    """Services with error lines in the last five hours, at each tick."""
+    return range_vectors.count_by(range_vectors.over_time(t.logs.filter("level = 'ERROR'"), ["service"], 5 * HOUR, HOUR, None))
+
+
 @query("last_not_null", "SELECT service, metric, round(arg_max(value, ts), 6) AS value, max(ts) AS ts FROM (SELECT service, event_type AS metric, ts, amount AS value FROM v_events WHERE cents > 500) GROUP BY ALL")
 def last_not_null(t):
     series = t.events.select("service", F.col("event_type").alias("metric"), "ts", F.when(F.col("cents") > 500, F.col("amount")).alias("value"))

@@ -37,12 +37,27 @@ def stream_log_counts(t):
     return live.run_append(live.log_counts(streamed(t).logs, "1 hour", "10 minutes", "1 hour"), "log_counts")
 
 
-@query("stream_metric_features", "SELECT run_id, service, ws AS window_start, ws + INTERVAL 5 HOUR AS window_end, " + ", ".join(
-    f"round({fn}(value) FILTER (WHERE metric = '{m}'), 6) AS {m}_{s}" for m in METRICS
-    for s, fn in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
-    + f" FROM (SELECT *, time_bucket(INTERVAL 5 HOUR, ts, TIMESTAMP '1970-01-01') AS ws FROM v_metrics) WHERE ws + INTERVAL 5 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM v_metrics) GROUP BY ALL")
+STREAM_WINDOWS = ((1, 1), (5, 1), (15, 5))  # width and slide in hours
+
+
+def _stream_features_sql(width: int, slide: int) -> str:
+    stats = ", ".join(f"round({fn}(value) FILTER (WHERE metric = '{m}'), 6) AS {m}_{s}" for m in METRICS
+                      for s, fn in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
+    return (f"SELECT run_id, service, ws AS window_start, ws + INTERVAL {width} HOUR AS window_end, {stats} FROM (SELECT *, "
+            f"time_bucket(INTERVAL {slide} HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(CAST(i * {slide} AS INT)) AS ws "
+            f"FROM v_metrics, (SELECT unnest(range({width // slide})) AS i)) "
+            f"WHERE ws + INTERVAL {width} HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM v_metrics) GROUP BY ALL")
+
+
+@query("stream_metric_features", " UNION ALL ".join(_stream_features_sql(*w) for w in STREAM_WINDOWS))
 def stream_metric_features(t):
-    return live.run_append(live.metric_features(streamed(t).metrics, "5 hours", None, "1 hour"), "metric_features")
+    """The three window lengths, the longer ones sliding."""
+    out = None
+    for width, slide in STREAM_WINDOWS:
+        rows = live.metric_features(streamed(t).metrics, f"{width} hours", f"{slide} hours" if slide < width else None, "1 hour")
+        part = live.run_append(rows, f"metric_features_{width}")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _feature_files(t):

@@ -115,6 +115,11 @@ def sum_by(vector: DataFrame, by: list[str], value: str = "rate") -> DataFrame:
     return vector.groupBy("eval_ts", *by).agg(F.sum(value).alias(value))
 
 
+def count_by(vector: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Number of series with a value at each tick, per label set; e.g. the services that logged anything."""
+    return vector.groupBy("eval_ts", *(by or [])).agg(F.count(F.lit(1)).alias("n_series"))
+
+
 def ratio(numerator: DataFrame, denominator: DataFrame, on: list[str], value: str = "rate",
           floor: float = 1e-6) -> DataFrame:
     """Element-wise quotient of two vectors with equal labels; the divisor is kept above the floor."""

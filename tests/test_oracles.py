@@ -10,12 +10,15 @@ QUERIES, ORACLES = load()
 # fitting on the smallest tables finds too few faults of one class; tools/check.py runs these at sf0.01
 LARGER = {"fit_incident_lr", "score_incident_prob", "persist_model", "stream_predict", "end_to_end_train_predictor",
           "end_to_end_eval_predictor"}
+# queries whose rule finds nothing in the smallest tables
+MAY_BE_EMPTY = set()
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_matches_sql(spark, key):
-    problem = compare(QUERIES[key](spark, FOLDER), ORACLES[key], FOLDER)
-    assert problem in (None, "no rows on either side"), problem
+    folder = "/root/testdata/sf0.01" if key in LARGER else FOLDER
+    problem = compare(QUERIES[key](spark, folder), ORACLES[key], folder)
+    assert problem is None or (problem == "no rows on either side" and key in MAY_BE_EMPTY), problem
 
 
 @pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLES)))
