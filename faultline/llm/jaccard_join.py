@@ -19,12 +19,13 @@ from pyspark.sql import types as T
 
 from faultline.llm import bloom
 from faultline.llm.components import connected
-from faultline.llm.words import between_spaces, mix, pieces, stored, windows, within, words_of
+from faultline.llm.words import between_spaces, mix, pieces, stored, windows, words_of
 
 ORDER_BITS = 40  # n-grams are ordered and joined by this many bits of their hash; exact ones decide
 CHUNK = 1 << 21  # n-grams counted together before a task passes them on
-FREQUENT = 1 << 20  # entries of the table of frequent n-grams sent to the tasks
+FREQUENT = 1 << 19  # entries of the table of frequent n-grams sent to the tasks
 HOT = 4096  # an n-gram in that many documents is grouped by a shuffled join instead of a bucket
+RANGES = 256  # ranges of hashes in which the suffix filter counts a set
 GROUP = 512  # sets compared with one centre in one task
 SEEN = 1 << 20
 
@@ -33,15 +34,13 @@ def shingle_sets(texts: pa.Array, table: np.ndarray, size: int) -> list[np.ndarr
     """Sorted distinct n-gram hashes of each text; a text of fewer words is one n-gram, none is empty."""
     words = words_of(texts, table, lower=True)
     grams = windows(words.hash, size)
-    inside = within(words.first, size, len(grams))
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if b - a >= size:
-            own = grams[a:b - size + 1]
-            out.append(np.unique(own))
+            own = np.sort(grams[a:b - size + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         else:
             out.append(windows(words.hash[a:b], b - a) if b > a else np.zeros(0, np.uint64))
-    assert inside.sum() == sum(max(0, n - size + 1) for n in np.diff(words.first))
     return out
 
 
@@ -124,17 +123,15 @@ def frequent_grams(docs: DataFrame, text: str, size: int, most: int) -> tuple[np
     return kept["gram"].to_numpy().astype(np.uint64), kept["n"].to_numpy().astype(np.uint64)
 
 
-SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()),
-                     T.StructField("bucket", T.IntegerType()), T.StructField("gram", T.BinaryType()),
-                     T.StructField("of", T.BinaryType()), T.StructField("sizes", T.BinaryType()),
-                     T.StructField("at", T.BinaryType()), T.StructField("parts", T.BinaryType())])
-MEMBERS = T.StructType([T.StructField(x, T.LongType()) for x in ("gram", "sig", "n", "at", "parts")])
+SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("words", T.LongType()),
+                     T.StructField("ranges", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("gram", T.BinaryType()),
+                     T.StructField("of", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("at", T.BinaryType())])
+MEMBERS = T.StructType([T.StructField(x, T.LongType()) for x in ("gram", "sig", "n", "at")])
 
 
-def byte_counts(grams: np.ndarray) -> int:
-    """How many n-grams lie in each eighth of the hash range (255 at most), one byte each."""
-    eighths = np.minimum(np.bincount((grams >> np.uint64(61)).astype(np.int64), minlength=8), 255).astype(np.uint8)
-    return int(eighths.view(np.int64)[0])
+def range_counts(grams: np.ndarray) -> bytes:
+    """How many n-grams lie in each range of hashes (255 at most), one byte each."""
+    return np.minimum(np.bincount((grams >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
 
 
 def prefixes(docs: DataFrame, key: str, text: str, size: int, share: int, frequent) -> DataFrame:
@@ -155,8 +152,8 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, share: int, freque
                 sigs = [signature(s) for s in sets]
                 none = pa.nulls(len(sets), pa.binary())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()),
-                    pa.nulls(len(sets), pa.int32()), none, none, none, none, none], SETS.names)
+                    batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), batch.column(2).slice(a, b - a),
+                    pa.array([range_counts(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), none, none, none, none], SETS.names)
                 if len(seen) > SEEN:
                     seen.clear()
                 fresh = []
@@ -182,7 +179,6 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, share: int, freque
                 gram, length = np.concatenate(gram), np.array(length)
                 of = np.repeat(np.array([x for _, x in fresh], np.int64), length)
                 sizes = np.repeat(np.array([len(s) for s, _ in fresh], np.uint32), length)
-                parts = np.repeat(np.array([byte_counts(s) for s, _ in fresh], np.int64), length)
                 at = (np.arange(len(gram)) - np.repeat(np.cumsum(length) - length, length)).astype(np.uint32)
                 hot = (gram >> np.uint64(ORDER_BITS)) >= HOT
                 gram = gram & np.uint64((1 << ORDER_BITS) - 1)
@@ -190,23 +186,23 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, share: int, freque
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[by], prepend=-2))
                 ends = [*cuts[1:].tolist(), len(by)]
-                columns = [[v[by][i:j].tobytes() for i, j in zip(cuts.tolist(), ends)] for v in (gram, of, sizes, at, parts)]
+                columns = [[v[by][i:j].tobytes() for i, j in zip(cuts.tolist(), ends)] for v in (gram, of, sizes, at)]
                 m = len(cuts)
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(bucket[by][cuts], pa.int32()),
+                    *[pa.nulls(m, pa.int64()) for _ in range(4)], pa.nulls(m, pa.binary()), pa.array(bucket[by][cuts], pa.int32()),
                     *[pa.array(c, pa.binary()) for c in columns]], SETS.names)
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, SETS)
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("words")).mapInArrow(run, SETS)
 
 
 def unpacked(group: pa.Table) -> dict[str, np.ndarray]:
-    kinds = {"gram": np.uint64, "of": np.int64, "sizes": np.uint32, "at": np.uint32, "parts": np.int64}
+    kinds = {"gram": np.uint64, "of": np.int64, "sizes": np.uint32, "at": np.uint32}
     return {k: np.concatenate([np.frombuffer(x.as_py(), d) for x in group.column(k)]).astype(np.int64) for k, d in kinds.items()}
 
 
 def members(packed: DataFrame) -> DataFrame:
-    """gram, sig, n, at, parts of every prefix n-gram that two different sets have in their prefixes."""
-    packed = packed.filter("bucket is not null").select("bucket", "gram", "of", "sizes", "at", "parts")
+    """gram, sig, n, at of every prefix n-gram that two different sets have in their prefixes."""
+    packed = packed.filter("bucket is not null").select("bucket", "gram", "of", "sizes", "at")
 
     def shared(group):
         x = unpacked(group)
@@ -217,13 +213,13 @@ def members(packed: DataFrame) -> DataFrame:
         gram = gram[fresh]
         same = gram[1:] == gram[:-1]
         kept = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        return pa.table([x[k][kept] for k in ("gram", "of", "sizes", "at", "parts")], schema=pa.schema([(n, pa.int64()) for n in MEMBERS.names]))
+        return pa.table([x[k][kept] for k in ("gram", "of", "sizes", "at")], schema=pa.schema([(n, pa.int64()) for n in MEMBERS.names]))
 
     def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 x = unpacked(pa.Table.from_batches([batch]))
-                yield pa.RecordBatch.from_arrays([pa.array(x[k]) for k in ("gram", "of", "sizes", "at", "parts")], MEMBERS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(x[k]) for k in ("gram", "of", "sizes", "at")], MEMBERS.names)
 
     rare = packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(shared, MEMBERS)
     hot = packed.filter("bucket < 0").mapInArrow(loose, MEMBERS).dropDuplicates(["gram", "sig"])
@@ -231,19 +227,32 @@ def members(packed: DataFrame) -> DataFrame:
 
 
 def can_link(share: int) -> Column:
-    """Length, positional and suffix filters of a pair a, b that meets at a shared n-gram."""
+    """Length and positional filters of a pair a, b that meets at a shared n-gram."""
     n, m = F.col("a.n"), F.col("b.n")
     least = F.ceil(share * (n + m) / F.lit(100.0 + share) - 1e-9)
     rest = F.least(n - F.col("a.at"), m - F.col("b.at"))
-    apart = sum(F.abs(F.shiftrightunsigned("a.parts", 8 * k).bitwiseAND(255) - F.shiftrightunsigned("b.parts", 8 * k).bitwiseAND(255))
-                for k in range(8))
-    return (100 * F.least(n, m) >= share * F.greatest(n, m)) & (rest >= least) & (apart <= n + m - 2 * least)
+    return (100 * F.least(n, m) >= share * F.greatest(n, m)) & (rest >= least)
+
+
+def suffix_filter(pairs: DataFrame, names: DataFrame, share: int) -> DataFrame:
+    """Pairs whose sets can still share enough: the counts in each range of hashes bound how much differs."""
+    a = names.select("sig", F.col("n").alias("_n"), F.col("ranges").alias("_a"))
+    b = names.select(F.col("sig").alias("centre"), F.col("n").alias("_m"), F.col("ranges").alias("_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int32) for k in (2, 3))
+                size = batch.column(4).to_numpy()
+                kept = np.abs(x - y).sum(axis=1) <= size - 2 * -(-share * size // (100 + share))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(kept)), batch.column(1).filter(pa.array(kept))], ["sig", "centre"])
+
+    return pairs.join(a, "sig").join(b, "centre").select("sig", "centre", "_a", "_b", (F.col("_n") + F.col("_m")).alias("size")).mapInArrow(run, "sig long, centre long")
 
 
 def star_pairs(entries: DataFrame, share: int) -> DataFrame:
     """Every set with the most central set of each of its n-grams: the one that has fewest rarer n-grams."""
-    centre = entries.groupBy("gram").agg(F.min(F.struct("at", "sig", "n", "parts")).alias("c")).select(
-        "gram", "c.sig", "c.n", "c.at", "c.parts")
+    centre = entries.groupBy("gram").agg(F.min(F.struct("at", "sig", "n")).alias("c")).select("gram", "c.sig", "c.n", "c.at")
     pairs = entries.alias("a").join(centre.alias("b"), F.col("a.gram") == F.col("b.gram")).filter(
         (F.col("a.sig") != F.col("b.sig")) & can_link(share))
     return pairs.select(F.col("a.sig").alias("sig"), F.col("b.sig").alias("centre")).distinct()
@@ -259,11 +268,11 @@ def open_pairs(entries: DataFrame, labels: DataFrame, share: int) -> DataFrame:
     return pairs.select(F.col("a.sig").alias("sig"), F.col("b.sig").alias("centre")).distinct()
 
 
-def verified(docs: DataFrame, text: str, size: int, share: int, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, text: str, size: int, share: int, pairs: DataFrame, names: DataFrame) -> DataFrame:
     """The pairs (sig, centre) that link, each verified once on the whole n-gram sets.
 
-    Sets are made again from the texts; a Bloom filter of the wanted ones keeps the rest
-    in the scan. Each set is sent once per centre it
+    Sets are made again from the texts; `names` has a hash of one text of each set, and a
+    Bloom filter of the wanted texts keeps the rest in the scan. Each set is sent once per centre it
     meets, in groups of `GROUP`, with a copy of the centre in each.
     """
     spark = docs.sparkSession
@@ -272,25 +281,25 @@ def verified(docs: DataFrame, text: str, size: int, share: int, pairs: DataFrame
     asks = wanted.join(sized, "centre").select("sig", "centre", F.pmod("sig", F.ceil(F.col("_m") / GROUP)).alias("salt"))
     salts = sized.select(F.col("centre").alias("sig"), "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_m") / GROUP) - 1)).alias("salt"))
     asks = stored(asks.unionByName(salts), "asks")
-    sent = spark.sparkContext.broadcast(bloom.fill(asks.select("sig").distinct()))
+    sent = spark.sparkContext.broadcast(bloom.fill(stored(asks.select("sig").distinct().join(names, "sig").select("words"), "wanted")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, seen = between_spaces(), sent.value, set()
         for batch in batches:
-            for a, b in pieces(batch.column(0)):
-                sets = shingle_sets(batch.column(0).slice(a, b - a), table, size)
-                found = []
-                sigs = np.array([signature(s) for s in sets], np.int64)
-                for i in np.flatnonzero(bloom.holds(sigs, held)):
-                    if int(sigs[i]) not in seen:
-                        seen.add(int(sigs[i]))
-                        found.append((int(sigs[i]), sets[i].tobytes()))
-                if len(seen) > SEEN:
-                    seen.clear()
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["sig", "grams"])
+            key = batch.column(1).to_numpy()
+            fresh = []
+            for i in np.flatnonzero(bloom.holds(key, held)).tolist():
+                if int(key[i]) not in seen:
+                    seen.add(int(key[i]))
+                    fresh.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            texts = batch.column(0).take(pa.array(fresh, pa.int64()))
+            for a, b in pieces(texts):
+                sets = shingle_sets(texts.slice(a, b - a), table, size)
+                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "grams"])
 
-    sets = docs.select(text).mapInArrow(run, "sig long, grams binary")
+    sets = docs.select(text, F.xxhash64(text).alias("words")).mapInArrow(run, "sig long, grams binary").dropDuplicates(["sig"])
     groups = asks.join(sets, "sig").groupBy("centre", "salt")
 
     def compare(key, group):
@@ -325,12 +334,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     table = frequent_grams(docs, text, size, frequent)
     made = stored(prefixes(docs, key, text, size, share, table), "prefixes")
     rows = made.filter("bucket is null").select("id", "n", "sig")
+    names = stored(made.filter("n > 0").groupBy("sig").agg(*[F.min(c).alias(c) for c in ("words", "n", "ranges")]), "texts")
     entries = stored(members(made), "members")
-    links = stored(verified(docs, text, size, share, star_pairs(entries, share)), "star-links")
+    links = stored(verified(docs, text, size, share, suffix_filter(star_pairs(entries, share), names, share), names), "star-links")
     labels = connected(links)
-    missing = stored(open_pairs(entries, labels, share), "open-pairs")
+    missing = stored(suffix_filter(open_pairs(entries, labels, share), names, share), "open-pairs")
     if not missing.isEmpty():
-        more = verified(docs, text, size, share, missing)
+        more = verified(docs, text, size, share, missing, names)
         labels = connected(links.unionByName(more))
     named = rows.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
         "label", F.when(F.col("n") > 0, F.coalesce("label", "sig")))
