@@ -43,9 +43,19 @@ def test_one_sort_serves_all_rolling_windows(spark):
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
-    held = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/tmp/named-by-the-session")
-    try:
-        assert checkpoint_root(spark) == "/tmp/named-by-the-session"
-    finally:
-        spark.conf.set("spark.checkpoint.dir", held) if held else spark.conf.unset("spark.checkpoint.dir")
+    class Named:
+        """A session whose cluster names the shared folder, with none set in the context yet."""
+        master, asked = "spark://cluster:7077", None
+        conf = {"spark.checkpoint.dir": "hdfs://shared/checkpoints"}
+        sparkContext = property(lambda self: self)
+        getCheckpointDir = lambda self: self.asked
+
+        def setCheckpointDir(self, path):
+            self.asked = path
+
+    named = Named()
+    assert checkpoint_root(named) == named.asked == "hdfs://shared/checkpoints"
+    named.conf, named.asked = {}, None
+    with pytest.raises(RuntimeError):
+        checkpoint_root(named)
+    assert checkpoint_root(spark)
