@@ -104,7 +104,8 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", anc
     lengths = stored(base.select(F.col("_key").alias("_k"), F.floor(F.char_length("_text") / 2).cast("int").alias("_half")), "lengths")
     ring = stored(neighbours(lengths, "_k"), "ring")
     rows = base.join(ring, F.col("_key") == F.col("_id"), "left")
-    heads = rows.filter(F.col("_id").isNotNull()).groupBy(F.col("_before").alias("_to")).agg(
+    # no filter here: with the same left input both joins share one exchange of the texts
+    heads = rows.groupBy(F.col("_before").alias("_to")).agg(
         F.min(F.struct(F.substring("_text", F.lit(1), F.col("_need")).alias("head"), spot_set(F.col("_text"), tuple(anchors), chain).alias("set"))).alias("_after"))
     joined = base.join(heads, F.col("_key") == F.col("_to"), "left")
     n = F.char_length("_text")
