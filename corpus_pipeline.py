@@ -6,15 +6,12 @@ the shared folder as Parquet and reads it back as the next one's documents.
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import byte_pairs, decontamination, jaccard_join, language, substring_dedup
+from faultline.llm.queries import CODE_DIGESTS, code_digests
 from faultline.llm.words import stored
 from faultline.session import prepare
 
@@ -62,14 +59,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids_sha256 and the decoded text's sha256 of every document."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_pairs.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-
-    @F.pandas_udf("string")
-    def digest(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
-
-    return byte_pairs.decode(coded, ranks).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"),
-                                                  digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = byte_pairs.encode_decode(docs.select("doc_id", "lang", "source", "text"), ranks, code_digests, CODE_DIGESTS, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", "coded.*")
 
 
 STAGES = [

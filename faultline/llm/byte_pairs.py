@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from faultline.llm.words import FACTOR, map_texts, mix, powers
 
 LONG = 64  # bytes; longer pieces contract equal pairs together
-HELD = 1 << 19  # distinct pieces a task remembers
+HELD = 1 << 18  # distinct pieces a task remembers
 IDS = 1 << 20  # ids decoded at once
 # the one pattern whose splits are made by array operations; it must equal the tokenizer's
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -102,8 +102,8 @@ def connect(ranks: dict[bytes, int]):
     return con
 
 
-def contract(con, todo: list[bytes], byte_id: np.ndarray, query: str) -> list[np.ndarray]:
-    """Token ids of each piece (none is empty)."""
+def contract(con, todo: list[bytes], byte_id: np.ndarray, query: str) -> list[bytes]:
+    """Token ids of each piece (none is empty), as 32-bit integers."""
     if not todo:
         return []
     length = np.array([len(x) for x in todo])
@@ -114,8 +114,9 @@ def contract(con, todo: list[bytes], byte_id: np.ndarray, query: str) -> list[np
     con.register("start", pa.table({"piece": piece, "pos": pos, "id": ids, "nid": pa.array(np.append(ids[1:], 0).astype(np.int32), mask=ends)}))
     got = con.execute(query).fetchnumpy()
     con.unregister("start")
-    cuts = np.searchsorted(got["piece"], np.arange(1, len(todo)))
-    return np.split(np.asarray(got["id"]).astype(np.int32), cuts)
+    cuts = (4 * np.searchsorted(got["piece"], np.arange(len(todo) + 1))).tolist()
+    raw = np.asarray(got["id"]).astype(np.int32).tobytes()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def class_table() -> np.ndarray:
@@ -166,8 +167,9 @@ def split_points(code: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.n
 class Encoder:
     """Pieces a task has met, with their ids and decoded bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.con, self.ids = ranks, connect(ranks), {}
+    def __init__(self, ranks: dict[bytes, int], pattern: str, con=None):
+        self.ranks, self.con, self.ids = ranks, con or connect(ranks), {}
+        self.random = mix((np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * FACTOR)  # by code point
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.table = class_table() if pattern == PATTERN else None
         self.pattern = regex.compile(pattern)
@@ -190,7 +192,7 @@ class Encoder:
         size = np.diff(start, append=len(code))
         power = powers(0xD6E8FEB86659FD93, min(1 << 16, int(size.max()) + 1))
         place = np.arange(len(code)) - np.repeat(start, size)
-        hashes = np.add.reduceat(mix((code.astype(np.uint64) + np.uint64(1)) * FACTOR) * power[place & 0xFFFF], start)
+        hashes = np.add.reduceat(self.random[code] * power[place & 0xFFFF], start)
         _, chosen, which = np.unique(mix(hashes + size.astype(np.uint64)), return_index=True, return_inverse=True)
         distinct = [joined[a:b] for a, b in zip(start[chosen].tolist(), (start + size)[chosen].tolist())]
         return np.searchsorted(ends, start, "right"), distinct, which
@@ -205,7 +207,7 @@ class Encoder:
             if p not in self.ids:
                 raw = p.encode()
                 if (rank := self.ranks.get(raw)) is not None:
-                    self.ids[p] = np.array([rank], np.int32)
+                    self.ids[p] = rank.to_bytes(4, "little")
                 else:
                     todo.append((p, raw))
         for query, part in ((CONTRACT, [x for x in todo if len(x[1]) <= LONG]), (CONTRACT_LONG, [x for x in todo if len(x[1]) > LONG])):
@@ -214,7 +216,7 @@ class Encoder:
         if not len(which):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         known = [self.ids[p] for p in distinct]
-        flat, length = np.concatenate(known), np.array([len(x) for x in known])
+        flat, length = np.frombuffer(b"".join(known), "<i4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
         first = np.cumsum(length) - length
         size = length[which]
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
@@ -272,11 +274,34 @@ def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "deco
     return kept.mapInArrow(work, schema)
 
 
+def encode_decode(docs: DataFrame, ranks_path: str, derive, kind: T.StructType, pattern: str = PATTERN, text: str = "text",
+                  out: str = "coded") -> DataFrame:
+    """Adds struct `coded`: what `derive` makes of the ids (Arrow lists) and the bytes decoded from them, both as above.
+
+    For results smaller than ids and bytes: those stay in the task, which keeps one connection.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def start():
+        coder = Encoder(sent.value, pattern)
+        back = Decoder(sent.value, coder.con)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            ids, per_row = coder.encode([t or "" for t in texts.to_pylist()])
+            ends = pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32))
+            column = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))
+            return derive(column, back.decode(column))
+
+        return work
+
+    return map_texts(docs, text, out, kind, start)
+
+
 class Decoder:
     """Runs of ids a task has met, with their bytes."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.con, self.bytes = connect(ranks), {}
+    def __init__(self, ranks: dict[bytes, int], con=None):
+        self.con, self.bytes = con or connect(ranks), {}
         self.opens = np.zeros(max(ranks.values(), default=0) + 2, bool)
         self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
 
@@ -295,7 +320,8 @@ class Decoder:
         place = np.arange(len(flat)) - np.repeat(start, size)
         hashes = np.add.reduceat(mix((flat.view(np.uint64) + np.uint64(1)) * FACTOR) * power[place & 0xFFFF], start)
         _, chosen, which = np.unique(mix(hashes + size.astype(np.uint64)), return_index=True, return_inverse=True)
-        runs = [flat[a:b].tobytes() for a, b in zip(start[chosen].tolist(), (start + size)[chosen].tolist())]
+        raw = flat.tobytes()
+        runs = [raw[8 * a:8 * b] for a, b in zip(start[chosen].tolist(), (start + size)[chosen].tolist())]
         if len(self.bytes) > HELD:
             self.bytes.clear()
         self.look_up([r for r in runs if r not in self.bytes])

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.llm import byte_pairs, decontamination, html_pages, jaccard_join, language, licences, maxent_lm, oracles, sharding, spot_signatures, substring_dedup
 from faultline.llm.words import crc_rest
@@ -69,19 +70,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_pairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    found = byte_pairs.decode(coded.select("doc_id", "ids"), ranks)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest_of_ids("ids").alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = byte_pairs.encode_decode(docs, ranks, code_digests, CODE_DIGESTS, public_tokenizers.PATTERN)
+    return found.select("doc_id", "coded.*")
+
 
+CODE_DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                             T.StructField("decoded_sha256", T.StringType())])
 
-def digest_of_ids(ids: str):
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    @F.pandas_udf("string")
-    def digest(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
 
-    return digest(ids)
+def code_digests(ids: pa.Array, decoded: pa.Array) -> list[pa.Array]:
+    """Number of ids, SHA-256 of the ids as little-endian unsigned 32-bit integers and of the decoded bytes."""
+    ends, raw = ids.offsets.to_pylist(), ids.values.to_numpy().astype("<u4").tobytes()
+    return [pa.array(np.diff(ends), pa.int64()), pa.array([hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in zip(ends, ends[1:])]),
+            pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded])]
 
 
 @query
