@@ -5,9 +5,9 @@ model's words, grouped into classes by frequency; the others share classes by th
 the word, in which they are told apart by their counts. The class of a token is drawn from a softmax
 over hashed features of the text before it (last word, the one before it as a skip, both together), the
 word from a softmax over its class with features of the same words. Weights start from counts
-and are trained by distributed gradient updates: in each round every task takes one
-share of the training texts, makes gradient steps on its copy, and the changes are averaged.
-Counts are of all training texts; the weights' size is a parameter and does not grow.
+and are trained by distributed gradient updates: in each round every task takes its texts of one
+share, makes gradient steps on its copy, and the changes are averaged; the rounds visit every share.
+The vocabulary and the weights grow with the number of distinct tokens, up to a bound (`sizes`).
 """
 
 from __future__ import annotations
@@ -135,15 +135,15 @@ class Model:
 
     def step(self, kind, place, rows, before, memory: tuple, rate: float) -> None:
         """One gradient step (Adagrad) on a batch."""
-        g = np.exp(log_softmax(self.class_bias + self.a[rows[0]] + self.a[rows[1]] + self.a[rows[2]]))
+        g = softmax(self.class_bias + self.a[rows[0]] + self.a[rows[1]] + self.a[rows[2]])
         g[np.arange(len(kind)), kind] -= 1
-        update(self.a, memory[0], rows.reshape(-1), np.concatenate([g, g, g]), rate)
+        update(self.a, memory[0], rows, g, rate)
         own = np.flatnonzero(place >= 0)
         if len(own):
             w = self.word_rows(before[:, own], kind[own])
-            g = np.exp(log_softmax(self.word_bias[kind[own]] + self.b[w[0]] + self.b[w[1]]))
+            g = softmax(self.word_bias[kind[own]] + self.b[w[0]] + self.b[w[1]])
             g[np.arange(len(own)), place[own]] -= 1
-            update(self.b, memory[1], w.reshape(-1), np.concatenate([g, g]), rate)
+            update(self.b, memory[1], w, g, rate)
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -151,13 +151,38 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def update(weights: np.ndarray, memory: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    cuts = np.flatnonzero(np.diff(rows, prepend=-1))
-    total, touched = np.add.reduceat(gradient[order], cuts, axis=0), rows[cuts]
-    memory[touched] += total * total
-    weights[touched] -= (rate * total / np.sqrt(memory[touched] + 1e-2)).astype(np.float32)
+    """Adds `gradient`, a row per token, to the weight rows of each of the token's features (`rows`: feature by token)."""
+    flat = rows.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    cuts = np.flatnonzero(np.diff(flat, prepend=-1))
+    order, touched = order % len(gradient), flat[cuts]
+    total = gradient[order[cuts]]
+    more = np.diff(cuts, append=len(flat)) > 1  # most rows have one token
+    if more.any():
+        several = np.repeat(more, np.diff(cuts, append=len(flat)))
+        flat = flat[several]
+        total[more] = np.add.reduceat(gradient[order[several]], np.flatnonzero(np.diff(flat, prepend=-1)), axis=0)
+    seen = memory[touched]
+    seen += total * total
+    memory[touched] = seen
+    seen += np.float32(1e-2)
+    total *= np.float32(rate)
+    total /= np.sqrt(seen, out=seen)
+    weights[touched] -= total
+
+
+def sizes(distinct: int) -> tuple[int, int]:
+    """(words of a class, weight rows) for so many distinct tokens: 64 to 128, 2^14 to 2^16."""
+    bits = max(1, distinct).bit_length()
+    return int(np.clip(64 + 8 * (bits - 18), 64, 128)), 1 << int(np.clip(bits // 2 + 6, 14, 16))
 
 
 def start_model(counts: DataFrame, classes: int, width: int, rows: int) -> Model:
@@ -178,8 +203,8 @@ def start_model(counts: DataFrame, classes: int, width: int, rows: int) -> Model
                  np.zeros((rows, classes + TAIL), np.float32), np.zeros((rows, width), np.float32)), tails
 
 
-def train(docs: DataFrame, text: str, share: Column, model: Model, rounds: int, rate: float) -> Model:
-    """Rounds of gradient updates; round r takes the rows whose `share` is r."""
+def train(docs: DataFrame, text: str, share: Column, shares: int, model: Model, rounds: int, rate: float) -> Model:
+    """Rounds of gradient updates; round r takes the rows whose `share` is r modulo `shares`, in as many tasks as there are cores."""
     sc = docs.sparkSession.sparkContext
     schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("change", T.BinaryType()), T.StructField("n", T.LongType())])
     for number in range(rounds):
@@ -210,14 +235,13 @@ def train(docs: DataFrame, text: str, share: Column, model: Model, rounds: int,
             return pa.table({"block": group.column("block")[:1], "change": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary()),
                              "n": pa.array([int(n.sum())], pa.int64())})
 
-        changes = docs.filter(share == number).select(text).mapInArrow(run, schema).groupBy("block").applyInArrow(average, schema).collect()
-        a, b = model.a.copy(), model.b.copy()
-        for block, change, _ in changes:
+        changes = docs.filter(share == number % shares).select(text).coalesce(sc.defaultParallelism).mapInArrow(run, schema).groupBy("block").applyInArrow(average, schema)
+        a, b = model.a, model.b  # the tasks have their copy
+        for block, change, _ in changes.toLocalIterator():
             weights, i = (a, block * BLOCK) if block < len(a) // BLOCK + 1 else (b, (block - len(a) // BLOCK - 1) * BLOCK)
             part = np.frombuffer(bytes(change), np.float32).reshape(-1, weights.shape[1])
             weights[i:i + len(part)] += part
-        sent.unpersist()
-        model = Model(*model.state()[:5], a, b)
+        sent.destroy()
     return model
 
 
@@ -226,25 +250,30 @@ PARTS = T.StructType([T.StructField("row", T.LongType()), T.StructField("n_token
                       T.StructField("rest", T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("token", "tail", "times")])))])
 
 
-def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", classes: int = 32, width: int = 64,
-                rows: int = 1 << 14, rounds: int = 4, shares: int = 16, rate: float = 0.15, known: int = KNOWN) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", classes: int = 32, width: int | None = None,
+                rows: int | None = None, rounds: int | None = None, shares: int = 4, rate: float = 0.15, known: int = KNOWN) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score and all other columns but the text, for every row of `docs`.
 
     Words are runs between white space, A-Z lower-cased; a null text is empty, so it has the end
     alone. base_score sums log10((c + 1) / (N + V + 1)), c being the token's count in `training`, N
     the number of tokens there and V of distinct ones; score sums the model's log10
     probabilities. An unknown token is one event of its tail class. In each of `rounds` rounds one
-    of `shares` parts of the training rows (by a hash of the key and text) is trained on. Counts of the
+    of `shares` parts of the training rows (by a hash of the key and text) is trained on, by default each
+    part once; 0 rounds leave the weights untrained. `width` and `rows` follow from the distinct tokens. Counts of the
     most frequent tokens (`known` at the most) go to the tasks; the others are joined with the
     whole count table, so no token is left out. Clashing columns of `docs` are replaced.
     """
+    rounds = shares if rounds is None else rounds
+    if 0 < rounds < shares:
+        raise ValueError("fewer rounds than shares leave training rows out")
     spark = docs.sparkSession
     counts = stored(token_counts(training, text), "token-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
-    model, tails = start_model(counts, classes, width, rows)
+    sized = sizes(distinct)
+    model, tails = start_model(counts, classes, width or sized[0], rows or sized[1])
     share = F.pmod(F.xxhash64(key, text, F.lit("share")), F.lit(shares))
-    model = train(training, text, share, model, min(rounds, shares), rate)
+    model = train(training, text, share, shares, model, rounds, rate)
     top = frequent(counts, known)
     sent = spark.sparkContext.broadcast((model.state(), top["token"].to_numpy().astype(np.int64), top["n"].to_numpy().astype(np.int64), tails))
     made = [f for f in docs.schema.fields if f.name not in (text, "_part", "n_tokens", "n_known", "train_tokens", "base_score", "score")]

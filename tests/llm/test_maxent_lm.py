@@ -7,7 +7,7 @@ import pytest
 from brute import LOWER, SPACED
 from pyspark.sql import functions as F
 
-from faultline.llm import maxent_lm
+from faultline.llm import maxent_lm, queries
 from faultline.llm.words import between_spaces, crc_rest, words_of
 
 
@@ -83,3 +83,22 @@ def test_edges(make):
     assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 3}) == 1
     check(maxent_lm.score_texts(docs, docs.filter("false")), [])
     assert maxent_lm.score_texts(make([]), training).collect() == []
+
+
+def test_every_training_text_is_trained_on_by_default(make):
+    """Each text has word pairs of its own; a text without gradient steps keeps its untrained score."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(4)) + " ") for i in range(48)]
+    docs = make([(i, t * 50) for i, t in rows], "doc_id long, text string")
+    trained, plain = ({r.doc_id: r.score for r in maxent_lm.score_texts(docs, docs, **o).collect()} for o in ({}, {"rounds": 0}))
+    assert all(trained[i] > 0.99 * plain[i] for i, _ in rows)
+    with pytest.raises(ValueError):
+        maxent_lm.score_texts(docs, docs, rounds=4, shares=16)
+
+
+def test_query_beats_the_base_on_held_out_texts(spark, small):
+    held = [r for r in queries.op1_maxent_lm(spark, small).collect() if r.held_out]
+    assert len(held) > 10 and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_sizes_grow_with_the_distinct_tokens():
+    assert maxent_lm.sizes(1000) == (64, 1 << 14) and maxent_lm.sizes(1 << 20) == (88, 1 << 16) and maxent_lm.sizes(1 << 30) == (128, 1 << 16)
