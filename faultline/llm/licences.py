@@ -91,7 +91,7 @@ def compile_templates(templates) -> list[Template]:
     return sorted(out, key=lambda t: len(t.grams))
 
 
-def scan_licences(docs: DataFrame, templates=TEMPLATES, text: str = "text", least: float = 0.8, out: str = "licences") -> DataFrame:
+def scan_licences(docs: DataFrame, templates=TEMPLATES, text: str = "text", least: float = 0.8, out: str = "licences", inside: bool = False) -> DataFrame:
     """Adds struct `licences` with `matches` (licence, dice, line, lines), each licence of a text once, by its best stretch.
 
     A text is compared as a whole, by stretches of lines without a line free of words between
@@ -99,7 +99,8 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, text: str = "text", leas
     the shared bigrams over the sum of both sets' sizes. Only templates whose size lets Dice reach
     `least` are compared: size bounds prune them, and so does a stretch without a bigram of any
     template. Ties go to the earlier, longer stretch; matches are sorted by licence. Null, empty and one-word texts
-    have no match. Templates are a parameter (pairs of name and text); columns pass through.
+    have no match. With `inside` every run of words is compared instead, wherever lines end (`window_matches`), and of
+    licences that claim the same words the best stays. Templates are a parameter (pairs of name and text); columns pass through.
     """
     compiled = compile_templates(templates)
 
@@ -116,7 +117,8 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, text: str = "text", leas
             rows = []
             for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
                 lo, hi = np.searchsorted(hits, (a, b - 1))
-                rows.append(best_matches(grams, line, a, b, hits[lo:hi], compiled, least) if hi > lo else [])
+                find = window_matches if inside else best_matches
+                rows.append(find(grams, line, a, b, hits[lo:hi], compiled, least) if hi > lo else [])
             return [pa.array(rows, pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("line", pa.int32()), ("lines", pa.int32())])))]
 
         return work
@@ -147,3 +149,61 @@ def best_matches(grams: np.ndarray, line: np.ndarray, a: int, b: int, hits: np.n
             if dice >= least and dice > best.get(t.licence, (0,))[0]:
                 best[t.licence] = (dice, int(line[i] - line[a]), int(line[j - 1] - line[i] + 1))
     return [{"licence": k, "dice": v[0], "line": v[1], "lines": v[2]} for k, v in sorted(best.items())]
+
+
+def window_matches(grams: np.ndarray, line: np.ndarray, a: int, b: int, hits: np.ndarray, templates: list, least: float) -> list:
+    """Best match of each licence among all runs of words a to b.
+
+    A best run starts and ends with a bigram of the template. For each start Dice of all ends is
+    computed as long as the run has no more distinct bigrams than Dice allows. Runs are chosen by shared bigrams times Dice;
+    one that has most of its words in a chosen run of another licence goes.
+    """
+    own = grams[a:b - 1]
+    present = np.unique(grams[hits])
+    found = []
+    before = None
+    for t in templates:
+        m = len(t.grams)
+        need, most = least * m / (2 - least) - 1e-9, m * (2 - least) / least + 1e-9
+        if len(np.intersect1d(present, t.grams, assume_unique=True)) < need:
+            continue
+        if before is None:
+            before = np.full(len(own), -1)
+            order = np.argsort(own, kind="stable")
+            same = own[order[1:]] == own[order[:-1]]
+            before[order[1:][same]] = order[:-1][same]
+        at = hits - a
+        place = np.minimum(np.searchsorted(t.grams, grams[hits]), m - 1)
+        at = at[t.grams[place] == grams[hits]]
+        hit = np.zeros(len(own), bool)
+        hit[at] = True
+        for i in at.tolist():
+            size = int(most) + 1
+            while True:
+                part = slice(i, i + size)
+                fresh = before[part] < i
+                n = np.cumsum(fresh)
+                if n[-1] > most or i + size >= len(own):
+                    break
+                size *= 2
+            c = np.cumsum(fresh & hit[part])
+            if c[-1] < need:
+                continue
+            dice = 2 * c / (n + m)
+            j = int(np.argmax(dice))
+            if dice[j] >= least:
+                found.append((-float(c[j] * dice[j]), i, i + j + 1, float(dice[j]), t.licence))
+    taken = np.full(len(own), -1)
+    names: list = []
+    best: dict = {}
+    for _, i, j, dice, licence in sorted(found):
+        if licence not in names:
+            names.append(licence)
+        number = names.index(licence)
+        other = (taken[i:j] >= 0) & (taken[i:j] != number)
+        if 2 * np.count_nonzero(other) > j - i:
+            continue
+        taken[i:j][~other] = number
+        if dice > best.get(licence, (0,))[0]:
+            best[licence] = (dice, int(line[a + i] - line[a]), int(line[a + j] - line[a + i] + 1))
+    return [{"licence": k, "dice": v[0], "line": v[1], "lines": v[2]} for k, v in sorted(best.items())]

@@ -73,3 +73,20 @@ def test_other_templates_bounds_and_empty(make):
     assert licences.scan_licences(make([])).collect() == []
     with pytest.raises(ValueError):
         licences.compile_templates([("bad", "word")])
+
+
+def found(make, texts):
+    docs = make(list(enumerate(texts)), "doc_id long, text string")
+    rows = licences.scan_licences(docs, inside=True).collect()
+    return {r.doc_id: {m.licence: m.dice for m in r.licences.matches} for r in rows}
+
+
+def test_paragraphs_and_sentences_inside_longer_texts(make):
+    prose = "some prose of the author that goes on and on for quite a while"
+    texts, want = [], []
+    for name, t in licences.TEMPLATES:
+        texts += [f"{prose}\n" + re.sub(r"[.:] ", ".\n *\n\n", t) + f"\n{prose}", f"{prose} {t} {prose}"]
+        want += [name, name]
+    got = found(make, texts)
+    assert [sorted(got[i]) for i in range(len(texts))] == [[w] for w in want]
+    assert all(d == pytest.approx(1) for x in got.values() for d in x.values())
