@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -64,6 +65,37 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 )
 
+NOTICES = (
+    ("BSD-3-Clause", "This project is licensed under the BSD 3-Clause License."), ("BSD-2-Clause", "This project is licensed under the BSD 2-Clause License."),
+    ("ISC", "This project is licensed under the ISC License."), ("MIT", "Licensed under the MIT License."), ("Apache-2.0", "This project is licensed under the Apache License 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+                "file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    *((name, f"{head} licensed under the GNU {kind} General Public License, version {n}.".replace("  ", " "))
+      for name, kind, n in (("GPL-2.0", "", "2"), ("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"), ("AGPL-3.0", "Affero", "3")) for head in ("This work is",)),
+    *((name, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU " + kind + " General Public License as published by "
+             "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that "
+             "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+             + kind + " General Public License for more details. You should have received a copy of the GNU " + kind + " General Public License along with this "
+             "program. If not, see <https://www.gnu.org/licenses/>.") for name, kind in (("LGPL-3.0", "Lesser"), ("AGPL-3.0", "Affero"))),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    *((f"CC-{short}-4.0", head + name) for short, long in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+      for head, name in (("Licensed under ", f"CC {short} 4.0."), ("", f"Creative Commons {long} 4.0 International"),
+                         ("This work is licensed under a ", f"Creative Commons {long} 4.0 International License."))),
+    ("All-rights-reserved", "All rights reserved."),
+)
+
+
+def all_templates() -> list[tuple[str, str]]:
+    """Templates, notices and the full texts beside this file (named by licence)."""
+    names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0"}
+    files = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    return [*TEMPLATES, *NOTICES, *((names.get(f.stem, f.stem), f.read_text(encoding="utf-8")) for f in files)]
+
+
 MATCH = T.StructType([T.StructField("licence", T.StringType()), T.StructField("dice", T.DoubleType()),
                       T.StructField("line", T.IntegerType()), T.StructField("lines", T.IntegerType())])
 FOUND = T.StructType([T.StructField("matches", T.ArrayType(MATCH))])

@@ -109,7 +109,7 @@ def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"), inside=True)
+    found = licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"), licences.all_templates(), inside=True)
     names = F.transform("licences.matches", lambda m: m["licence"])
     best = F.array_max(F.transform("licences.matches", lambda m: m["dice"]))
     return found.select("doc_id", F.array_join(names, ",").alias("licences"), F.coalesce(best, F.lit(0.0)).alias("best_dice"),

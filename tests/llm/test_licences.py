@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from faultline.llm import licences
+from faultline.llm import licences, queries
 
 
 def words(text):
@@ -77,7 +77,7 @@ def test_other_templates_bounds_and_empty(make):
 
 def found(make, texts):
     docs = make(list(enumerate(texts)), "doc_id long, text string")
-    rows = licences.scan_licences(docs, inside=True).collect()
+    rows = licences.scan_licences(docs, licences.all_templates(), inside=True).collect()
     return {r.doc_id: {m.licence: m.dice for m in r.licences.matches} for r in rows}
 
 
@@ -90,3 +90,22 @@ def test_paragraphs_and_sentences_inside_longer_texts(make):
     got = found(make, texts)
     assert [sorted(got[i]) for i in range(len(texts))] == [[w] for w in want]
     assert all(d == pytest.approx(1) for x in got.values() for d in x.values())
+
+
+def test_full_texts_and_near_names(make):
+    full = licences.all_templates()[-7:]
+    near = [("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"), ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+            ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("All-rights-reserved", "All rights reserved."),
+            ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.")]
+    got = found(make, [f"words before it\n{t}\nand after" for _, t in [*full, *near]])
+    for i, (name, _) in enumerate([*full, *near]):
+        assert name in got[i] and got[i][name] == pytest.approx(1)
+    assert all(len(got[len(full) + i]) == 1 for i in range(len(near)))
+
+
+def test_query_finds_the_planted_lines(spark, small):
+    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "All-rights-reserved", "Released under the MIT License.": "MIT",
+             "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    got = {r.doc_id: r.licences.split(",") for r in queries.op6_licences(spark, small).collect()}
+    planted = [(r.doc_id, name) for r in spark.read.parquet(f"{small}/documents.parquet").collect() for x, name in lines.items() if x in (r.text or "")]
+    assert planted and all(name in got[d] for d, name in planted)
