@@ -55,6 +55,7 @@ DEEPEST = 200  # nesting; what is opened deeper lies side by side
 WIDEST = 24  # runs of children of a template node; beyond it all of one label are one node
 SHARE = 0.9  # of the slots' text that the content container holds
 ENOUGH = 3  # different pages before a block that never changes counts as template
+NEARLY = 0.9  # of a host's different pages that must have such a block
 
 
 class Node:
@@ -257,7 +258,7 @@ class Wrapper:
         return Wrapper(merge(self.tree, other.tree), sorted({*self.keys, *other.keys})[:ENOUGH])
 
     def constant(self, node: list) -> bool:
-        return len(self.keys) >= ENOUGH and node[2] != "" and node[1] >= ENOUGH
+        return len(self.keys) >= ENOUGH and node[2] != "" and node[1] >= max(ENOUGH, NEARLY * self.tree[1])
 
     def slot_text(self, node: list) -> int:
         return (0 if self.constant(node) else node[3]) + sum(map(self.slot_text, node[4]))
@@ -308,10 +309,26 @@ class Wrapper:
         own = Wrapper(nodes[0][0], [])
         if place is None or (place[0].split(".")[0] not in MAIN and own.content()[0].split(".")[0] in MAIN):
             place = own.content()
-        skip = {id(n) for p, t in found if self.constant(t) and not t[4] and t is not centre for n in groups[id(p)]}
+        skip = {id(n) for p, t in found if self.constant(t) and not t[4] and t is not centre for n in groups[id(p)]} - within_main(groups, nodes)
         return " ".join(b for n in groups[id(place)] for b in blocks(n, skip))
 
 
+def within_main(groups: dict, nodes: list) -> set:
+    """Ids of all page nodes inside an article or main element."""
+    out: set = set()
+
+    def walk(node: Node, inside: bool) -> None:
+        if inside:
+            out.add(id(node))
+        for x in node.items:
+            if isinstance(x, Node):
+                walk(x, inside or node.tag in MAIN)
+
+    for n in groups[id(nodes[0][0])]:
+        walk(n, False)
+    return out
+
+
 def host_of(url: str) -> Column:
     """Host of a URL column in lower case without port; text without a scheme or a null gives an empty name."""
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
@@ -322,7 +339,22 @@ HELD = 2_000  # hosts a task holds before it passes their templates on
 
 
 def learn_templates(pages: DataFrame, url: str = "url", page: str = "html", fan_in: int = 32) -> DataFrame:
-    """host, template (text) from all pages; tasks merge their own pages first, then each host's parts are merged in two steps."""
+    """host, template (text) from all pages; a host's pages with one content count once. Tasks merge their
+    own outlines first, then each host's parts are merged in two steps."""
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text:
+                    made = Wrapper.of(text)
+                    if (name, made.keys[0]) not in seen:
+                        if len(seen) > 100 * HELD:
+                            seen.clear()
+                        seen.add((name, made.keys[0]))
+                        rows.append((name, made.keys[0], made.dump()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in range(3)], ["host", "content", "template"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Wrapper] = {}
 
@@ -334,7 +366,7 @@ def learn_templates(pages: DataFrame, url: str = "url", page: str = "html", fan_
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
-                    made = Wrapper.of(text)
+                    made = Wrapper.load(text)
                     held[name] = held[name].add(made) if name in held else made
                     if len(held) > HELD:
                         yield flush()
@@ -348,7 +380,9 @@ def learn_templates(pages: DataFrame, url: str = "url", page: str = "html", fan_
             whole = whole.add(Wrapper.load(t))
         return pa.table({"host": group.column("host")[:1], "template": pa.array([whole.dump()], pa.string())})
 
-    parts = pages.select(host_of(url).alias("host"), F.col(page).alias("page")).mapInArrow(run, TEMPLATES)
+    parts = pages.select(host_of(url).alias("host"), F.col(page).alias("page")).mapInArrow(outlines, "host string, content string, template string")
+    different = parts.groupBy("host", "content").agg(F.min("template").alias("template"))
+    parts = different.select("host", "template").mapInArrow(run, TEMPLATES)
     parts = parts.withColumn("_salt", F.pmod(F.xxhash64("template"), F.lit(fan_in)))
     once = parts.groupBy("host", "_salt").applyInArrow(together, TEMPLATES)
     return once.groupBy("host").applyInArrow(together, TEMPLATES)

@@ -73,3 +73,16 @@ def test_templates_joined_by_host(make):
     rows = [(i, f"http://h{i % 3}.org/{i}", LAYOUT.format(n=i)) for i in range(12)]
     one, other = (text_of(html_pages.extract_text(make(rows, PAGES), broadcast_bytes=b)) for b in (1 << 26, 0))
     assert one == other == {i: WANT.format(n=i) for i in range(12)}
+
+
+def test_copies_among_other_pages_keep_their_own_blocks(make):
+    own = {"article": "<article><h1>T {n}</h1><p>Text {n}</p>{x}</article>", "div": "<div class=post><h1>T {n}</h1><p>Text {n}</p>{x}</div>"}
+    for page in own.values():
+        texts = [page.format(n=i, x="") for i in range(5)] + [page.format(n=9, x="<blockquote>Only here</blockquote>")] * 4
+        got = text_of(html_pages.extract_text(make([(i, f"http://a.org/{i}", "<body><div>Same line</div>" + t) for i, t in enumerate(texts)], PAGES).repartition(3)))
+        assert all(got[i].endswith("T 9 Text 9 Only here") for i in range(5, 9)) and got[0].endswith("T 0 Text 0")
+
+
+def test_blocks_that_all_articles_share_stay_in_them(make):
+    rows = [(i, f"http://a.org/{i}", f"<body><article><p>Text {i}</p><pre>same code</pre></article>") for i in range(6)]
+    assert text_of(html_pages.extract_text(make(rows, PAGES))) == {i: f"Text {i} same code" for i in range(6)}
