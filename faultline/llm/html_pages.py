@@ -43,6 +43,9 @@ OTHER_NAMES = set(("ad ads advert adverts advertisement advertising adsense spon
                    "menu menubar breadcrumb breadcrumbs header footer masthead comment comments discussion disqus reply replies respond cookie cookies "
                    "consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related "
                    "recommended widget pagination pager toolbar skip copyright legal").split())
+PLACES = set(("top bottom left right main site page global primary secondary inner outer area bar box block container wrapper wrap list links "
+              "item items section slot unit holder panel").split())  # what may stand beside such a name in a class or id
+TEXT_TAGS = set("h1 h2 h3 h4 h5 h6 p".split())  # never named as something else
 CONTAINERS = set("html body main article section div center table tbody tr td figure".split())
 MAIN = {"article", "main"}
 
@@ -59,10 +62,10 @@ NEARLY = 0.9  # of a host's different pages that must have such a block
 
 
 class Node:
-    __slots__ = ("tag", "mark", "other", "items")
+    __slots__ = ("tag", "mark", "other", "named", "items")
 
-    def __init__(self, tag: str, mark: str, other: bool):
-        self.tag, self.mark, self.other = tag, mark, other
+    def __init__(self, tag: str, mark: str, other: bool, named: bool = False):
+        self.tag, self.mark, self.other, self.named = tag, mark, other or named, named and not other
         self.items: list = []  # texts and nodes in page order
 
     @property
@@ -70,18 +73,23 @@ class Node:
         return f"{self.tag}.{self.mark}" if self.mark else self.tag
 
 
-def describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """(class or id without digits, whether markup names it as no content)."""
-    mark, other = "", tag in OTHER_TAGS
+def names_other(token: str) -> bool:
+    """Whether a class or id token names no content as a whole: top-nav and comments-area do, with-sidebar and related-work do not."""
+    words = {w.lower() for w in NAME.findall(CAMEL.sub(" ", token))}
+    return bool(words & OTHER_NAMES) and words <= OTHER_NAMES | PLACES
+
+
+def describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(class or id without digits, whether tag, role or style make it no content, whether class or id do)."""
+    mark, other, named = "", tag in OTHER_TAGS, False
     if attributes and not attributes.isspace():
         found = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(attributes)}
         names = f"{found.get('class', '')} {found.get('id', '')}"
         mark = re.sub(r"\d+", "", " ".join(found.get("class", found.get("id", "")).split()))
-        words = {w.lower() for w in NAME.findall(CAMEL.sub(" ", names))}
-        other |= bool(words & OTHER_NAMES) and tag not in ("html", "body", "article", "main")
+        named = tag not in ("html", "body", "article", "main") and tag not in TEXT_TAGS and any(map(names_other, names.split()))
         other |= found.get("role", "").lower() in OTHER_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
         other |= bool(HIDDEN.search(found.get("style", "")))
-    return mark, other
+    return mark, other, named
 
 
 def parse(page: str) -> Node:
@@ -122,9 +130,31 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
         elif tag not in VOID and len(stack) < DEEPEST:
             stack.append(node)
+    keep_largest(root)
     return root
 
 
+def keep_largest(root: Node) -> None:
+    """An element that only its name makes no content counts as content if it holds nearly all text there is besides other such parts of markup."""
+    def size(node: Node) -> int:
+        return sum(len(clean(x)) if isinstance(x, str) else size(x) for x in node.items if isinstance(x, str) or x.named or not x.other)
+
+    def visit(node: Node) -> None:
+        for x in node.items:
+            if isinstance(x, Node) and (x.named or not x.other):
+                if x.named and size(x) >= SHARE * whole:
+                    x.named = x.other = False
+                visit(x)
+
+    def any_named(node: Node) -> bool:
+        return any(isinstance(x, Node) and (x.named or any_named(x)) for x in node.items)
+
+    if any_named(root):
+        whole = size(root)
+        if whole:
+            visit(root)
+
+
 def close(stack: list, tags: tuple, border: set) -> None:
     """Ends the innermost open element of `tags`, if none of `border` lies between, and all within it."""
     for i in range(len(stack) - 1, 0, -1):

@@ -86,3 +86,11 @@ def test_copies_among_other_pages_keep_their_own_blocks(make):
 def test_blocks_that_all_articles_share_stay_in_them(make):
     rows = [(i, f"http://a.org/{i}", f"<body><article><p>Text {i}</p><pre>same code</pre></article>") for i in range(6)]
     assert text_of(html_pages.extract_text(make(rows, PAGES))) == {i: f"Text {i} same code" for i in range(6)}
+
+
+def test_names_count_as_whole_tokens(make):
+    page = '<body><nav>Menu</nav><div class="content with-sidebar"><h2 id="social-effects">Effects {n}</h2><section id="related-work">Work {n}</section><p class="notice">Note {n}</p></div><div class="sidebar-left">Side {n}</div>'
+    named = '<body><nav>Menu</nav><div class="share"><p>All the text {n}</p></div>'
+    rows = [(i, f"http://a.org/{i}", page.format(n=i)) for i in range(5)] + [(i, f"http://b.org/{i}", named.format(n=i)) for i in range(5, 9)]
+    got = text_of(html_pages.extract_text(make(rows, PAGES)))
+    assert got == {i: f"Effects {i} Work {i} Note {i}" if i < 5 else f"All the text {i}" for i in range(9)}
