@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: op1 to op10 over whole tables."""
+"""The registered queries of this subpackage: op1 to op13 over whole tables."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm import byte_pairs, decontamination, html_pages, jaccard_join, language, licences, maxent_lm, oracles, sharding, spot_signatures, substring_dedup
+from faultline.llm import byte_pairs, decontamination, hard_negatives, html_pages, jaccard_join, language, licences, maxent_lm, oracles, sharding, spot_signatures, substring_dedup
 from faultline.llm.words import crc_rest
 from faultline.session import prepare
 
@@ -20,6 +20,7 @@ ORACLES: dict = {
     "op2_jaccard_join": oracles.JACCARD_JOIN,
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op7_decontamination": oracles.DECONTAMINATION,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
 }
 
 
@@ -114,3 +115,10 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.array_max(F.transform("licences.matches", lambda m: m["dice"]))
     return found.select("doc_id", F.array_join(names, ",").alias("licences"), F.coalesce(best, F.lit(0.0)).alias("best_dice"),
                         F.size("licences.matches").cast("long").alias("n_licences"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(rows.withColumn("label", turned), F.col("vec_id") % 100 == 0)
