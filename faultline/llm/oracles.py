@@ -41,3 +41,23 @@ positives AS (SELECT * FROM pairs WHERE alike QUALIFY row_number() OVER (PARTITI
 SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
 FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.alike AND 80 * p.score <= 100 * n.score AND n.score <= p.score
 WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 5"""
+
+# the standard CRC-32 (polynomial EDB88320), bit by bit over the bytes of a decimal number
+CRC32 = """xor(list_reduce(list_transform(range(8 * len({0})), lambda i: CASE WHEN i % 8 = 0 THEN CAST(ascii(substr({0}, i // 8 + 1, 1)) AS BIGINT) ELSE 0 END),
+  lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) % 2)), 4294967295), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 100 AS base, {CRC32.format("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM turns)),
+built AS (SELECT v.c, 0 AS part, t.pos, role, text FROM convs v JOIN turns t ON t.c = base AND pos < h UNION ALL SELECT v.c, 1, t.pos, role, text FROM convs v JOIN turns t ON t.c = v.c AND pos >= h),
+placed AS (SELECT c, row_number() OVER w AS depth, len(text) AS n_chars, list(struct_pack(role, text)) OVER w AS path, count(*) OVER (PARTITION BY c) AS n FROM built WINDOW w AS (PARTITION BY c ORDER BY part, pos)),
+paths AS (SELECT c, depth, n_chars, path, depth = n AS last FROM placed UNION ALL SELECT c, 0, 0, [], NOT EXISTS (FROM built b WHERE b.c = v.c) FROM convs v),
+named AS (SELECT *, min(c) OVER (PARTITION BY path) AS conv_id, count(*) OVER (PARTITION BY path) AS n_convs FROM paths),
+ends AS (SELECT conv_id, depth, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM named WHERE last GROUP BY ALL),
+nodes AS (SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_chars FROM named n LEFT JOIN named p ON p.c = n.c AND p.depth = n.depth - 1 WHERE n.c = n.conv_id),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (conv_id, depth)),
+totals AS (SELECT a.conv_id, a.depth, count(*) FILTER (x.n_children = 0) AS n_leaves, CAST(sum((x.n_convs - 1) * x.n_chars) AS BIGINT) AS saved_tokens
+  FROM full_nodes x JOIN named a ON a.c = x.conv_id AND a.depth <= x.depth GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes JOIN totals USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)"""

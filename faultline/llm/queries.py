@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm import byte_pairs, decontamination, hard_negatives, html_pages, jaccard_join, language, licences, maxent_lm, oracles, sharding, spot_signatures, substring_dedup
+from faultline.llm import byte_pairs, decontamination, hard_negatives, html_pages, jaccard_join, language, licences, maxent_lm, oracles, prefix_trie, sharding, spot_signatures, substring_dedup
 from faultline.llm.words import crc_rest
 from faultline.session import prepare
 
@@ -21,6 +21,7 @@ ORACLES: dict = {
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op7_decontamination": oracles.DECONTAMINATION,
     "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
 }
 
 
@@ -122,3 +123,9 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine_negatives(rows.withColumn("label", turned), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, 5)
