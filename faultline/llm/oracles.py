@@ -61,3 +61,9 @@ totals AS (SELECT a.conv_id, a.depth, count(*) FILTER (x.n_children = 0) AS n_le
   FROM full_nodes x JOIN named a ON a.c = x.conv_id AND a.depth <= x.depth GROUP BY ALL)
 SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM full_nodes JOIN totals USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)"""
+
+WARC = """
+WITH rows AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM rows)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > low THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > low THEN low END AS refers_to FROM firsts"""

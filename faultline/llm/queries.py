@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm import byte_pairs, decontamination, hard_negatives, html_pages, jaccard_join, language, licences, maxent_lm, oracles, prefix_trie, sharding, spot_signatures, substring_dedup
+from faultline.llm import byte_pairs, decontamination, hard_negatives, html_pages, jaccard_join, language, licences, maxent_lm, oracles, prefix_trie, sharding, spot_signatures, substring_dedup, warc
 from faultline.llm.words import crc_rest
-from faultline.session import prepare
+from faultline.session import prepare, scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict = {
@@ -22,6 +22,7 @@ ORACLES: dict = {
     "op7_decontamination": oracles.DECONTAMINATION,
     "op11_hard_negatives": oracles.HARD_NEGATIVES,
     "op12_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_warc": oracles.WARC,
 }
 
 
@@ -129,3 +130,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.col("conv_id")
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, 5)
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = scratch_path(spark, "archive")
+    warc.archive_rows(pages, archive)
+    return warc.archived_rows(spark, archive)
