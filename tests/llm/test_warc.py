@@ -144,10 +144,12 @@ def test_unwanted_payloads_are_passed_over(packed, monkeypatch):
     assert file.n < file.size() * 0.2
 
 
-def test_predicates_and_schema_reach_the_source(spark, foreign):
+def test_predicates_and_schema_reach_the_source(spark, foreign, capsys):
     df = warc.read_archive(spark, foreign, ["record_type", "record_id"]).filter("record_type = 'response'")
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(record_type,response)" in plan and "Filter (" not in plan
+    df.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(record_type,response)" in plan and "ReadSchema: struct<record_type:string,record_id:string>" in plan
+    assert "Filter (" not in plan
     assert df.columns == ["record_type", "record_id"] and df.count() == 3
 
 
