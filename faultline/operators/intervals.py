@@ -1,9 +1,11 @@
 """Joins on time: closed intervals, points in intervals, nearest rows.
 
-Intervals are cut into fixed time bins and joined on (keys, bin), so a busy key
-is spread over its bins. No side is forced to broadcast: the label tables are
-small in practice and Spark broadcasts them from their size statistics, while a
-large one still runs as a shuffled equi-join.
+Intervals are indexed by dyadic bins: one is cut into at most two pieces a level, so a
+fault that stays open for years is a few dozen rows, and a point probes one bin of each
+level in use. Pieces and probes meet on (keys, level, bin), which spreads a busy key over
+its bins. No side is forced to broadcast: the label tables are small in practice and Spark
+broadcasts them from their size statistics, while a large one still runs as a shuffled
+equi-join.
 """
 
 from __future__ import annotations
@@ -19,24 +21,58 @@ WINDOW_KEY = ["run_id", "service", "window_start", "window_end"]
 RUN_SERVICE = ["run_id", "service"]
 
 
+def dyadic_index(df: DataFrame, first: str, last: str, pieces: bool | None, probes: bool | None = None, top: Column | None = None) -> DataFrame:
+    """One row per index entry of the base bins first..last: (_of, _level, _bin).
+
+    Bin `b` of level `l` holds the 2^l base bins from b * 2^l on. Entries marked `pieces`
+    are the fewest bins that make up the range, at most two a level: at each level what is
+    left begins at the next whole bin and ends before the last whole one, and an odd begin,
+    or an odd end, belongs to no larger bin. Entries marked `probes` are the bins that hold
+    `first` at the levels up to `top`. A mark of None leaves that kind out.
+    """
+    own = F.floor(F.log2((F.col(last) - F.col(first) + 1).cast("double"))).cast("int") + 1 if pieces is not None else F.lit(0)
+    highest = own if probes is None else F.greatest(own, F.coalesce(top, F.lit(-1)))
+    rows = df.withColumn("_level", F.explode(F.sequence(F.lit(0), highest)))
+    low = -F.call_function("shiftright", -F.col(first), F.col("_level"))
+    high = F.call_function("shiftright", F.col(last) + 1, F.col("_level"))
+    entries = []
+    if probes is not None:
+        at = F.when(F.col("_level") <= top, F.call_function("shiftright", F.col(first), F.col("_level")))
+        entries.append(F.struct(F.lit(probes).alias("_of"), at.alias("_bin")))
+    if pieces is not None:
+        for end, bin_ in ((low, low), (high, high - 1)):
+            entries.append(F.struct(F.lit(pieces).alias("_of"), F.when((low < high) & (end.bitwiseAND(1) == 1), bin_).alias("_bin")))
+    return rows.select("*", F.inline(F.array(*entries))).filter("_bin IS NOT NULL")
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str],
                   left_span: tuple[Column, Column], right_span: tuple[Column, Column],
                   bin_us: int) -> DataFrame:
     """All pairs of same-key closed intervals that touch, each pair once.
 
-    A pair meets in every bin both cover and is kept only in the first of them.
-    The right side's non-key columns must not clash with the left side's.
+    Of two that touch, the later start (the left one of equal starts) lies in the other
+    interval. So each side's starts probe the other's pieces: a start lies in exactly one
+    piece of an interval that covers its bin, at no level above that of the other side's
+    longest interval (a subquery of the join). A left side of points (one column for both
+    ends) has no pieces. The right side's non-key columns must not clash with the left side's.
     """
-    def binned(df: DataFrame, span: tuple[Column, Column], s: str, e: str) -> DataFrame:
-        return (df.withColumns({s: micros(span[0]), e: micros(span[1])})
-                .filter(F.col(s) <= F.col(e))
-                .withColumn("_bin", F.explode(F.sequence(bin_of(F.col(s), bin_us), bin_of(F.col(e), bin_us)))))
+    points = left_span[0] is left_span[1]
+
+    def placed(df: DataFrame, span: tuple[Column, Column], s: str, e: str) -> DataFrame:
+        rows = df.withColumns({s: micros(span[0]), e: micros(span[1])}).filter(F.col(s) <= F.col(e))
+        return rows.withColumns({"_first": bin_of(F.col(s), bin_us), "_last": bin_of(F.col(e), bin_us)})
+
+    def top(df: DataFrame) -> Column:
+        return df.agg(F.floor(F.log2(F.max(F.col("_last") - F.col("_first") + 1).cast("double"))).cast("int") + 1).scalar()
 
-    lhs = binned(left, left_span, "_ls", "_le")
-    rhs = binned(right, right_span, "_rs", "_re")
-    return (lhs.join(rhs, [*keys, "_bin"])
-            .filter((F.col("_ls") <= F.col("_re")) & (F.col("_rs") <= F.col("_le"))
-                    & (F.col("_bin") == F.greatest(bin_of(F.col("_ls"), bin_us), bin_of(F.col("_rs"), bin_us)))))
+    lhs, rhs = placed(left, left_span, "_ls", "_le"), placed(right, right_span, "_rs", "_re")
+    starts_of_left, starts_of_right = False, True
+    by_left = dyadic_index(lhs, "_first", "_last", None if points else starts_of_right, starts_of_left, top(rhs))
+    by_right = dyadic_index(rhs, "_first", "_last", starts_of_left, None if points else starts_of_right, None if points else top(lhs))
+    inside = F.when(F.col("_of"), (F.col("_ls") < F.col("_rs")) & (F.col("_rs") <= F.col("_le"))).otherwise(
+        (F.col("_rs") <= F.col("_ls")) & (F.col("_ls") <= F.col("_re")))
+    hidden = ["_first", "_last"]
+    return by_left.drop(*hidden).join(by_right.drop(*hidden), [*keys, "_of", "_level", "_bin"]).filter(inside)
 
 
 def label_points(features: DataFrame, labels: DataFrame, at: str = "window_start",
@@ -44,8 +80,9 @@ def label_points(features: DataFrame, labels: DataFrame, at: str = "window_start
     """1 where the row's time lies in a fault of the same run and service."""
     key = [*RUN_SERVICE, at]
     faults = labels.select(*RUN_SERVICE, "start_ts", "end_ts")
+    moment = F.col(at)
     hits = (overlap_pairs(features.select(*key), faults, RUN_SERVICE,
-                          (F.col(at), F.col(at)), (F.col("start_ts"), F.col("end_ts")), bin_us)
+                          (moment, moment), (F.col("start_ts"), F.col("end_ts")), bin_us)
             .groupBy(*key).agg(F.lit(1).alias(name)))
     return features.join(hits, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 

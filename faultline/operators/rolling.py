@@ -45,6 +45,22 @@ def stack_windows(wide: DataFrame, keys: list[str], end: str, names: dict[str, l
     return tall.selectExpr(*keys, f"timestamp_micros(unix_micros({end}) - _us) AS window_start", f"{end} AS window_end", *cols)
 
 
+PARTS = {"n": "count", "mean": "avg", "var": "var_pop", "lo": "min", "hi": "max"}
+
+
+def _merged(c: str) -> list[str]:
+    """Statistics of a window from those of its two parts: `_begin_<c>` and, in another cell, `_before.<c>` (null: no row there)."""
+    a, b = f"_begin_{c}", f"_before.{c}"
+    n = f"({a}.n + coalesce({b}.n, 0))"
+    both = f"{a}.n > 0 AND {b}.n > 0"
+    gap = f"({b}.mean - {a}.mean)"
+    spread = f"({a}.var * {a}.n + {b}.var * {b}.n + {gap} * {gap} * {a}.n * {b}.n / {n})"
+    one = f"coalesce({a}.var * nullif({a}.n, 0), {b}.var * {b}.n)"
+    return [f"CASE WHEN {both} THEN {a}.mean + {gap} * {b}.n / {n} ELSE coalesce({a}.mean, {b}.mean) END AS {c}_mean",
+            f"CASE WHEN {n} > 1 THEN sqrt(CASE WHEN {both} THEN {spread} ELSE {one} END / ({n} - 1)) END AS {c}_std",
+            f"least({a}.lo, {b}.lo) AS {c}_min", f"greatest({a}.hi, {b}.hi) AS {c}_max"]
+
+
 def rolling_stats(samples: DataFrame, columns: list[str] = METRIC_NAMES,
                   windows: dict[str, int] = WINDOWS, keys: list[str] = RUN_SERVICE,
                   layout: str = "long") -> DataFrame:
@@ -52,18 +68,42 @@ def rolling_stats(samples: DataFrame, columns: list[str] = METRIC_NAMES,
 
     Input has one row per key and time. Nulls are skipped; a single value has no
     deviation. `layout="wide"` keeps one row per sample with all lengths side by side.
+
+    Time is cut into cells of one window length, so a window is the end of one cell
+    and the beginning of the next. Statistics of every beginning and every end come
+    from frames that only grow; the end that a window needs is the one of the first
+    sample after its start, found by moving ends one length ahead. The work is
+    linear in the rows at any density, and all of it follows one exchange.
     """
     reach = max(windows.values())
-    rows = with_time_blocks(samples.select(*keys, "ts", *columns), micros("ts"), 4 * reach, reach)
-    rows = rows.withColumn("_t", micros("ts"))
-    part = f"PARTITION BY {', '.join(keys)}, _block ORDER BY _t"
+    rows = with_time_blocks(samples.select(*keys, "ts", *columns), micros("ts"), 4 * reach, reach).repartition(*keys, "_block")
+    widths = ", ".join(f"{us}L" for us in windows.values())
+    tall = rows.withColumn("_t", micros("ts")).selectExpr("*", f"posexplode(array({widths})) AS (_w, _us)").selectExpr(
+        "*", "(_t - pmod(_t, _us)) div _us AS _cell")
+    cell = f"PARTITION BY {', '.join(keys)}, _block, _w, _cell"
+    growing = "BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+    def parts(name: str, order: str) -> list[str]:
+        over = f"OVER ({cell} ORDER BY _t {order} RANGE {growing})"
+        return ["named_struct(" + ", ".join(f"'{p}', {fn}({c}) {over}" for p, fn in PARTS.items()) + f") AS {name}_{c}" for c in columns]
+
+    halves = tall.selectExpr(*keys, "ts", "_home", "_block", "_w", "_us", "_cell", "_t", *parts("_begin", "ASC"), *parts("_end", "DESC"))
+    ends = "named_struct(" + ", ".join(f"'{c}', _end_{c}" for c in columns) + ")"
+    events = halves.selectExpr(
+        *keys, "ts", "_home", "_block", "_w", *[f"_begin_{c}" for c in columns],
+        f"inline(array(named_struct('_moved', 0, '_at', _t, '_cell', _cell, '_end', CASE WHEN false THEN {ends} END), "
+        f"named_struct('_moved', 1, '_at', _t + _us, '_cell', _cell + 1, '_end', {ends})))")
+    seen = events.selectExpr("*", f"last(_end, true) OVER ({cell} ORDER BY _at DESC, _moved ROWS {growing}) AS _before")
+    kept = home_rows(seen.filter("_moved = 0"))
+    stats = kept.selectExpr(*keys, "ts", "_w", *[e for c in columns for e in _merged(c)])
     names = {w: [f"{c}_{s}_{w}" for c in columns for s in STATS] for w in windows}
-    frames = [f"{fn}({c}) OVER ({part} RANGE BETWEEN {us - 1}L PRECEDING AND CURRENT ROW) AS {c}_{s}_{w}"
-              for w, us in windows.items() for c in columns for s, fn in STATS.items()]
-    wide = home_rows(rows.selectExpr("*", *frames))
+    own = [f"{c}_{s}" for c in columns for s in STATS]
+    cols = [f"CASE WHEN _w = {i} THEN {o} END AS {n}" for i, w in enumerate(windows) for o, n in zip(own, names[w])]
     if layout == "wide":
-        return wide.select(*keys, F.col("ts").alias("window_end"), *[c for w in windows for c in names[w]])
-    return stack_windows(wide, keys, "ts", names, windows)
+        held = stats.selectExpr(*keys, "ts AS window_end", *cols)
+        flat = [n for w in windows for n in names[w]]
+        return held.groupBy(*keys, "window_end").agg(*[F.max(n).alias(n) for n in flat])
+    return stats.selectExpr(*keys, f"timestamp_micros(unix_micros(ts) - element_at(array({widths}), _w + 1)) AS window_start", "ts AS window_end", *cols)
 
 
 def rolling_sums(rows: DataFrame, measures: list[str], windows: dict[str, int],
