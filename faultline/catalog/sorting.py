@@ -76,19 +76,19 @@ c AS (SELECT e.*, coalesce(g.centrality, 0) AS centrality, raw / (max(raw) OVER
 f AS (SELECT *, magnitude + 0.6 * centrality + 0.4 * earliness AS score FROM c)
 SELECT incident_id, run_id, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY score DESC, service) AS INT) AS rank, service, round(score, 6) AS score,
   round(magnitude, 6) AS magnitude, round(centrality, 6) AS centrality, round(earliness, 6) AS earliness FROM f QUALIFY rank <= {k}"""
-_CENTRALITY = "(SELECT service, count(*) / 65536 AS centrality FROM v_events WHERE service <> 'auth' GROUP BY ALL)"
+CENTRALITY_SQL = "(SELECT service, count(*) / 65536 AS centrality FROM v_events WHERE service <> 'auth' GROUP BY ALL)"
 
 
 def flat_centrality(t):
     return t.events.filter("service <> 'auth'").groupBy("service").agg((F.count(F.lit(1)) / 65536).alias("centrality"))
 
 
-@query("rca_topk", "WITH " + RANKED_SQL.format(incidents=INCIDENTS_SQL, graph=_CENTRALITY, k=2))
+@query("rca_topk", "WITH " + RANKED_SQL.format(incidents=INCIDENTS_SQL, graph=CENTRALITY_SQL, k=2))
 def rca_topk(t):
     return graph.rank_causes(daily_incidents(t), flat_centrality(t), top_k=2)
 
 
-@query("write_rca_json", "WITH " + RANKED_SQL.format(incidents=INCIDENTS_SQL, graph=_CENTRALITY, k=3).replace(
+@query("write_rca_json", "WITH " + RANKED_SQL.format(incidents=INCIDENTS_SQL, graph=CENTRALITY_SQL, k=3).replace(
     "SELECT incident_id, run_id, CAST(row_number()", f"SELECT incident_id, run_id, (SELECT count(*) FROM {INCIDENTS_SQL} i WHERE i.incident_id = f.incident_id) AS n_alerts, CAST(row_number()"))
 def write_rca_json(t):
     """One document per incident, read back with the candidates' places in their lists."""

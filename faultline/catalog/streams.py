@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from faultline.catalog.aggregates import INCIDENTS_SQL, daily_incidents
 from faultline.catalog.learning import KEYS, MODEL_COLUMNS, _training, model_rows
 from faultline.catalog.registry import query
+from faultline.catalog.sorting import CENTRALITY_SQL, RANKED_SQL, flat_centrality
 from faultline.catalog.views import HOUR, METRICS, Tables
 from faultline.operators import intervals
 from faultline.operators.regression import fit_incident_model
@@ -126,6 +128,19 @@ def stream_request_counters(t):
     return live.run_update(out, "counters", ["service", "event_type"])
 
 
+_RECENT = f"(SELECT *, row_number() OVER (ORDER BY began DESC, incident_id DESC) AS place FROM (SELECT incident_id, min(ts) AS began FROM {INCIDENTS_SQL} GROUP BY ALL) ORDER BY place LIMIT 20)"
+
+
+@query("stream_recent_incidents", "WITH " + RANKED_SQL.format(incidents=INCIDENTS_SQL, graph=CENTRALITY_SQL, k=3).replace(
+    "SELECT incident_id, run_id, CAST(row_number()", "SELECT CAST(place AS INT) AS place, incident_id, run_id, began, CAST(row_number()").replace(" FROM f QUALIFY", f" FROM f JOIN {_RECENT} USING (incident_id) QUALIFY"))
+def stream_recent_incidents(t):
+    """Root-cause gauges of the newest 20 incidents, kept up to date while alerts arrive in four batches."""
+    path = scratch_path(t.spark, "recent")
+    daily_incidents(t).repartitionByRange(4, "ts").write.parquet(f"{path}/alerts")
+    causes = live.RecentCauses(t.spark, path, flat_centrality(t), 20, 3, 40 * 24 * HOUR)
+    return causes.run(live.read_stream(t.spark, f"{path}/alerts", files_per_batch=1))
+
+
 def _marks(t):
     kind = F.col("event_type")
     message = F.when(kind == "error", "fault_start").when(kind == "signup", "fault_end").when(kind == "view", "fault_cleared").otherwise("request_ok")

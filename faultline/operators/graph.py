@@ -134,17 +134,32 @@ def incident_services(incidents: DataFrame) -> DataFrame:
     base = (incidents.groupBy("incident_id", "service")
             .agg(F.avg("score").alias("magnitude"), F.min("ts").alias("first_seen"),
                  F.count(F.lit(1)).alias("n_alerts"), F.min("run_id").alias("run_id")))
+    return with_earliness(base)
+
+
+def with_earliness(services: DataFrame) -> DataFrame:
+    """elapsed_seconds and earliness of one row per incident and service with its first time."""
     whole = Window.partitionBy("incident_id")
     lag = (micros("first_seen") - F.min(micros("first_seen")).over(whole)) / 1e6
-    base = base.withColumn("elapsed_seconds", lag)
+    services = services.withColumn("elapsed_seconds", lag)
     raw = 1.0 / (1.0 + F.col("elapsed_seconds"))
-    return base.withColumn("earliness", raw / (F.max(raw).over(whole) + 1e-12))
+    return services.withColumn("earliness", raw / (F.max(raw).over(whole) + 1e-12))
 
 
 def score_causes(incidents: DataFrame, graph_scores: DataFrame, w_magnitude: float = 1.0,
                  w_centrality: float = 0.6, w_earliness: float = 0.4) -> DataFrame:
     """All services of every incident with their score; a service outside the graph has centrality 0."""
-    return (incident_services(incidents).join(graph_scores, "service", "left")
+    return add_scores(incident_services(incidents), graph_scores, w_magnitude, w_centrality, w_earliness)
+
+
+def score_services(services: DataFrame, graph_scores: DataFrame, w_magnitude: float = 1.0,
+                   w_centrality: float = 0.6, w_earliness: float = 0.4) -> DataFrame:
+    """score_causes for rows that are one per incident and service already (magnitude, first_seen)."""
+    return add_scores(with_earliness(services), graph_scores, w_magnitude, w_centrality, w_earliness)
+
+
+def add_scores(services: DataFrame, graph_scores: DataFrame, w_magnitude: float, w_centrality: float, w_earliness: float) -> DataFrame:
+    return (services.join(graph_scores, "service", "left")
             .withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
             .withColumn("score", w_magnitude * F.col("magnitude") + w_centrality * F.col("centrality")
                         + w_earliness * F.col("earliness")))

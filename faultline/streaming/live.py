@@ -6,18 +6,18 @@ the watermark are dropped; everything else gives the batch result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from faultline.functions.scalars import micros
+from faultline.functions.scalars import from_micros, micros
+from faultline.operators.graph import score_services
 from faultline.operators.intervals import RUN_SERVICE
 from faultline.operators.rolling import STATS
 from faultline.schemas import METRIC_NAMES
 from faultline.session import scratch_path
+from faultline.streaming.keyed import AlertHold, FaultPairing, IncidentState
+from faultline.streaming.tables import CurrentTable
 
 
 def read_stream(spark: SparkSession, folder: str, name: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -61,9 +61,6 @@ def request_counters(requests: DataFrame, by: list[str], value: str, bounds: lis
         F.count_if(F.col(value) <= F.lit(b)).alias("le_inf" if b == float("inf") else f"le_{b:g}") for b in bounds])
 
 
-ALERT_STATE = "rule STRING, service STRING, eval_ts TIMESTAMP, cond BOOLEAN, state STRING"
-
-
 def gauge_ticks(gauge: DataFrame, range_width: str = "1 minute", step: str = "10 seconds", delay: str = "1 minute") -> DataFrame:
     """Maximum and mean of each service's gauge over the last range at each step, once the step is complete."""
     return (gauge.withWatermark("ts", delay).groupBy(F.window("ts", range_width, step), "service")
@@ -71,36 +68,22 @@ def gauge_ticks(gauge: DataFrame, range_width: str = "1 minute", step: str = "10
             .select(F.col("window.end").alias("eval_ts"), "service", "hi", "mid"))
 
 
-def alert_states(ticks: DataFrame, rules: dict[str, tuple[Column, int]], step_us: int = 10_000_000) -> DataFrame:
-    """inactive / pending / firing per rule and service at each tick.
+def alert_states(ticks: DataFrame, rules: dict[str, tuple[Column, int]], step_us: int = 10_000_000, delay: str = "0 seconds",
+                 lifetime_ms: int = 3_600_000) -> DataFrame:
+    """inactive / pending / firing per rule and service at each tick, in the order of the ticks.
 
-    `rules` maps a name to (condition on `hi` and `mid`, hold in steps). Ticks
-    come from the table `gauge_ticks` writes, one row per service and step, so a
-    key's state sees few rows however busy the service; it keeps the last tick
-    and the length of the streak.
+    `rules` maps a name to (condition on `hi` and `mid`, hold in steps). Ticks come from the
+    table `gauge_ticks` writes, one row per service and step of whole milliseconds. A tick waits
+    for the watermark, so ticks may arrive in any order within `delay`; what a key keeps goes
+    `lifetime_ms` after its last tick.
     """
-    entries = [F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("cond"), F.lit(hold).alias("hold"))
+    if lifetime_ms * 1000 <= step_us:
+        raise ValueError("the lifetime must be longer than a step")
+    entries = [F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("cond"), F.lit(hold).cast("long").alias("hold"))
                for n, (c, hold) in rules.items()]
-    rows = ticks.select("service", "eval_ts", F.inline(F.array(*entries)))
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, streak = state.get if state.exists else (-1, 0)
-        pdf = pd.concat(list(batches)).sort_values("eval_ts")
-        out = []
-        for tick, cond, hold in zip(pdf["eval_ts"], pdf["cond"], pdf["hold"]):
-            at = tick.value // 1000
-            streak = (streak + 1 if last >= 0 and at - last == step_us else 1) if cond else 0
-            last = at
-            out.append("inactive" if not cond else "firing" if streak > hold else "pending")
-        state.update((last, streak))
-        yield pd.DataFrame({"rule": key[0], "service": key[1], "eval_ts": pdf["eval_ts"].to_numpy(),
-                            "cond": pdf["cond"].to_numpy(), "state": out})
-
-    return rows.groupBy("rule", "service").applyInPandasWithState(
-        advance, ALERT_STATE, "last LONG, streak LONG", "append", GroupStateTimeout.NoTimeout)
-
-
-INTERVAL_STATE = "run_id STRING, service STRING, start_ts TIMESTAMP, end_ts TIMESTAMP"
+    rows = ticks.withWatermark("eval_ts", delay).select("service", "eval_ts", micros("eval_ts").alias("at"), F.inline(F.array(*entries)))
+    states = keyed_rows(rows, ["rule", "service"], AlertHold(step_us, lifetime_ms), "rule STRING, service STRING, at LONG, cond BOOLEAN, state STRING")
+    return states.select("rule", "service", from_micros("at").alias("eval_ts"), "cond", "state")
 
 
 def fault_intervals(events: DataFrame, start_message: str = "fault_start",
@@ -111,40 +94,32 @@ def fault_intervals(events: DataFrame, start_message: str = "fault_start",
     arrival order does not matter; only fault events are kept.
     """
     marks = (events.filter(F.col("message").isin(start_message, *end_messages)).withWatermark("ts", delay)
-             .select(*RUN_SERVICE, "ts", (F.col("message") == start_message).alias("is_start")))
-
-    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, open_starts = state.get if state.exists else ([], [])
-        waiting, open_starts = list(waiting), list(open_starts)
-        for b in batches:
-            waiting += [int(t.value // 1000) * 2 + int(s) for t, s in zip(b["ts"], b["is_start"])]
-        safe = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
-        done, rows = 0, []
-        for code in waiting:
-            at, is_start = code // 2, code % 2
-            if at > safe:
-                break
-            done += 1
-            if is_start:
-                open_starts.append(at)
-            else:
-                rows += [(s, at) for s in open_starts]
-                open_starts = []
-        waiting = waiting[done:]
-        if waiting or open_starts:
-            state.update((waiting, open_starts))
-        else:
-            state.remove()
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0] // 2 // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if not rows:
-            return
-        yield pd.DataFrame({"run_id": key[0], "service": key[1], "start_ts": pd.to_datetime([r[0] for r in rows], unit="us"),
-                            "end_ts": pd.to_datetime([r[1] for r in rows], unit="us")})
+             .select(*RUN_SERVICE, "ts", micros("ts").alias("at"), (F.col("message") == start_message).alias("is_start")))
+    pairs = keyed_rows(marks, RUN_SERVICE, FaultPairing(), "run_id STRING, service STRING, start LONG, end LONG")
+    return pairs.select(*RUN_SERVICE, from_micros("start").alias("start_ts"), from_micros("end").alias("end_ts"))
+
+
+def incident_changes(alerts: DataFrame, delay: str = "1 minute", lifetime_ms: int = 0) -> DataFrame:
+    """Whenever alerts reach an incident: all its services with mean score, first time,
+    when the incident began, and its number of alerts as the version.
+
+    Alerts carry incident_id, run_id, service, ts, score; later ones than the watermark are
+    dropped. With a lifetime an incident is forgotten that long after its last alert.
+    """
+    rows = (alerts.filter(F.col("incident_id").isNotNull() & F.col("service").isNotNull()).withWatermark("ts", delay)
+            .select("incident_id", "run_id", "service", "ts", micros("ts").alias("at"), F.col("score").cast("double").alias("score")))
+    changed = keyed_rows(rows, ["incident_id"], IncidentState(lifetime_ms),
+                         "incident_id STRING, run_id STRING, service STRING, magnitude DOUBLE, first LONG, began LONG, version LONG")
+    return changed.select("incident_id", "run_id", "service", "magnitude", from_micros("first").alias("first_seen"), from_micros("began").alias("began"), "version")
+
 
-    return marks.groupBy(*RUN_SERVICE).applyInPandasWithState(
-        pair, INTERVAL_STATE, "waiting ARRAY<LONG>, open_starts ARRAY<LONG>", "append", GroupStateTimeout.EventTimeTimeout)
+def keyed_rows(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    """Rows a stateful processor gives; its state lies in RocksDB, not in the executor's heap."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.groupBy(*keys).transformWithState(processor, schema, "append", "eventTime")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_append(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -156,20 +131,70 @@ def run_append(stream: DataFrame, name: str, path: str | None = None) -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Process what is there; the newest row of every key.
+def run_update(stream: DataFrame, name: str, keys: list[str], path: str | None = None, compact_every: int = 8) -> DataFrame:
+    """Process what is there; the newest row of every key, from a table of bounded size (`CurrentTable`)."""
+    path = path or scratch_path(stream.sparkSession, name)
+    table = CurrentTable(stream.sparkSession, f"{path}/out", keys, compact_every)
+    (stream.writeStream.outputMode("update").foreachBatch(table.upsert)
+     .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination())
+    return table.read()
 
-    Each batch writes the rows it changed to its own folder, so a repeated batch
-    replaces itself.
-    """
-    spark = stream.sparkSession
-    path = scratch_path(spark, name)
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+CAUSE_COLUMNS = ["place", "incident_id", "run_id", "began", "rank", "service", "score", "magnitude", "centrality", "earliness"]
 
-    (stream.writeStream.outputMode("update").foreachBatch(write)
-     .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination())
-    rows = spark.read.parquet(f"{path}/out")
-    others = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(*[F.max_by(c, "epoch").alias(c) for c in others])
+
+def rank_recent(pool: DataFrame, graph_scores: DataFrame, keep: int, top_k: int) -> DataFrame:
+    """Root-cause gauges of the newest `keep` incidents: the batch's scores and ranks, from one row per incident and service."""
+    newest = pool.select("incident_id", "began").distinct().orderBy(F.desc("began"), F.desc("incident_id")).limit(keep)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("began"), F.desc("incident_id"))  # over `keep` rows
+    placed = newest.withColumn("place", F.row_number().over(order)).drop("began")
+    scored = score_services(pool.join(F.broadcast(placed), "incident_id"), graph_scores)
+    best = Window.partitionBy("incident_id").orderBy(F.desc("score"), "service")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k).select(CAUSE_COLUMNS)
+
+
+class RecentCauses:
+    """Keeps the gauges of the newest incidents up to date, batch by batch, and tells which incidents have left.
+
+    The pool holds the newest `keep` incidents and those that an alert the watermark still
+    admits could bring back: an incident leaves for good once the watermark has passed its
+    beginning, as no other can begin before it any more. So the pool is bounded by `keep`
+    and the incidents that began within `delay_us` of the newest alert time seen.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, graph_scores: DataFrame, keep: int = 20, top_k: int = 3, delay_us: int = 60_000_000):
+        self.pool = CurrentTable(spark, f"{path}/pool", ["incident_id", "service"])
+        self.gauges = CurrentTable(spark, f"{path}/gauges", ["incident_id", "rank"])
+        self.path, self.graph_scores, self.keep, self.top_k, self.delay_us = path, graph_scores, keep, top_k, delay_us
+
+    def update(self, changes: DataFrame, epoch: int) -> None:
+        latest = changes.groupBy("incident_id").agg(F.max("version").alias("version"))
+        changes = changes.join(latest, ["incident_id", "version"], "left_semi").drop("version").persist()
+        held = self.pool.read()
+        pool = changes if held is None else held.join(changes.select("incident_id").distinct(), "incident_id", "left_anti").unionByName(changes)
+        began = pool.groupBy("incident_id").agg(F.first("began").alias("_began"), F.max("first_seen").alias("_seen"))
+        newest = began.agg(F.max("_seen")).first()[0]
+        if newest is None:
+            changes.unpersist()
+            return
+        top = began.orderBy(F.desc("_began"), F.desc("incident_id")).limit(self.keep).select("incident_id").withColumn("_top", F.lit(True))
+        open_ = F.col("_began") >= from_micros(micros(F.lit(newest)) - self.delay_us)
+        kept = began.join(F.broadcast(top), "incident_id", "left").filter(F.coalesce("_top", F.lit(False)) | open_).select("incident_id")
+        self.pool.replace(pool.join(kept, "incident_id"), epoch)
+        before = self.gauges.read()
+        now = rank_recent(self.pool.read(), self.graph_scores, self.keep, self.top_k)
+        if before is not None:
+            gone = before.select("incident_id").distinct().join(now.select("incident_id"), "incident_id", "left_anti")
+            gone.write.mode("overwrite").parquet(f"{self.path}/left/epoch={epoch}")
+        self.gauges.replace(now, epoch)
+        changes.unpersist()
+
+    def departures(self) -> DataFrame:
+        """incident_id, epoch: the batches in which incidents left the newest ones; they may have come back since."""
+        return self.pool.spark.read.schema("incident_id STRING, epoch INT").parquet(f"{self.path}/left")
+
+    def run(self, alerts: DataFrame, lifetime_ms: int = 0) -> DataFrame:
+        """Process what is there; the current gauges."""
+        (incident_changes(alerts, f"{self.delay_us} microseconds", lifetime_ms).writeStream.outputMode("append").foreachBatch(self.update)
+         .option("checkpointLocation", f"{self.path}/state").trigger(availableNow=True).start().awaitTermination())
+        return self.gauges.read()
