@@ -68,49 +68,64 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("weight"))
 
 
-SMALL_GRAPH = 100_000  # services; up to here the rank table (16 bytes a row) goes to every task
+SMALL_GRAPH = 200_000  # links; up to here (16 bytes a link and a name) one partition holds them, so steps need no exchange
+MASS = "\0dangling"  # the row that carries the rank of nodes without outgoing links
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100,
-             iterations: int | None = None, cut_every: int = 10) -> DataFrame:
-    """Weighted PageRank. `iterations` fixes the number of steps instead of testing for convergence.
-
-    Every node has a link of weight zero to itself, so one join and one sum
-    give the next ranks of all nodes and their change. Without dangling nodes
-    several steps go into one plan before it is written; with them each step
-    needs one number, the dangling mass, from the step before.
+             iterations: int | None = None, cut_every: int = 5) -> DataFrame:
+    """Weighted PageRank. `iterations` fixes the number of steps instead of testing for convergence every `cut_every`.
+
+    Every node has a link of weight zero to itself, so one join and one sum give the next
+    ranks of all nodes. The rank of nodes without outgoing links is shared by all. It is a
+    row of its own, one step behind: with p the ranks less that share and m the mass of the
+    step before, rank = p + alpha * m / n. What links pass on of that share, and what stays
+    with the dangling nodes, are links from the mass row. So a step is the same join with
+    or without dangling nodes, and `cut_every` steps go into one plan before it is written.
     """
     edges = merge_edges(edges)
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
     moves = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share"), F.lit(False).alias("own"))
-    ends = moves.select(F.inline(F.array(F.struct(F.col("src").alias("v"), F.lit(1).alias("o")),
-                                         F.struct(F.col("dst").alias("v"), F.lit(0).alias("o")))))
-    nodes = ends.groupBy("v").agg((F.max("o") == 0).alias("dangling"))
-    links = cut_lineage(moves.withColumn("dangling", F.lit(False)).unionByName(nodes.select(
-        F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"), "dangling")))
-    n, n_dangling = links.agg(F.count_if("own"), F.count_if(F.col("own") & F.col("dangling"))).first()
+    ends = moves.select(F.inline(F.array(F.struct(F.col("src").alias("v"), F.lit(1).alias("o"), F.lit(0.0).alias("share")),
+                                         F.struct(F.col("dst").alias("v"), F.lit(0).alias("o"), F.col("share").alias("share")))))
+    nodes = cut_lineage(ends.groupBy("v").agg((F.max("o") == 0).alias("dangling"), F.sum("share").alias("gets")))
+    n, n_dangling = nodes.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
     if not n:
-        return links.select(F.col("src").alias("service"), F.lit(0.0).alias("rank"))
-    ranks = links.filter("own").select(F.col("src").alias("service"), "dangling", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("_err"))
-    stride = 1 if n_dangling else cut_every
-    limit = iterations if iterations is not None else max_iter
-    done, mass = 0, n_dangling / n
+        return nodes.select(F.col("v").alias("service"), F.lit(0.0).alias("rank"))
+    own = nodes.select("v")
+    if n_dangling:
+        mass, part = F.lit(MASS), alpha / n
+        moves = moves.unionByName(nodes.filter("dangling").select(F.col("v").alias("src"), mass.alias("dst"), F.lit(1.0).alias("share"), F.lit(False).alias("own")))
+        moves = moves.unionByName(nodes.filter("gets > 0").select(mass.alias("src"), F.col("v").alias("dst"), (F.col("gets") * part).alias("share"), F.lit(False).alias("own")))
+        moves = moves.unionByName(edges.sparkSession.createDataFrame([(MASS, MASS, n_dangling * part, False)], moves.schema))
+        own = own.unionByName(edges.sparkSession.createDataFrame([(MASS,)], own.schema))
+    links = cut_lineage(moves.unionByName(own.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"))))
+    small = links.count() <= SMALL_GRAPH
+    links = links.coalesce(1) if small else links
+    is_mass = F.col("service") == MASS
+    ranks = links.filter("own").select(F.col("src").alias("service")).withColumns({"value": F.when(is_mass, 0.0).otherwise(1.0 / n), "before": F.lit(0.0)})
+    limit, done = iterations if iterations is not None else max_iter, 0
     while done < limit:
-        for _ in range(min(stride, limit - done)):
-            now = ranks.select(F.col("service").alias("src"), "rank")
-            now = F.broadcast(now) if n <= SMALL_GRAPH else now
-            own = F.max(F.when(F.col("own"), F.col("rank")))
-            new = F.lit(alpha) * (F.sum(F.col("rank") * F.col("share")) + F.lit(mass / n)) + F.lit((1 - alpha) / n)
-            ranks = (links.join(now, "src").groupBy(F.col("dst").alias("service"))
-                     .agg(F.bool_or("dangling").alias("dangling"), new.alias("rank"), F.abs(new - own).alias("_err")))
-            done += 1
+        steps = min(cut_every, limit - done)
+        for _ in range(steps):
+            now = ranks.select(F.col("service").alias("src"), "value").hint("shuffle_hash")
+            ranks = links.join(now, "src").groupBy(F.col("dst").alias("service")).agg(
+                F.sum(F.col("value") * F.col("share")).alias("_in"), F.max(F.when(F.col("own"), F.col("value"))).alias("before"))
+            ranks = ranks.select("service", F.when(is_mass, F.col("_in")).otherwise(alpha * F.col("_in") + (1 - alpha) / n).alias("value"), "before")
         ranks = cut_lineage(ranks)
-        if iterations is not None and not n_dangling:
-            continue
-        err, mass = ranks.agg(F.sum("_err"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
-        if iterations is None and err < n * tol:
+        ranks = ranks.coalesce(1) if small else ranks
+        done += steps
+        if iterations is None and _change(ranks, alpha / n) < n * tol:
             break
-    return ranks.select("service", "rank")
+    shared = ranks.filter(is_mass).agg(F.coalesce(F.sum("value"), F.lit(0.0))).scalar() if n_dangling else F.lit(0.0)
+    return ranks.filter(~is_mass).select("service", (F.col("value") + shared * (alpha / n)).alias("rank"))
+
+
+def _change(ranks: DataFrame, part: float) -> float:
+    """Sum of the changes of all ranks in the last step."""
+    mass = ranks.filter(F.col("service") == MASS).select("value", "before").first()
+    shift = (mass["value"] - mass["before"]) * part if mass else 0.0
+    return ranks.filter(F.col("service") != MASS).agg(F.sum(F.abs(F.col("value") - F.col("before") + shift))).first()[0]
 
 
 def max_normalize(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
