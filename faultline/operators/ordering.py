@@ -8,8 +8,9 @@ aggregate to distinct keys first, so no key can fill a range by itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.session import cut_lineage, sized_side
 
@@ -51,28 +52,116 @@ def positions(df: DataFrame, order: list[str | Column], name: str = "pos") -> Da
     return prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), order, {name: "_one"}).drop("_one")
 
 
+BINS = 1 << 14  # of one refinement of one cut
+FETCHED_KEYS = 10_000  # distinct keys per cut that the driver may sort through
+WHOLE_TYPES = (T.TimestampType, T.TimestampNTZType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DateType)
+
+
+def _whole(df: DataFrame, column: str) -> Column | None:
+    """The column as whole numbers in its own order; None if it has no such form."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', `{column}`)")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("long")
+    return F.col(column).cast("long") if isinstance(kind, WHOLE_TYPES) else None
+
+
+def keys_at(df: DataFrame, order: list[str], places: list[int]) -> list[Row | None]:
+    """The keys of the rows at these zero-based places of the order (nulls first); None beyond the end.
+
+    Whole-numbered leading columns are narrowed by histograms, all places together: one
+    scan finds the range of values, each further one the bin of `BINS` that a place falls
+    into, and the next column takes over where a single value still holds many rows. Once few
+    rows are left around each place their distinct keys are counted and walked through in
+    order; if too many share all leading values, they alone are ordered by ranges.
+    """
+    found: list[Row | None] = [None] * len(places)
+    at = {i: p for i, p in enumerate(places)}  # place among the rows that the conditions leave
+    inside = {i: F.lit(True) for i in at}
+    wholes = []
+    for c in order:
+        value = _whole(df, c)
+        if value is None:
+            break
+        wholes.append(value)
+    keys = df.select(*order, *[w.alias(f"_w{k}") for k, w in enumerate(wholes)])
+    left: dict[int, int] = {}
+    if not wholes:
+        left = dict.fromkeys(at, keys.count())
+        at = {i: p for i, p in at.items() if p < left[i]}
+    for k in range(len(wholes)):
+        col = F.col(f"_w{k}")
+        ends = keys.agg(*[x for i in at for x in (F.count_if(inside[i]), F.count_if(inside[i] & col.isNull()), F.min(F.when(inside[i], col)), F.max(F.when(inside[i], col)))]).first()
+        span = {}
+        for n, i in enumerate(list(at)):
+            total, nulls, low, high = ends[4 * n:4 * n + 4]
+            left[i] = total
+            if at[i] >= total:
+                del at[i]
+            elif at[i] < nulls:
+                inside[i], left[i] = inside[i] & col.isNull(), nulls
+            else:
+                at[i] -= nulls
+                inside[i], span[i] = inside[i] & col.isNotNull(), (low, high)
+                left[i] = total - nulls
+        while span and any(left[i] > FETCHED_KEYS and span[i][0] < span[i][1] for i in span):
+            width = {i: -(-(high - low + 1) // BINS) for i, (low, high) in span.items()}
+            bins = F.array(*[F.when(inside[i] & col.between(*span[i]), F.struct(F.lit(i).alias("i"), F.expr(f"(_w{k} - {span[i][0]}) div {width[i]}").alias("bin"))) for i in span])
+            counts = keys.select(F.inline(F.filter(bins, lambda b: b.isNotNull()))).groupBy("i", "bin").agg(F.count("*").alias("n")).orderBy("i", "bin").collect()
+            done = set()
+            for i, bin_, n in counts:
+                if i in done:
+                    continue
+                if at[i] < n:
+                    low = span[i][0] + bin_ * width[i]
+                    span[i], left[i] = (low, min(span[i][1], low + width[i] - 1)), n
+                    done.add(i)
+                else:
+                    at[i] -= n
+        for i, (low, high) in span.items():
+            inside[i] = inside[i] & col.between(low, high)
+        if not any(left[i] > FETCHED_KEYS for i in at):
+            break
+        # a cut whose value is not settled here has few rows left and is not narrowed further
+    if not at:
+        return found
+    few = F.array(*[F.when(inside[i], F.lit(i)) for i in at])
+    rows = keys.withColumn("_i", F.explode(F.filter(few, lambda x: x.isNotNull()))).groupBy("_i", *order).agg(F.count("*").alias("_n"))
+    if max(left[i] for i in at) <= FETCHED_KEYS:
+        before: dict[int, int] = {}
+        for row in rows.orderBy("_i", *order).collect():
+            i = row["_i"]
+            start = before.get(i, 0)
+            before[i] = start + row["_n"]
+            if start <= at[i] < before[i]:
+                found[i] = row
+        return found
+    placed = prefix_sums(rows, ["_i", *order], {"_before": "_n"})
+    for i in at:
+        first = placed.filter(F.col("_i") == i).agg(F.min("_before")).scalar()
+        found[i] = placed.filter((F.col("_i") == i) & (F.col("_before") - first <= at[i]) & (F.col("_before") - first + F.col("_n") > at[i])).first()
+    return found
+
+
 def temporal_split(df: DataFrame, order: list[str], fractions: list[float], name: str = "split_no") -> DataFrame:
     """Number the consecutive parts of the time order: part i ends after int(n * fraction_i) more rows.
 
-    Only the row counts of distinct keys are ordered; the cut keys (one per
-    fraction) come back to the driver and the rows are then told apart by a
-    plain comparison, so the wide table itself is never shuffled.
+    Only the cut keys (one per fraction) are looked for, by small aggregates; the rows are
+    then told apart by a plain comparison, so the wide table is neither sorted nor shuffled.
     """
-    counts = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
-    placed = prefix_sums(counts, order, {"_before": "_n"})
-    total = placed.agg(F.sum("_n")).first()[0] or 0
+    total = df.count()
     cuts, at = [], 0
     for f in fractions:
         at += int(total * f)
         cuts.append(at)
     key = F.struct(*order)
     part = F.lit(0)
-    for cut in cuts:
-        row = (placed.filter((F.col("_before") <= cut) & (F.col("_before") + F.col("_n") > cut))
-               .select(key.alias("k")).first())
+    for row in keys_at(df, order, cuts):
         if row is not None:
-            part = part + (key >= F.struct(*[F.lit(row["k"][c]).cast(df.schema[c].dataType).alias(c)
-                                             for c in order])).cast("int")
+            part = part + (key >= F.struct(*[F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in order])).cast("int")
     return df.withColumn(name, part)
 
 
