@@ -9,8 +9,9 @@ from faultline.catalog.joins import MTTD_SQL, SPAN_EDGES_SQL, mttd
 from faultline.catalog.registry import query
 from faultline.catalog.views import BOUNDS, HOUR
 from faultline.operators import aggregates as A
-from faultline.operators import alerts, evaluation, graph, ordering, range_vectors, rolling, text
+from faultline.operators import alerts, evaluation, graph, ordering, range_vectors, rolling, sketches, text
 from faultline.schemas import METRIC_NAMES
+from faultline.session import cut_lineage
 
 SUMMARY = ["run_id", "service", "metric"]
 SUMMARY_SQL = "SELECT run_id, service, metric, count(value) AS count, avg(value) AS mean, min(value) AS min, max(value) AS max FROM v_metrics GROUP BY ALL"
@@ -138,6 +139,16 @@ def percentile_linear(t):
     return mean.join(ordering.exact_quantiles(t.events, ["service"], "value", {"p50": 0.5, "p95": 0.95}), "service")
 
 
+@query("percentile_sketch", "SELECT service, count(value) AS n, true AS p50, true AS p95, true AS p99 FROM v_events GROUP BY ALL")
+def percentile_sketch(t):
+    """Daily sketches merged to one per service; whether each quantile's rank is within twice the stated error."""
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    daily = cut_lineage(sketches.quantile_sketches(t.events, ["service"], "value", "ts"))
+    found = sketches.sketch_quantiles(sketches.merge_sketches(daily, ["service"]), points)
+    gaps = sketches.rank_gaps(t.events, found, ["service"], "value", points)
+    return gaps.select("service", "n", *[(F.col(p) <= 2 * sketches.rank_error()).alias(p) for p in points])
+
+
 @query("sum_by", """
 SELECT ts AS eval_ts, metric, round(sum(value), 6) AS value FROM v_metrics GROUP BY ALL""")
 def sum_by(t):

@@ -246,14 +246,29 @@ def score_prob(t):
     """Labels and scores of every window; the decision value and the plain prediction order rows as the probability does."""
     rows = _training(t)
     model = fit_incident_model(rows.filter("split_no = 0"), MODEL_COLUMNS)
+    scored = cut_lineage(model.scores(rows).select(*KEYS, "y_future", "probability", "decision", "prediction"))
     p = F.col("probability")
-    out = model.transform(rows).withColumn("_plain", p).drop("probability", "flag")
-    out = model.transform(out, "prediction").withColumn("_hard", p).drop("probability", "flag")
-    out = model.transform(out, "decision").withColumn("_soft", p).drop("probability", "flag")
-    agrees = (F.col("_hard") == (F.col("_plain") > 0.5).cast("double")) & F.col("_soft").between(0, 1)
-    flag = model.transform(out).select(*KEYS, "y_future", F.col("_plain").between(0, 1).alias("is_probability"),
-                                       (F.col("flag") == (F.col("_plain") >= model.threshold).cast("int")).alias("flag_follows"), agrees.alias("decision_agrees"))
-    return flag
+    agrees = (F.col("prediction") == (p > 0.5).cast("double")) & F.col("_soft").between(0, 1)
+    return evaluation.minmax_normalize(scored, "decision", "_soft").select(
+        *KEYS, "y_future", p.between(0, 1).alias("is_probability"), ((p >= model.threshold) == (F.col("decision") >= math.log(model.threshold / (1 - model.threshold)))).alias("flag_follows"),
+        agrees.alias("decision_agrees"))
+
+
+_ALERT_TIMES = "SELECT DISTINCT run_id, service, window_end AS ts, true AS as_scored FROM v_metric_features"
+
+
+@query("predicted_alerts", _ALERT_TIMES)
+def predicted_alerts(t):
+    """Alerts from the fitted model's probabilities: at each time, raised if and only if a window's score reaches the threshold, with the highest."""
+    rows = _training(t)
+    model = fit_incident_model(rows.filter("split_no = 0"), MODEL_COLUMNS)
+    scored = cut_lineage(predict.with_probabilities(rows, model).select(*KEYS, "pred_prob"))
+    rules = alerts.AlertRules(use_metric=False, use_log=False, use_prediction=True)
+    raised = alerts.build_alerts(scored, rules, ordered=False).select("run_id", "service", "ts", "score", F.lit(True).alias("_raised"))
+    best = scored.groupBy("run_id", "service", F.col("window_end").alias("ts")).agg(F.max("pred_prob").alias("best"))
+    both = best.join(raised, ["run_id", "service", "ts"], "full")
+    right = F.when(F.col("best") >= rules.prob_thr, F.col("score") == F.col("best")).otherwise(F.col("_raised").isNull())
+    return both.select("run_id", "service", "ts", F.coalesce(right, F.lit(False)).alias("as_scored"))
 
 
 @query("persist_model", f"SELECT {_WINDOWS.replace(' FROM', ', 0.0::DOUBLE AS probability_change, 0.0::DOUBLE AS forest_change, 0.0::DOUBLE AS detector_change FROM')}")
@@ -263,7 +278,7 @@ def persist_model(t):
     path = scratch_path(t.spark, "models")
     predictor = fit_incident_model(rows.filter("split_no = 0"), MODEL_COLUMNS)
     trees = _forest(t, rows)
-    scaler, inner = detect.fit_detector(rows, MODEL_COLUMNS, KEYS, trees=50)
+    scaler, inner = detect.fit_detector(rows, MODEL_COLUMNS, KEYS, trees=TREES)
     detector = detect.Detector(scaler, inner, 0, 0, 0.05)
     predictor.save(t.spark, f"{path}/predictor")
     trees.save(t.spark, f"{path}/forest")

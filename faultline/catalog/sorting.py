@@ -88,6 +88,13 @@ def rca_topk(t):
     return graph.rank_causes(daily_incidents(t), flat_centrality(t), top_k=2)
 
 
+@query("rca_one_incident", "WITH " + RANKED_SQL.format(incidents=f"(SELECT * FROM {INCIDENTS_SQL} WHERE incident_id = (SELECT max(incident_id) FROM {INCIDENTS_SQL}))", graph=CENTRALITY_SQL, k=3))
+def rca_one_incident(t):
+    """The causes of the last incident by name."""
+    incidents = daily_incidents(t)
+    return graph.rank_causes(graph.one_incident(incidents, incidents.agg(F.max("incident_id")).first()[0]), flat_centrality(t), 3)
+
+
 @query("write_rca_json", "WITH " + RANKED_SQL.format(incidents=INCIDENTS_SQL, graph=CENTRALITY_SQL, k=3).replace(
     "SELECT incident_id, run_id, CAST(row_number()", f"SELECT incident_id, run_id, (SELECT count(*) FROM {INCIDENTS_SQL} i WHERE i.incident_id = f.incident_id) AS n_alerts, CAST(row_number()"))
 def write_rca_json(t):

@@ -189,6 +189,14 @@ def rank_causes(incidents: DataFrame, graph_scores: DataFrame, top_k: int = 3, w
             .select("incident_id", "run_id", "rank", "service", "score", "magnitude", "centrality", "earliness"))
 
 
+def one_incident(incidents: DataFrame, incident_id: object) -> DataFrame:
+    """The alerts of one incident; ids are compared as texts, and an unknown one is an error."""
+    found = incidents.filter(F.col("incident_id").cast("string") == str(incident_id))
+    if found.isEmpty():
+        raise ValueError(f"no incident {incident_id}")
+    return found
+
+
 def incident_summary(incidents: DataFrame) -> DataFrame:
     return incidents.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n_alerts"), F.min("run_id").alias("run_id"))
 

@@ -50,21 +50,24 @@ class IncidentModel:
     regression: LogisticRegressionModel
     threshold: float = 0.45
 
-    def transform(self, df: DataFrame, method: str = "probability") -> DataFrame:
-        """Adds `probability` and `flag`. Scores that are no probabilities are spread to 0..1 or taken as they are."""
+    def scores(self, df: DataFrame) -> DataFrame:
+        """Adds `probability`, `decision` (log odds) and `prediction` (0 or 1), all from one pass of the model."""
         names = {c: f"_x_{i}" for i, c in enumerate(self.scaler.columns)}
         texts = self.scaler.expressions()
         rows = df.selectExpr("*", *[f"{texts[c]} AS {v}" for c, v in names.items()])
         rows = VectorAssembler(inputCols=list(names.values()), outputCol="_features").transform(rows)
-        out = self.regression.transform(rows)
-        if method == "probability":
-            out = out.withColumn("_p", vector_to_array("_prob")[1])
-        elif method == "decision":
-            out = minmax_normalize(out.withColumn("_d", vector_to_array("_raw")[1]), "_d", "_p").drop("_d")
-        else:
-            out = out.withColumn("_p", F.col("_pred"))
-        return (out.withColumns({"probability": F.col("_p"), "flag": (F.col("_p") >= self.threshold).cast("int")})
-                .drop("_features", "_raw", "_prob", "_pred", "_p", *names.values()))
+        out = self.regression.transform(rows).withColumns(
+            {"probability": vector_to_array("_prob")[1], "decision": vector_to_array("_raw")[1], "prediction": F.col("_pred")})
+        return out.drop("_features", "_raw", "_prob", "_pred", *names.values())
+
+    def transform(self, df: DataFrame, method: str = "probability") -> DataFrame:
+        """Adds `probability` and `flag`. Scores that are no probabilities are spread to 0..1 or taken as they are."""
+        out = self.scores(df)
+        if method == "decision":
+            out = minmax_normalize(out.drop("probability"), "decision", "probability")
+        elif method == "prediction":
+            out = out.withColumn("probability", F.col("prediction"))
+        return out.drop("decision", "prediction").withColumn("flag", (F.col("probability") >= self.threshold).cast("int"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.scaler.save(spark, f"{path}/scaler")

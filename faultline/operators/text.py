@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +28,55 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = 50) -> DataFrame
     return packed.select(F.posexplode("terms").alias("idx", "term"))
 
 
+CANDIDATES = 128  # terms counted exactly for each 50 of the vocabulary
+TRACKED = 10_000  # terms a task's summary keeps
+
+
+def heavy_terms(docs: DataFrame, text: str = "text", size: int = 50, tracked: int = TRACKED) -> tuple[list[str], float]:
+    """Likely most frequent terms, and a count that no other term exceeds.
+
+    Every task keeps a frequent-items summary of `tracked` terms and the summaries are
+    merged, so what is exchanged does not grow with the distinct terms. A summary's
+    estimate is never below the true count and at most 3.5 / slots of all tokens above it;
+    terms it does not report count no more than twice that, or than the last reported one.
+    """
+    kept = max(size, size * CANDIDATES // 50)
+    slots = 1 << ceil(log2(tracked / 0.75))
+    n, items = docs.select(F.explode(tokens(F.col(text))).alias("term")).agg(F.count("*"), F.expr(f"approx_top_k(term, {kept}, {tracked})")).first()
+    error = 3.5 * n / slots
+    return [i["item"] for i in items or []], max(2 * error, items[-1]["count"] if items and len(items) == kept else 0)
+
+
+def term_counts(docs: DataFrame, keys: list[str], terms: DataFrame, text: str) -> DataFrame:
+    """tf of the given terms (broadcast) in each document, written once; other tokens are dropped before the shuffle."""
+    found = docs.select(*keys, F.explode(tokens(F.col(text))).alias("term")).join(F.broadcast(terms), "term")
+    return cut_lineage(found.groupBy(*keys, *terms.columns).agg(F.count(F.lit(1)).alias("tf")))
+
+
+def vocabulary_counts(docs: DataFrame, keys: list[str], text: str = "text", size: int = 50, tracked: int = TRACKED) -> DataFrame:
+    """(keys, idx, term, tf) for the `size` most frequent terms, ties alphabetical, numbered alphabetically.
+
+    Candidates come from merged summaries and are counted exactly. If their `size`-th count
+    is above what any other term can have, they are the vocabulary; if not (ties at the
+    border, or nearly even frequencies), all terms are counted.
+    """
+    spark = docs.sparkSession
+    names, others = heavy_terms(docs, text, size, tracked)
+    counts = term_counts(docs, keys, spark.createDataFrame([(n,) for n in names], "term STRING"), text)
+    totals = counts.groupBy("term").agg(F.sum("tf").alias("total")).collect()  # at most the candidates
+    top = sorted(totals, key=lambda r: (-r["total"], r["term"]))[:size]
+    if (top[-1]["total"] > others) if len(top) == size else others < 1:
+        numbered = [(i, term) for i, term in enumerate(sorted(r["term"] for r in top))]
+        return counts.join(F.broadcast(spark.createDataFrame(numbered, "idx INT, term STRING")), "term").select(*keys, "idx", "term", "tf")
+    return term_counts(docs, keys, vocabulary(docs, text, size), text)
+
+
 def tfidf(docs: DataFrame, keys: list[str], text: str = "text", size: int = 50) -> DataFrame:
     """Long form (keys, idx, term, weight): tf * (ln((1+N)/(1+df)) + 1), rows scaled to length 1.
 
-    Tokens outside the vocabulary are dropped before the shuffle, so only
-    (document, kept term) counts move; they are written once, so the texts are
-    read twice: for the vocabulary and for the counts.
+    The texts are read twice: for the candidates of the vocabulary and for the counts.
     """
-    vocab = F.broadcast(vocabulary(docs, text, size))  # at most `size` rows
-    counts = cut_lineage(docs.select(*keys, F.explode(tokens(F.col(text))).alias("term")).join(vocab, "term")
-                         .groupBy(*keys, "idx", "term").agg(F.count(F.lit(1)).alias("tf")))
+    counts = vocabulary_counts(docs, keys, text, size)
     spread = F.broadcast(counts.groupBy("idx").agg(F.count(F.lit(1)).alias("df")))  # at most `size` rows
     total = docs.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()
     raw = (counts.join(spread, "idx")

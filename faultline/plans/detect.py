@@ -84,7 +84,7 @@ def evaluate_detector(features: DataFrame, labels: DataFrame, baseline_col: str
     """
     columns = S.numeric_features(features)
     labelled = S.clean_features(intervals.label_windows(features, labels, bin_us), columns)
-    rows = cut_lineage(ordering.temporal_split(cut_lineage(labelled), SPLIT_ORDER, [0.6, 0.2]))
+    rows = ordering.temporal_split(cut_lineage(labelled), SPLIT_ORDER, [0.6, 0.2])
     test = rows.filter("split_no = 2")
 
     parts = []

@@ -17,7 +17,13 @@ def labelled_rows(features: DataFrame, labels: DataFrame, horizon_us: int = 5 *
     """Clean features with y_future and split_no (0 = the first 70 percent of time)."""
     columns = S.numeric_features(features)
     rows = S.clean_features(intervals.label_future(features, labels, horizon_us, bin_us), columns)
-    return cut_lineage(ordering.temporal_split(cut_lineage(rows), SPLIT_ORDER, [0.7]))
+    return ordering.temporal_split(cut_lineage(rows), SPLIT_ORDER, [0.7])
+
+
+def with_probabilities(features: DataFrame, model: IncidentModel, name: str = "pred_prob") -> DataFrame:
+    """Feature rows with the model's probability, as the prediction rule of the alerts reads it."""
+    columns = [c for c in model.scaler.columns if c in features.columns]
+    return model.scores(S.clean_features(features, columns)).withColumnRenamed("probability", name).drop("decision", "prediction")
 
 
 def train_predictor(features: DataFrame, labels: DataFrame, horizon_us: int = 5 * MINUTE, bin_us: int = 15 * MINUTE,

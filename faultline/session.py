@@ -72,3 +72,24 @@ def sized_side(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class FileSystem:
+    """The few questions about folders that a table's rows do not answer, for any store Spark can write to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._files.exists(self._path(path))
+
+    def names(self, path: str) -> list[str]:
+        return [s.getPath().getName() for s in self._files.listStatus(self._path(path))]
+
+    def remove(self, path: str) -> None:
+        self._files.delete(self._path(path), True)
+
+
+def file_system(spark: SparkSession, path: str) -> FileSystem:
+    return FileSystem(spark, path)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from faultline.functions import scalars as S
 from faultline.operators.graph import merge_edges
 from faultline.schemas import GRAPH, LABELS, LOG_ARRAY, REQUIRED, require_columns
+from faultline.session import file_system
+from faultline.sources.sinks import GRAPH_MANIFEST
 
 
 def read_table(spark: SparkSession, path_no_ext: str, csv_schema: str | None = None) -> DataFrame:
@@ -41,25 +43,37 @@ def read_logs_jsonl(spark: SparkSession, path: str, run_id: str | None = None) -
 
 
 def read_fault_labels(spark: SparkSession, path: str) -> DataFrame:
-    """CSV labels with UTC times. `label_seq` orders rows by file, split and place in the split.
+    """CSV labels with UTC times. `label_seq` orders rows as they were appended.
 
-    It is a struct that compares in file order: files by modification time and path, as they were
-    appended, whatever sizes they have and however Spark packs them into tasks.
+    It is a struct that compares in that order: by the batch number `append_labels` gave,
+    then file name and place in the file. Files of other writers have no number and come
+    first, by modification time and path.
     """
-    df = require_columns(spark.read.csv(path, header=True, schema=LABELS, enforceSchema=False), REQUIRED["labels"])
+    rows = spark.read.csv(path, header=True, schema=LABELS, enforceSchema=False, recursiveFileLookup=True)
+    df = require_columns(rows, REQUIRED["labels"])
     meta = F.col("_metadata")
-    place = F.struct(meta["file_modification_time"].alias("changed"), meta["file_path"].alias("file"), meta["file_block_start"].alias("block"),
-                     F.monotonically_increasing_id().alias("row"))
+    batch = F.regexp_extract(meta["file_path"], r"/batch=(\d+)/[^/]*$", 1).try_cast("long")
+    place = F.struct(batch.alias("batch"), F.when(batch.isNull(), meta["file_modification_time"]).alias("changed"), meta["file_path"].alias("file"),
+                     meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
     return df.select("run_id", "service", "fault_type", S.parse_ts_utc("start_ts").alias("start_ts"),
                      S.parse_ts_utc("end_ts").alias("end_ts"), place.alias("label_seq"))
 
 
-def read_graph_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_graph_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Edge documents; repeated edges add up and a missing weight is 1.
 
-    `multi_line=False` reads one document per line, which splits over tasks.
+    A folder that `write_graph_json` finished (it has a manifest) holds a document per line,
+    which splits over tasks, and must be complete. Of other files each is one document, unless
+    `multi_line=False`.
     """
-    docs = spark.read.schema(GRAPH).json(path, multiLine=multi_line)
+    manifest = f"{path}/{GRAPH_MANIFEST}"
+    finished = multi_line is None and file_system(spark, path).exists(f"{manifest}/_SUCCESS")
+    docs = spark.read.schema(GRAPH).json(path, multiLine=not finished if multi_line is None else multi_line)
+    if finished:
+        told = spark.read.schema("documents LONG, edges LONG").json(manifest).first()
+        there = docs.agg(F.count("*"), F.coalesce(F.sum(F.size("edges")), F.lit(0))).first()
+        if tuple(told) != tuple(there):
+            raise ValueError(f"{path}: {there[0]} documents with {there[1]} edges, but {told[0]} with {told[1]} were written")
     return merge_edges(docs.select(F.inline("edges")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.session import file_system
+
 
 class CurrentTable:
     """Newest row of every key: a base with all keys, and the changes of the batches since.
@@ -19,19 +21,12 @@ class CurrentTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], compact_every: int = 8):
         self.spark, self.path, self.keys, self.compact_every = spark, path.rstrip("/"), keys, compact_every
 
-    def _jpath(self, name: str = ""):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _files(self):
-        return self._jpath().getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def _written(self) -> tuple[list[int], list[int]]:
         """Numbers of the finished bases and of the finished changes, ascending."""
-        files = self._files()
-        if not files.exists(self._jpath()):
+        files = file_system(self.spark, self.path)
+        if not files.exists(self.path):
             return [], []
-        names = [s.getPath().getName() for s in files.listStatus(self._jpath())]
-        done = [n for n in names if files.exists(self._jpath(f"{n}/_SUCCESS"))]
+        done = [n for n in files.names(self.path) if files.exists(f"{self.path}/{n}/_SUCCESS")]
         return tuple(sorted(int(n.split("-")[1]) for n in done if n.startswith(kind)) for kind in ("base-", "change-"))
 
     def upsert(self, changes: DataFrame, epoch: int) -> None:
@@ -47,9 +42,9 @@ class CurrentTable:
         bases, changes = self._written()
         if len(bases) > 1:
             before = bases[-2]
-            files = self._files()
+            files = file_system(self.spark, self.path)
             for name in [f"base-{n}" for n in bases if n < before] + [f"change-{n}" for n in changes if n <= before]:
-                files.delete(self._jpath(name), True)
+                files.remove(f"{self.path}/{name}")
 
     def read(self) -> DataFrame | None:
         """The newest row of every key; None before the first batch."""

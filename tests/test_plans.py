@@ -19,7 +19,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(ORACLES) - STREAMS - {"end_to_end_root_causes", "dbscan_incidents", "rca_rank", "pagerank"} - FORESTS))
+@pytest.mark.parametrize("key", sorted(set(ORACLES) - STREAMS - FORESTS))
 def test_no_python_no_global_window_no_pair_loops(spark, key):
     text = plan(QUERIES[key](spark, FOLDER))
     assert "Python" not in text and "Pandas" not in text
