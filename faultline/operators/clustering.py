@@ -171,7 +171,7 @@ def halo_parts(vectors: DataFrame, group: list[str], dims: int, eps: float, bloc
         upper = F.when(at >= F.col("cut") - halo, F.struct((F.col("leaf") * 2 + 1).alias("leaf"), (F.col("home") & (at > F.col("cut"))).alias("home"), F.col("n").alias("before")))
         same = F.struct("leaf", "home", F.lit(0).cast("long").alias("before"))
         halves = F.when(F.col("cut").isNull(), F.array(same)).otherwise(F.filter(F.array(lower, upper), lambda h: h.isNotNull()))
-        rows = cut_lineage(rows.join(cut, part, "left").select(*vectors.columns, *[c for c in group if c not in vectors.columns], F.inline(halves)))
+        rows = cut_lineage(rows.join(cut, part, "left").select(*vectors.columns, F.inline(halves)))
         cuts += 1
     rows = rows.drop("before")
     if largest <= block:
