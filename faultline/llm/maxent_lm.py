@@ -26,6 +26,7 @@ END = np.uint64(0x0E5D0F7E47000001)  # hash of the end token; no word's in pract
 TAIL = 16  # classes of the words outside the model's vocabulary
 FLUSH = 1 << 20  # distinct tokens a task holds before it passes their counts on
 KNOWN = 1 << 18  # most frequent tokens whose counts are sent to the tasks; the others are joined
+TASK_TOKENS = 5_000_000  # training tokens of a task in one round
 BATCH = 2048
 BLOCK = 256  # weight rows averaged together
 
@@ -185,6 +186,11 @@ def sizes(distinct: int) -> tuple[int, int]:
     return int(np.clip(64 + 8 * (bits - 18), 64, 128)), 1 << int(np.clip(bits // 2 + 6, 14, 16))
 
 
+def round_tasks(tokens: int, shares: int) -> int:
+    """Tasks of one round: they follow from the training tokens, not from the cores, so no task and no model update grows with the corpus."""
+    return max(1, -(-tokens // (shares * TASK_TOKENS)))
+
+
 def start_model(counts: DataFrame, classes: int, width: int, rows: int) -> Model:
     """The untrained model: classes and words by count alone. Ties in count go by hash."""
     top = counts.orderBy(F.desc("n"), "token").limit(classes * width).toPandas()
@@ -203,8 +209,8 @@ def start_model(counts: DataFrame, classes: int, width: int, rows: int) -> Model
                  np.zeros((rows, classes + TAIL), np.float32), np.zeros((rows, width), np.float32)), tails
 
 
-def train(docs: DataFrame, text: str, share: Column, shares: int, model: Model, rounds: int, rate: float) -> Model:
-    """Rounds of gradient updates; round r takes the rows whose `share` is r modulo `shares`, in as many tasks as there are cores."""
+def train(docs: DataFrame, text: str, share: Column, shares: int, model: Model, rounds: int, rate: float, tasks: int) -> Model:
+    """Rounds of gradient updates; round r takes the rows whose `share` is r modulo `shares`, in `tasks` tasks that each send their changes."""
     sc = docs.sparkSession.sparkContext
     schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("change", T.BinaryType()), T.StructField("n", T.LongType())])
     for number in range(rounds):
@@ -235,7 +241,7 @@ def train(docs: DataFrame, text: str, share: Column, shares: int, model: Model,
             return pa.table({"block": group.column("block")[:1], "change": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary()),
                              "n": pa.array([int(n.sum())], pa.int64())})
 
-        changes = docs.filter(share == number % shares).select(text).coalesce(sc.defaultParallelism).mapInArrow(run, schema).groupBy("block").applyInArrow(average, schema)
+        changes = docs.filter(share == number % shares).select(text).coalesce(tasks).mapInArrow(run, schema).groupBy("block").applyInArrow(average, schema)
         a, b = model.a, model.b  # the tasks have their copy
         for block, change, _ in changes.toLocalIterator():
             weights, i = (a, block * BLOCK) if block < len(a) // BLOCK + 1 else (b, (block - len(a) // BLOCK - 1) * BLOCK)
@@ -273,7 +279,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     sized = sizes(distinct)
     model, tails = start_model(counts, classes, width or sized[0], rows or sized[1])
     share = F.pmod(F.xxhash64(key, text, F.lit("share")), F.lit(shares))
-    model = train(training, text, share, shares, model, rounds, rate)
+    model = train(training, text, share, shares, model, rounds, rate, round_tasks(total, shares))
     top = frequent(counts, known)
     sent = spark.sparkContext.broadcast((model.state(), top["token"].to_numpy().astype(np.int64), top["n"].to_numpy().astype(np.int64), tails))
     made = [f for f in docs.schema.fields if f.name not in (text, "_part", "n_tokens", "n_known", "train_tokens", "base_score", "score")]

@@ -102,3 +102,12 @@ def test_query_beats_the_base_on_held_out_texts(spark, small):
 
 def test_sizes_grow_with_the_distinct_tokens():
     assert maxent_lm.sizes(1000) == (64, 1 << 14) and maxent_lm.sizes(1 << 20) == (88, 1 << 16) and maxent_lm.sizes(1 << 30) == (128, 1 << 16)
+
+
+def test_tasks_of_a_round_follow_the_tokens(spark, small, monkeypatch):
+    assert [maxent_lm.round_tasks(n, 4) for n in (0, 1, 20_000_000, 20_000_001, 2_000_000_000)] == [1, 1, 1, 2, 100]
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", F.col("text").alias("copy")).repartition(9)
+    monkeypatch.setattr(maxent_lm, "TASK_TOKENS", 4_000)
+    training = docs.filter(crc_rest("doc_id", 7) != 2)
+    rows = check(maxent_lm.score_texts(docs, training, shares=4), [r.text for r in training.collect()])
+    assert len(rows) == docs.count()
