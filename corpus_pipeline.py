@@ -17,10 +17,18 @@ from faultline.session import prepare
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.3  # of a text's n-grams that its language must hold
+BATCH_ROWS = 2_000  # documents in one Arrow batch
+CODED_ROWS = 500  # the same where the pieces of a batch meet the merge table
+
+
+def bounded(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """The stages follow each other on the same executors, so each moves its texts in smaller batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; a text without letters, a null one, or one whose n-grams its language mostly lacks goes."""
+    bounded(spark)
     filters = language.learn_languages(docs)
     found = language.predict_language(docs, filters)
     return found.filter((F.col("language.lang") != "und") & (F.col("language.score") >= LEAST_SCORE)).select(COLUMNS)
@@ -31,6 +39,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Of rows with equal ids one stays; rows with a null id cannot be named and stay.
     """
+    bounded(spark)
     groups = jaccard_join.near_duplicates(docs)
     kept = groups.filter(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
     chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -42,6 +51,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A document that loses nothing keeps its text as it is; one that loses all goes.
     """
+    bounded(spark)
     parsed = substring_dedup.deduplicate(docs)
     cut = F.col("parsed.n_removed") > 0
     kept = parsed.filter(~cut | (F.col("parsed.n_removed") < F.col("parsed.n_words")))
@@ -51,6 +61,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more lies in benchmark windows go."""
+    bounded(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.decontaminate(docs, benchmark)
     return found.filter(~decontamination.is_contaminated()).select(COLUMNS)
@@ -58,6 +69,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids_sha256 and the decoded text's sha256 of every document."""
+    bounded(spark, CODED_ROWS)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = byte_pairs.encode_decode(docs.select("doc_id", "lang", "source", "text"), ranks, code_digests, CODE_DIGESTS, public_tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", "coded.*")

@@ -23,8 +23,8 @@ from faultline.llm import bloom
 from faultline.llm.words import Words, between_spaces, pieces, stored, windows, within, words_of
 
 GRAM = 10  # words of an anchor
-CHUNK = 1 << 20  # windows gathered before a task passes their first documents on
-PER_BUCKET = 1 << 20
+CHUNK = 1 << 18  # windows gathered before a task passes their first documents on
+PER_BUCKET = 1 << 18
 PARSED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                        T.StructField("kept", T.StringType()),
                        T.StructField("factors", T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()),
