@@ -160,6 +160,6 @@ def fault_intervals_from_logs(t):
 
 @query("stream_fault_intervals", _INTERVALS + f" AND end_ts IS NOT NULL AND epoch_ms(end_ts) * 1000 + 1000 <= (SELECT epoch_ms(max(ts)) * 1000 - 3600000000 FROM v_events WHERE event_type IN ('error', 'signup', 'view'))")
 def stream_fault_intervals(t):
-    return live.run_append(live.fault_intervals(_marks(streamed(t)), delay="1 hour"), "intervals")
+    return live.run_append(live.fault_intervals(_marks(streamed(t)), delay="1 hour", block_ms=HOUR // 1000), "intervals")
 
 

@@ -87,15 +87,17 @@ def alert_states(ticks: DataFrame, rules: dict[str, tuple[Column, int]], step_us
 
 
 def fault_intervals(events: DataFrame, start_message: str = "fault_start",
-                    end_messages: tuple[str, ...] = ("fault_end", "fault_cleared"), delay: str = "1 minute") -> DataFrame:
+                    end_messages: tuple[str, ...] = ("fault_end", "fault_cleared"), delay: str = "1 minute",
+                    block_ms: int = 60_000) -> DataFrame:
     """Closed fault intervals per run and service, paired in event-time order.
 
     Events wait in the state until the watermark has passed them, so their
-    arrival order does not matter; only fault events are kept.
+    arrival order does not matter; only fault events are kept. They wait in blocks of
+    `block_ms` (about the delay), which are read and written whole; the result is the same for any.
     """
     marks = (events.filter(F.col("message").isin(start_message, *end_messages)).withWatermark("ts", delay)
              .select(*RUN_SERVICE, "ts", micros("ts").alias("at"), (F.col("message") == start_message).alias("is_start")))
-    pairs = keyed_rows(marks, RUN_SERVICE, FaultPairing(), "run_id STRING, service STRING, start LONG, end LONG")
+    pairs = keyed_rows(marks, RUN_SERVICE, FaultPairing(block_ms), "run_id STRING, service STRING, start LONG, end LONG", pandas=True)
     return pairs.select(*RUN_SERVICE, from_micros("start").alias("start_ts"), from_micros("end").alias("end_ts"))
 
 
@@ -113,10 +115,11 @@ def incident_changes(alerts: DataFrame, delay: str = "1 minute", lifetime_ms: in
     return changed.select("incident_id", "run_id", "service", "magnitude", from_micros("first").alias("first_seen"), from_micros("began").alias("began"), "version")
 
 
-def keyed_rows(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
-    """Rows a stateful processor gives; its state lies in RocksDB, not in the executor's heap."""
+def keyed_rows(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, pandas: bool = False) -> DataFrame:
+    """Rows a stateful processor gives, which takes single rows or pandas tables; its state lies in RocksDB, not in the executor's heap."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.groupBy(*keys).transformWithState(processor, schema, "append", "eventTime")
+    groups = rows.groupBy(*keys)
+    return (groups.transformWithStateInPandas if pandas else groups.transformWithState)(processor, schema, "append", "eventTime")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
