@@ -82,8 +82,9 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter:
     step before, rank = p + alpha * m / n. What links pass on of that share, and what stays
     with the dangling nodes, are links from the mass row. So a step is the same join with
     or without dangling nodes, and `cut_every` steps go into one plan before it is written.
+    The merged links are written once: what they come from is read one time only.
     """
-    edges = merge_edges(edges)
+    edges = cut_lineage(merge_edges(edges))
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
     moves = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share"), F.lit(False).alias("own"))
     ends = moves.select(F.inline(F.array(F.struct(F.col("src").alias("v"), F.lit(1).alias("o"), F.lit(0.0).alias("share")),
