@@ -23,6 +23,7 @@ from faultline.llm.words import FACTOR, map_texts, mix, powers
 
 LONG = 64  # bytes; longer pieces contract equal pairs together
 HELD = 1 << 18  # distinct pieces a task remembers
+AT_ONCE = 1 << 13  # new pieces contracted in one query, whose table holds a row per token and step
 IDS = 1 << 20  # ids decoded at once
 # the one pattern whose splits are made by array operations; it must equal the tokenizer's
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -211,8 +212,10 @@ class Encoder:
                 else:
                     todo.append((p, raw))
         for query, part in ((CONTRACT, [x for x in todo if len(x[1]) <= LONG]), (CONTRACT_LONG, [x for x in todo if len(x[1]) > LONG])):
-            for (p, _), ids in zip(part, contract(self.con, [x[1] for x in part], self.byte_id, query)):
-                self.ids[p] = ids
+            for a in range(0, len(part), AT_ONCE):
+                some = part[a:a + AT_ONCE]
+                for (p, _), ids in zip(some, contract(self.con, [x[1] for x in some], self.byte_id, query)):
+                    self.ids[p] = ids
         if not len(which):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         known = [self.ids[p] for p in distinct]

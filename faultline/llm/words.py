@@ -7,6 +7,7 @@ their 64-bit hashes are.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -122,18 +123,28 @@ def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
         a = b
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers outlive their tasks, and what they keep adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, text: str, out: str, kind: T.StructType,
               start: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """Adds the struct column `out` (an older one of that name goes), computed from column `text`.
 
     `start` runs once in each task and returns the function from a batch of texts to the
-    fields. All other columns and repeated rows pass through as they are.
+    fields. All other columns and repeated rows pass through as they are. A task begins by
+    giving back what earlier tasks have left in its worker.
     """
     kept = df.drop(out)
     schema = T.StructType([*kept.schema.fields, T.StructField(out, kind)])
     names = kind.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         work = start()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
