@@ -125,35 +125,47 @@ class Model:
 
     def logs(self, kind, place, rows, before) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs: of each token's class and, for vocabulary words, of the word in it (else 0)."""
-        p = log_softmax(self.class_bias + self.a[rows[0]] + self.a[rows[1]] + self.a[rows[2]])
+        p = log_chosen(added(self.class_bias, self.a, rows), kind)
         q = np.zeros(len(kind))
         own = np.flatnonzero(place >= 0)
         if len(own):
             w = self.word_rows(before[:, own], kind[own])
-            logits = log_softmax(self.word_bias[kind[own]] + self.b[w[0]] + self.b[w[1]])
-            q[own] = logits[np.arange(len(own)), place[own]]
-        return p[np.arange(len(kind)), kind].astype(np.float64), q
+            q[own] = log_chosen(added(self.word_bias[kind[own]], self.b, w), place[own])
+        return p.astype(np.float64), q
 
     def step(self, kind, place, rows, before, memory: tuple, rate: float) -> None:
         """One gradient step (Adagrad) on a batch."""
-        g = softmax(self.class_bias + self.a[rows[0]] + self.a[rows[1]] + self.a[rows[2]])
+        g = softmax(added(self.class_bias, self.a, rows))
         g[np.arange(len(kind)), kind] -= 1
         update(self.a, memory[0], rows, g, rate)
         own = np.flatnonzero(place >= 0)
         if len(own):
             w = self.word_rows(before[:, own], kind[own])
-            g = softmax(self.word_bias[kind[own]] + self.b[w[0]] + self.b[w[1]])
+            g = softmax(added(self.word_bias[kind[own]], self.b, w))
             g[np.arange(len(own)), place[own]] -= 1
             update(self.b, memory[1], w, g, rate)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def added(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The bias plus each feature's weight row, in the order of the features."""
+    x = weights.take(rows[0], axis=0)
+    x += bias
+    for feature in rows[1:]:
+        x += weights.take(feature, axis=0)
+    return x
+
+
+def log_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log softmax of one column of each row; `x` is used up."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), chosen]
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
+    """Softmax of each row, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     return x
 
@@ -161,17 +173,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def update(weights: np.ndarray, memory: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
     """Adds `gradient`, a row per token, to the weight rows of each of the token's features (`rows`: feature by token)."""
     flat = rows.reshape(-1)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.uint16) if len(weights) <= 1 << 16 else flat, kind="stable")  # 16 bits are sorted by radix
     flat = flat[order]
     cuts = np.flatnonzero(np.diff(flat, prepend=-1))
     order, touched = order % len(gradient), flat[cuts]
-    total = gradient[order[cuts]]
+    total = gradient.take(order[cuts], axis=0)
     more = np.diff(cuts, append=len(flat)) > 1  # most rows have one token
     if more.any():
         several = np.repeat(more, np.diff(cuts, append=len(flat)))
         flat = flat[several]
-        total[more] = np.add.reduceat(gradient[order[several]], np.flatnonzero(np.diff(flat, prepend=-1)), axis=0)
-    seen = memory[touched]
+        total[more] = np.add.reduceat(gradient.take(order[several], axis=0), np.flatnonzero(np.diff(flat, prepend=-1)), axis=0)
+    seen = memory.take(touched, axis=0)
     seen += total * total
     memory[touched] = seen
     seen += np.float32(1e-2)
@@ -319,8 +331,8 @@ def scored(own: Model, known_token, known_n, tail_sizes, unit: float, row: pa.Ar
     rank = own.ranks(hashes, tail)
     kind, place, rows, before = own.features(rank, first)
     logs = np.zeros(len(kind))
-    for i in range(0, len(kind), 4 * BATCH):
-        j = i + 4 * BATCH
+    for i in range(0, len(kind), BATCH):
+        j = i + BATCH
         p, q = own.logs(kind[i:j], place[i:j], rows[:, i:j], before[:, i:j])
         logs[i:j] = (p + q) / np.log(10)
     token, which = np.unique(hashes, return_inverse=True)
