@@ -1,5 +1,6 @@
 import os
 import sys
+from datetime import datetime
 
 import pytest
 
@@ -8,6 +9,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from faultline.session import prepare  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
+T0 = datetime(2025, 1, 1)  # as in ../conftest.py: in a run over both folders, `conftest` is this module
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
