@@ -21,25 +21,26 @@ from pyspark.sql import types as T
 
 from faultline.llm.words import FACTOR, map_texts, mix, powers
 
-LONG = 64  # bytes; longer pieces contract equal pairs together
-HELD = 1 << 18  # distinct pieces a task remembers
+LONG = 64  # bytes, under 128; longer pieces contract equal pairs together
+HELD = 1 << 19  # distinct pieces a task remembers, and runs of ids
 AT_ONCE = 1 << 13  # new pieces contracted in one query, whose table holds a row per token and step
 IDS = 1 << 20  # ids decoded at once
+STEP = 1 << 18  # numbers hashed or laid out at once
 # the one pattern whose splits are made by array operations; it must equal the tokenizer's
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")  # after an apostrophe, in the pattern's order
 
-# Each row is a token of a piece and knows its right neighbour; `c` is the rank of the pair and
-# its place, so the least `c` is the leftmost pair of minimum rank.
+# Each row is a token of a piece and knows its right neighbour; `c` is the rank of the pair, its
+# place and its neighbour's (both under 128), so the least `c` is the leftmost pair of minimum rank.
 CONTRACT = """
 WITH RECURSIVE t(step, piece, pos, id, npos, nid, c) AS (
-  SELECT 0, s.piece, s.pos, s.id, s.pos + 1, s.nid, (m::BIGINT << 32) | pos
+  SELECT 0, s.piece, s.pos, s.id, s.pos + 1, s.nid, (m::BIGINT << 14) | (pos << 7) | (pos + 1)
   FROM start s LEFT JOIN merges ON k = ((id::BIGINT << 20) | nid)
   UNION ALL
   SELECT * FROM (
-    WITH hit AS (SELECT piece, (min(c) & 4294967295)::INT AS pos, (min(c) >> 32)::INT AS m, arg_min(npos, c) AS gone
-                 FROM t GROUP BY piece HAVING min(c) IS NOT NULL),
-    link AS (SELECT h.*, g.npos AS after, g.nid AS nafter FROM hit h JOIN t g ON g.piece = h.piece AND g.pos = h.gone),
+    WITH hit AS (SELECT piece, min(c) AS c FROM t GROUP BY piece HAVING min(c) IS NOT NULL),
+    link AS (SELECT h.piece, ((h.c >> 7) & 127)::INT AS pos, (h.c >> 14)::INT AS m, g.pos AS gone, g.npos AS after, g.nid AS nafter
+             FROM hit h JOIN t g ON g.piece = h.piece AND g.pos = (h.c & 127)),
     moved AS (SELECT t.step + 1 AS step, t.piece, t.pos,
         CASE WHEN t.pos = l.pos THEN l.m ELSE t.id END AS id,
         CASE WHEN t.pos = l.pos THEN l.after ELSE t.npos END AS npos,
@@ -47,7 +48,7 @@ WITH RECURSIVE t(step, piece, pos, id, npos, nid, c) AS (
         CASE WHEN t.pos = l.pos OR t.npos = l.pos THEN NULL ELSE t.c END AS c,
         t.pos = l.pos OR t.npos = l.pos AS fresh
       FROM t JOIN link l ON t.piece = l.piece WHERE t.pos <> l.gone)
-    SELECT v.step, v.piece, v.pos, v.id, v.npos, v.nid, CASE WHEN v.fresh THEN (m::BIGINT << 32) | pos ELSE c END
+    SELECT v.step, v.piece, v.pos, v.id, v.npos, v.nid, CASE WHEN v.fresh THEN (m::BIGINT << 14) | (pos << 7) | npos ELSE c END
     FROM moved v LEFT JOIN merges ON k = CASE WHEN fresh THEN (id::BIGINT << 20) | nid END)
 ), last AS (SELECT piece, max(step) AS s FROM t GROUP BY piece)
 SELECT t.piece, t.pos, t.id FROM t JOIN last ON t.piece = last.piece AND t.step = last.s ORDER BY t.piece, t.pos
@@ -78,10 +79,8 @@ WITH RECURSIVE t(step, piece, pos, id) AS (
 SELECT t.piece, t.pos, t.id FROM t JOIN last ON t.piece = last.piece AND t.step = last.s ORDER BY t.piece, t.pos
 """
 
-DECODE = """
-SELECT i.row, CASE WHEN count(*) = count(h) THEN string_agg(h, '' ORDER BY i.pos) END AS h
-FROM ids i LEFT JOIN vocab USING (id) GROUP BY i.row ORDER BY i.row
-"""
+# Runs lie end to end, so one ordered aggregation gives the bytes of them all.
+DECODE = "SELECT string_agg(h, '' ORDER BY i.pos) FROM ids i JOIN vocab USING (id)"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -165,65 +164,125 @@ def split_points(code: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.n
     return np.flatnonzero(start)
 
 
+class Store:
+    """Runs of numbers by their 64-bit hash, in sorted arrays: some 30 bytes for a short run, where a dict takes 200."""
+
+    def __init__(self, kind):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.flat = np.zeros(0, np.int32), np.zeros(0, self.kind)
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys that are not held."""
+        if not len(self.key):
+            return np.arange(len(keys))
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.flatnonzero(self.key[at] != keys)
+
+    def add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """Takes up new keys, in ascending order, and their runs end to end; a size of -1 has no numbers."""
+        if not len(keys):
+            return
+        held = np.maximum(size, 0).astype(np.int64)
+        at = np.searchsorted(self.key, keys)
+        self.first = np.insert(self.first, at, len(self.flat) + np.cumsum(held) - held)
+        self.size = np.insert(self.size, at, size)
+        self.flat = np.concatenate([self.flat, flat.astype(self.kind, copy=False)])
+        self.key = np.insert(self.key, at, keys)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where its run begins, its size) of each key; all are held."""
+        at = np.searchsorted(self.key, keys)
+        return self.first[at], self.size[at]
+
+
+def steps(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of runs of about `STEP` numbers; a longer run is a range of its own."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP, "right")))
+        yield a, b
+        a = b
+
+
+def laid(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of `flat` that begin at `first`, end to end."""
+    out, done = np.empty(int(size.sum()), flat.dtype), 0
+    for a, b in steps(size):
+        own = size[a:b].astype(np.int64)
+        n = int(own.sum())
+        out[done:done + n] = flat[np.repeat(first[a:b] - (np.cumsum(own) - own), own) + np.arange(n)]
+        done += n
+    return out
+
+
+def run_hashes(codes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each run; runs are not empty and lie end to end from 0, `codes(a, b)` gives the numbers from a to b, spread over 64 bits."""
+    out = np.empty(len(start), np.uint64)
+    power = powers(0xD6E8FEB86659FD93, min(1 << 16, int(size.max(initial=0)) + 1))
+    for a, b in steps(size):
+        at, n = start[a:b] - start[a], int(size[a:b].sum())
+        place = np.arange(n) - np.repeat(at, size[a:b])
+        out[a:b] = np.add.reduceat(codes(int(start[a]), int(start[a]) + n) * power[place & 0xFFFF], at)
+    return mix(out + size.astype(np.uint64))
+
+
 class Encoder:
-    """Pieces a task has met, with their ids and decoded bytes."""
+    """Pieces a task has met, with their ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, con=None):
-        self.ranks, self.con, self.ids = ranks, con or connect(ranks), {}
+        self.ranks, self.con, self.ids = ranks, con or connect(ranks), Store(np.int32)
         self.random = mix((np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * FACTOR)  # by code point
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.table = class_table() if pattern == PATTERN else None
         self.pattern = regex.compile(pattern)
 
-    def pieces(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """(text of each piece, distinct pieces, number of each piece)."""
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, str, np.ndarray, np.ndarray, np.ndarray]:
+        """(text of each piece, all pieces end to end, start and size of each, hashes)."""
         if self.table is None:
-            found = [self.pattern.findall(t) for t in texts]
-            number: dict[str, int] = {}
-            which = np.array([number.setdefault(p, len(number)) for x in found for p in x], np.int64)
-            return np.repeat(np.arange(len(texts)), [len(x) for x in found]), list(number), which
-        joined, length = "".join(texts), np.array([len(t) for t in texts])
-        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        if not len(code):
-            return np.zeros(0, np.int64), [], np.zeros(0, np.int64)
-        ends = np.cumsum(length)
-        first = np.zeros(len(code), bool)
-        first[(ends - length)[length > 0]] = True
-        start = split_points(code, first, self.table)
-        size = np.diff(start, append=len(code))
-        power = powers(0xD6E8FEB86659FD93, min(1 << 16, int(size.max()) + 1))
-        place = np.arange(len(code)) - np.repeat(start, size)
-        hashes = np.add.reduceat(self.random[code] * power[place & 0xFFFF], start)
-        _, chosen, which = np.unique(mix(hashes + size.astype(np.uint64)), return_index=True, return_inverse=True)
-        distinct = [joined[a:b] for a, b in zip(start[chosen].tolist(), (start + size)[chosen].tolist())]
-        return np.searchsorted(ends, start, "right"), distinct, which
+            found = [[p for p in self.pattern.findall(t) if p] for t in texts]
+            joined = "".join(p for x in found for p in x)
+            size = np.array([len(p) for x in found for p in x], np.int64)
+            row, start = np.repeat(np.arange(len(texts)), [len(x) for x in found]), np.cumsum(size) - size
+            code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        else:
+            joined, length = "".join(texts), np.array([len(t) for t in texts], np.int64)
+            code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+            ends = np.cumsum(length)
+            first = np.zeros(len(code), bool)
+            first[(ends - length)[length > 0]] = True
+            start = split_points(code, first, self.table) if len(code) else np.zeros(0, np.int64)
+            size = np.diff(start, append=len(code))
+            row = np.searchsorted(ends, start, "right")
+        return row, joined, start, size, run_hashes(lambda a, b: self.random[code[a:b]], start, size)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
-        row, distinct, which = self.pieces(texts)
-        if len(self.ids) > HELD:
+        row, joined, start, size, hashes = self.pieces(texts)
+        keys, chosen, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.ids.key) > HELD:
             self.ids.clear()
-        todo = []
-        for p in distinct:
-            if p not in self.ids:
-                raw = p.encode()
-                if (rank := self.ranks.get(raw)) is not None:
-                    self.ids[p] = rank.to_bytes(4, "little")
-                else:
-                    todo.append((p, raw))
-        for query, part in ((CONTRACT, [x for x in todo if len(x[1]) <= LONG]), (CONTRACT_LONG, [x for x in todo if len(x[1]) > LONG])):
+        new = self.ids.missing(keys)
+        begins = start[chosen[new]]
+        self.learn(keys[new], [joined[a:b].encode() for a, b in zip(begins.tolist(), (begins + size[chosen[new]]).tolist())])
+        first, length = self.ids.find(keys)
+        length = length[which]
+        return laid(self.ids.flat, first[which], length), np.bincount(row, length, len(texts)).astype(np.int64)
+
+    def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Ids of new pieces: a token is itself, all others are contracted."""
+        ids = [None if (rank := self.ranks.get(p)) is None else rank.to_bytes(4, "little") for p in pieces]
+        todo = [i for i, known in enumerate(ids) if known is None]
+        for query, part in ((CONTRACT, [i for i in todo if len(pieces[i]) <= LONG]), (CONTRACT_LONG, [i for i in todo if len(pieces[i]) > LONG])):
             for a in range(0, len(part), AT_ONCE):
                 some = part[a:a + AT_ONCE]
-                for (p, _), ids in zip(some, contract(self.con, [x[1] for x in some], self.byte_id, query)):
-                    self.ids[p] = ids
-        if not len(which):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        known = [self.ids[p] for p in distinct]
-        flat, length = np.frombuffer(b"".join(known), "<i4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
-        first = np.cumsum(length) - length
-        size = length[which]
-        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        return flat[np.repeat(first[which], size) + place], np.bincount(row, size, len(texts)).astype(np.int64)
+                for i, got in zip(some, contract(self.con, [pieces[i] for i in some], self.byte_id, query)):
+                    ids[i] = got
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.ids.add(keys, size, np.frombuffer(b"".join(ids), "<i4"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, text: str = "text", out: str = "ids") -> DataFrame:
@@ -304,9 +363,12 @@ class Decoder:
     """Runs of ids a task has met, with their bytes."""
 
     def __init__(self, ranks: dict[bytes, int], con=None):
-        self.con, self.bytes = con or connect(ranks), {}
+        self.con, self.bytes = con or connect(ranks), Store(np.uint8)
+        # by id, and for unknown ones at the end
         self.opens = np.zeros(max(ranks.values(), default=0) + 2, bool)
         self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+        self.width = np.full(len(self.opens), -1, np.int32)
+        self.width[list(ranks.values())] = [len(t) for t in ranks]
 
     def decode(self, column: pa.Array) -> pa.Array:
         column = column.cast(pa.list_(pa.int64()))
@@ -319,34 +381,34 @@ class Decoder:
         begins[(row_end - length)[length > 0]] = True
         start = np.flatnonzero(begins)
         size = np.diff(start, append=len(flat))
-        power = powers(0xD6E8FEB86659FD93, min(1 << 16, int(size.max()) + 1))
-        place = np.arange(len(flat)) - np.repeat(start, size)
-        hashes = np.add.reduceat(mix((flat.view(np.uint64) + np.uint64(1)) * FACTOR) * power[place & 0xFFFF], start)
-        _, chosen, which = np.unique(mix(hashes + size.astype(np.uint64)), return_index=True, return_inverse=True)
-        raw = flat.tobytes()
-        runs = [raw[8 * a:8 * b] for a, b in zip(start[chosen].tolist(), (start + size)[chosen].tolist())]
-        if len(self.bytes) > HELD:
+        hashes = run_hashes(lambda a, b: mix((flat[a:b].view(np.uint64) + np.uint64(1)) * FACTOR), start, size)
+        keys, chosen, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.bytes.key) > HELD:
             self.bytes.clear()
-        self.look_up([r for r in runs if r not in self.bytes])
-        known = [self.bytes[r] for r in runs]
-        lost = np.array([x is None for x in known])
-        raw, held = np.frombuffer(b"".join(x or b"" for x in known), np.uint8), np.array([len(x or b"") for x in known])
-        first, wide = (np.cumsum(held) - held)[which], held[which]
-        at = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
+        new = self.bytes.missing(keys)
+        self.look_up(keys[new], laid(flat, start[chosen[new]], size[chosen[new]]), size[chosen[new]])
+        first, held = self.bytes.find(keys)
+        lost, held = held[which] < 0, np.maximum(held, 0)[which]
         row = np.searchsorted(row_end, start, "right")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(row, wide, len(length)))]).astype(np.int32)
-        data = raw[np.repeat(first, wide) + at]
-        bad = np.bincount(row, lost[which], len(length)) > 0
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, held, len(length)))]).astype(np.int32)
+        data = laid(self.bytes.flat, first[which], held)
+        bad = np.bincount(row, lost, len(length)) > 0
         valid = ~bad & column.is_valid().to_numpy(zero_copy_only=False)
         bits = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
         return pa.Array.from_buffers(pa.binary(), len(length), [bits, pa.py_buffer(ends), pa.py_buffer(data)])
 
-    def look_up(self, runs: list[bytes]) -> None:
-        if not runs:
+    def look_up(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Bytes of new runs of ids, which lie end to end; a run with an unknown id has none."""
+        if not len(keys):
             return
-        flat, size = np.frombuffer(b"".join(runs), np.int64), np.array([len(r) // 8 for r in runs])
-        self.con.register("ids", pa.table({"row": np.repeat(np.arange(len(runs)), size), "id": flat,
-                                           "pos": np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)}))
-        for run, (_, h) in zip(runs, self.con.execute(DECODE).fetchall()):
-            self.bytes[run] = None if h is None else bytes.fromhex(h)
-        self.con.unregister("ids")
+        width = self.width[np.clip(ids, -1, len(self.width) - 1)]
+        at = np.cumsum(size) - size
+        lost = np.minimum.reduceat(width, at) < 0
+        held = np.where(lost, -1, np.add.reduceat(width, at, dtype=np.int64))
+        ids, found = ids[np.repeat(~lost, size)], []
+        for a in range(0, len(ids), IDS):
+            some = ids[a:a + IDS]
+            self.con.register("ids", pa.table({"id": some.astype(np.int32), "pos": np.arange(len(some), dtype=np.int32)}))
+            found.append(bytes.fromhex(self.con.execute(DECODE).fetchall()[0][0]))
+            self.con.unregister("ids")
+        self.bytes.add(keys, held, np.frombuffer(b"".join(found), np.uint8))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from faultline.llm import byte_pairs, words
 
@@ -35,3 +36,28 @@ def test_freed_memory_is_given_back():
     del held
     words.give_back()
     assert resident() < full - (150 << 20) and last
+
+
+def letter_words(n: int) -> np.ndarray:
+    """Different made-up words, which are no tokens."""
+    letters = np.frombuffer(b"qxzvkjwy", np.uint8)
+    return letters[(np.arange(n)[:, None] >> (3 * np.arange(7))) & 7].view("S7")[:, 0].astype(str)
+
+
+def test_pieces_and_runs_of_a_task_are_worked_out_once(monkeypatch):
+    ranks = byte_pairs.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    texts = [" " + " ".join(part) for part in letter_words(280_000).reshape(4, -1)]
+    coder = byte_pairs.Encoder(ranks, byte_pairs.PATTERN)
+    back = byte_pairs.Decoder(ranks, coder.con)
+    todo, contract = [], byte_pairs.contract
+
+    def noted(con, pieces, *rest):
+        todo.extend(pieces)
+        return contract(con, pieces, *rest)
+
+    monkeypatch.setattr(byte_pairs, "contract", noted)
+    for text in texts * 2:
+        ids, size = coder.encode([text])
+        decoded = back.decode(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int32())))
+        assert size.tolist() == [len(ids)] and decoded[0].as_py() == text.encode()
+    assert len(todo) == len(set(todo)) and len(todo) > 200_000
