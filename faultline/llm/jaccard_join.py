@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from faultline.llm import bloom
 from faultline.llm.components import connected
-from faultline.llm.words import between_spaces, mix, pieces, stored, windows, words_of
+from faultline.llm.words import between_spaces, giving_back, mix, pieces, stored, windows, words_of
 
 ORDER_BITS = 40  # n-grams are ordered and joined by this many bits of their hash; exact ones decide
 CHUNK = 1 << 21  # n-grams counted together before a task passes them on
@@ -56,7 +56,7 @@ def least_overlap(n: int, m: int, share: int) -> int:
 
 
 def arrow_map(df: DataFrame, schema: T.StructType, run) -> DataFrame:
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)
 
 
 def bits(df: DataFrame, text: str, per_bucket: int) -> int:
@@ -192,7 +192,7 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, share: int, freque
                     *[pa.nulls(m, pa.int64()) for _ in range(4)], pa.nulls(m, pa.binary()), pa.array(bucket[by][cuts], pa.int32()),
                     *[pa.array(c, pa.binary()) for c in columns]], SETS.names)
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("words")).mapInArrow(run, SETS)
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("words")).mapInArrow(giving_back(run), SETS)
 
 
 def unpacked(group: pa.Table) -> dict[str, np.ndarray]:
@@ -247,7 +247,7 @@ def suffix_filter(pairs: DataFrame, names: DataFrame, share: int) -> DataFrame:
                 kept = np.abs(x - y).sum(axis=1) <= size - 2 * -(-share * size // (100 + share))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(kept)), batch.column(1).filter(pa.array(kept))], ["sig", "centre"])
 
-    return pairs.join(a, "sig").join(b, "centre").select("sig", "centre", "_a", "_b", (F.col("_n") + F.col("_m")).alias("size")).mapInArrow(run, "sig long, centre long")
+    return pairs.join(a, "sig").join(b, "centre").select("sig", "centre", "_a", "_b", (F.col("_n") + F.col("_m")).alias("size")).mapInArrow(giving_back(run), "sig long, centre long")
 
 
 def star_pairs(entries: DataFrame, share: int) -> DataFrame:
@@ -299,7 +299,7 @@ def verified(docs: DataFrame, text: str, size: int, share: int, pairs: DataFrame
                 sets = shingle_sets(texts.slice(a, b - a), table, size)
                 yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "grams"])
 
-    sets = docs.select(text, F.xxhash64(text).alias("words")).mapInArrow(run, "sig long, grams binary").dropDuplicates(["sig"])
+    sets = docs.select(text, F.xxhash64(text).alias("words")).mapInArrow(giving_back(run), "sig long, grams binary").dropDuplicates(["sig"])
     groups = asks.join(sets, "sig").groupBy("centre", "salt")
 
     def compare(key, group):

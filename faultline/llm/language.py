@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm.words import FACTOR, map_texts, mix, pieces, powers, stored
+from faultline.llm.words import FACTOR, giving_back, map_texts, mix, pieces, powers, stored
 
 ORDERS = (1, 2, 3, 4, 5)
 PROBES = 3
@@ -100,7 +100,7 @@ def count_grams(labelled: DataFrame, text: str, lang: str) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    counted = labelled.select(text, lang).mapInArrow(run, schema)
+    counted = labelled.select(text, lang).mapInArrow(giving_back(run), schema)
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm import bloom
-from faultline.llm.words import Words, between_spaces, pieces, stored, windows, within, words_of
+from faultline.llm.words import Words, between_spaces, giving_back, pieces, stored, windows, within, words_of
 
 GRAM = 10  # words of an anchor
 CHUNK = 1 << 18  # windows gathered before a task passes their first documents on
@@ -75,7 +75,7 @@ def shared_anchors(docs: DataFrame, key: str, text: str, window: int) -> DataFra
                     pairs = np.unique(np.stack([row[fresh].astype(np.uint64), anchor]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64))], ["anchor"])
 
-    found = docs.filter(F.col(key).isNotNull()).select(text).mapInArrow(run, "anchor long")
+    found = docs.filter(F.col(key).isNotNull()).select(text).mapInArrow(giving_back(run), "anchor long")
     return found.groupBy("anchor").count().filter("count > 1").select("anchor")
 
 
@@ -137,7 +137,7 @@ def first_documents(docs: DataFrame, key: str, text: str, window: int, sent) ->
                          "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(cuts.tolist(), ends)], pa.binary())})
 
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text)
-    return rows.mapInArrow(run, "bucket int, ids binary, hashes binary").groupBy("bucket").applyInArrow(owned, "id long, hashes binary")
+    return rows.mapInArrow(giving_back(run), "bucket int, ids binary, hashes binary").groupBy("bucket").applyInArrow(owned, "id long, hashes binary")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, out: str = "parsed") -> DataFrame:
@@ -170,7 +170,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
                 made = parse(texts.slice(a, b - a), first.slice(a, b - a), known.slice(a, b - a), window, table, filled)
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in rest], made], schema.names)
 
-    return named.mapInArrow(run, schema)
+    return named.mapInArrow(giving_back(run), schema)
 
 
 def parse(texts: pa.Array, first: pa.Array, named: pa.Array, window: int, table: np.ndarray, filled: np.ndarray) -> pa.StructArray:

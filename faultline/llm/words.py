@@ -131,20 +131,31 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same task function, before and after which its worker gives back freed memory.
+
+    Spark lets idle workers take turns, so one that kept its peak would do so beside those that work.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def map_texts(df: DataFrame, text: str, out: str, kind: T.StructType,
               start: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """Adds the struct column `out` (an older one of that name goes), computed from column `text`.
 
     `start` runs once in each task and returns the function from a batch of texts to the
-    fields. All other columns and repeated rows pass through as they are. A task begins by
-    giving back what earlier tasks have left in its worker.
+    fields. All other columns and repeated rows pass through as they are.
     """
     kept = df.drop(out)
     schema = T.StructType([*kept.schema.fields, T.StructField(out, kind)])
     names = kind.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         work = start()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
@@ -153,7 +164,7 @@ def map_texts(df: DataFrame, text: str, out: str, kind: T.StructType,
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*batch.schema.names, out])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(giving_back(run), schema)
 
 
 def lists(values: np.ndarray, per_row: np.ndarray, kind: pa.DataType) -> pa.Array:

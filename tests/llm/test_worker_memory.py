@@ -38,6 +38,20 @@ def test_freed_memory_is_given_back():
     assert resident() < full - (150 << 20) and last
 
 
+def test_a_task_gives_back_what_it_held():
+    last = []
+
+    def run(batches):
+        held = [bytearray(60_000) for _ in range(4000)]  # 240 MB in the heap
+        last.append(bytearray(60_000))  # keeps the end of the heap in use
+        yield from batches
+        last.append(resident())
+        del held
+
+    assert list(words.giving_back(run)(iter([1, 2]))) == [1, 2]
+    assert resident() < last[1] - (150 << 20)
+
+
 def letter_words(n: int) -> np.ndarray:
     """Different made-up words, which are no tokens."""
     letters = np.frombuffer(b"qxzvkjwy", np.uint8)
